@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, secret_scan
+from tidemark.llm import decontaminate, mixing, secret_scan, warc
 from tidemark.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.col("quality_weight")).drop("source")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
@@ -31,10 +35,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op6_mixing": op6_mixing,
+    "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.REPORT_SQL,
     "op6_mixing": mixing.MIX_SQL,
+    "op9_warc": warc.ROUND_TRIP_SQL,
 }
