@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_count
+from tidemark.llm.common import stored, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -43,27 +43,38 @@ def uniform(doc_id: Column, seed: str = "mix") -> Column:
 
 def mix(
     docs: DataFrame,
-    weight: Column | None = None,
+    quality: DataFrame | None = None,
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     most: float = 2.0,
     bins: int = 1024,
     seed: str = "mix",
+    broadcast_sources: int = 10_000,
 ) -> DataFrame:
     """Words that a mix takes of each document.
 
     A source with target t and s words takes floor(t / s) complete epochs, then t - s * floor(t / s) more words from
     documents in Efraimidis-Spirakis order: by u ** (1 / quality weight) descending, ties to the smaller id. The last
     document may be taken in part, so every source meets its target to a word, and no document is taken more often
-    than its source's epochs plus one.
+    than its source's epochs plus one. ``quality`` has doc_id (each once) and weight, above 0.
 
-    The order is never held by one task: keys fall into ``bins`` bins per source, sums of bins place each bin in the
-    source's prefix sum, and only the bin that straddles the budget is ordered row by row. ``bins`` grows with rows
-    per source (a billion rows in one source: 65536). Returns the columns of ``docs`` that it needs: doc_id, source,
-    size, source_size, target, taken. Null text counts 0 words; null weights count as 1; repeated rows count each.
+    Words are counted before anything is joined, so no text is shuffled. The order is never held by one task: keys
+    fall into ``bins`` bins per source, sums of bins place each bin in the source's prefix sum, and only the bin that
+    straddles the budget is ordered row by row. ``bins`` should grow with the rows of a source (a billion rows in one
+    source: 65536). The plan has a row per source; it is broadcast when it was counted to have at most
+    ``broadcast_sources`` rows, else joined by shuffle.
+
+    Returns doc_id, source, size, source_size, target, taken. Null text counts 0 words; ids without a weight count as
+    1; repeated rows count each; no rows give none.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.coalesce(weight if weight is not None else F.lit(1.0), F.lit(1.0)).alias("w"))
-    rows = rows.withColumn("v", F.pow(uniform(F.col("doc_id"), seed), 1.0 / F.col("w"))).withColumn("bin", F.floor((1.0 - F.col("v")) * bins).cast("int"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    if quality is not None:
+        known = quality.select(F.col("doc_id").alias("weighed"), F.col("weight").cast("double").alias("w"))
+        rows = rows.join(known, F.col("doc_id") == F.col("weighed"), "left").drop("weighed").fillna(1.0, ["w"])
+    else:
+        rows = rows.withColumn("w", F.lit(1.0))
+    rows = rows.withColumn("v", F.pow(uniform(F.col("doc_id"), seed), 1.0 / F.col("w"))).drop("w")
+    rows = stored(rows.withColumn("bin", F.floor((1.0 - F.col("v")) * bins).cast("int")), "mix-sizes")
     summed = rows.groupBy("source", "bin").agg(F.sum("size").alias("size"))
     targets = source_targets(summed, weights, share, most)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -82,7 +93,8 @@ def mix(
         .join(straddling, F.col("s").eqNullSafe(F.col("source")), "left")
         .select(F.col("s"), "source_size", "target", "epochs", "budget", F.coalesce("cut", F.lit(bins + 1)).alias("cut"), F.coalesce("below", F.lit(0)).alias("below"))
     )
-    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    plan = stored(plan, "mix-plan")
+    placed = rows.join(F.broadcast(plan) if plan.count() <= broadcast_sources else plan, F.col("source").eqNullSafe(F.col("s")))
     sure = placed.where(F.col("bin") != F.col("cut")).withColumn("extra", F.when(F.col("bin") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
     inside = Window.partitionBy("source").orderBy(F.desc("v"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("budget") - F.col("below") - F.coalesce(F.sum("size").over(inside), F.lit(0))

@@ -17,11 +17,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents; labelled quality scales the exponential keys."""
-    quality = (
-        table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 2.0).otherwise(0.5)).alias("quality_weight"))
-    )
-    docs = table(spark, sf_dir, "documents").join(quality.withColumnRenamed("doc_id", "labelled"), F.col("doc_id") == F.col("labelled"), "left")
-    return mixing.mix(docs, F.col("quality_weight")).drop("source")
+    known = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id")
+    quality = known.agg(F.max(F.when(F.col("quality") == 1, 2.0).otherwise(0.5)).alias("weight"))
+    return mixing.mix(table(spark, sf_dir, "documents"), quality).drop("source")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
