@@ -7,14 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, secret_scan, warc
-from tidemark.llm.common import table
+from tidemark.llm import decontaminate, language_id, mixing, neighbours, quality, secret_scan, warc
+from tidemark.llm.common import is_held_out, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, ~is_held_out(F.col("doc_id")))
+    scored = quality.score(docs.select("doc_id", "text"), model, "score")
+    return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents; labelled quality scales the exponential keys."""
     known = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id")
@@ -22,6 +33,13 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), quality).drop("source")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, ~is_held_out(F.col("doc_id")))
+    named = language_id.predict(docs.select("doc_id", "text"), model)
+    return named.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -32,7 +50,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
+    "op5_neighbours": op5_neighbours,
     "op6_mixing": op6_mixing,
+    "op7_language": op7_language,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
