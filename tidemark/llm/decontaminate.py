@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import free_name
 
-WORD_CHARS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD_CHARS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: ASCII outside digits and letters parts words; A-Z are lower-cased; bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -164,7 +164,7 @@ def finder(automaton: Broadcast) -> Callable[[Column], Column]:
     """A column function: what one automaton finds in texts."""
 
     @F.pandas_udf(FOUND)
-    def find(texts: pd.Series) -> pd.DataFrame:
+    def matched(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             words = words_of(text)
@@ -172,7 +172,7 @@ def finder(automaton: Broadcast) -> Callable[[Column], Column]:
             rows.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(map(str, items))))
         return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
 
-    return find
+    return matched
 
 
 def together(a: Column, b: Column) -> Column:
@@ -189,52 +189,54 @@ def together(a: Column, b: Column) -> Column:
     return join(a, b)
 
 
-def decontaminate(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    window: int = 10,
-    max_coverage: float = 0.5,
-    id_col: str = "item_id",
-    text_col: str = "text",
-    block_words: int = 500_000,
-) -> DataFrame:
-    """Find and cut benchmark passages.
+def find(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10, id_col: str = "item_id", text_col: str = "text", block_words: int = 500_000) -> DataFrame:
+    """Adds a struct column ``name``: n_words, starts and ends (word places of hit spans, end exclusive), items.
 
     Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII. A window is ``window``
-    consecutive words of an item, or a whole shorter item. Adds to the columns of ``docs`` a struct column
-    ``contamination``: n_words, n_hit, spans (word places, end exclusive), items (ids, as sorted strings), clean_text
-    (the text without hit spans; the words between are kept as written) and dropped (over ``max_coverage`` of the
-    words are hit). A column of that name in ``docs`` is replaced.
+    consecutive words of an item, or a whole shorter item. Items are ids as sorted strings.
 
     The benchmark reaches the tasks as automata of at most ``block_words`` words each, a few hundred bytes a word, so
-    what is broadcast is bounded; a larger benchmark is taken in blocks, each read against the spans found so far, in
-    one pass over the documents per block. No shuffle. Null or empty texts have no words; null items and items
-    without words are never found; an empty benchmark leaves every text as it is.
+    what is broadcast is bounded; a larger benchmark is taken in blocks, each another column function over the same
+    pass. No shuffle. Null or empty texts have no words; null items and items without words are never found; an empty
+    benchmark hits nothing.
     """
     spark = docs.sparkSession
-    held = free_name(docs, "found")
-    out = docs.drop("contamination")
+    out = docs
     for n, block in enumerate(blocks_of(benchmark, id_col, text_col, block_words)):
-        automaton = spark.sparkContext.broadcast(Automaton(block, window))
-        if n == 0:
-            out = out.withColumn(held, finder(automaton)(F.col("text")))
-        else:
-            out = out.withColumn(held, together(F.col(held), finder(automaton)(F.col("text"))))
+        found = finder(spark.sparkContext.broadcast(Automaton(block, window)))(F.col("text"))
+        out = out.withColumn(name, together(F.col(name), found) if n else found)
+    return out
+
+
+def hit_words(found: Column) -> Column:
+    """Words inside hit spans."""
+    return F.aggregate(F.zip_with(found["ends"], found["starts"], lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, **columns) -> DataFrame:
+    """Cut benchmark passages out of texts.
+
+    Adds a struct column ``contamination`` (one of that name is replaced): n_words, n_hit, spans, items as :func:`find`
+    gives them, clean_text (the text without hit spans; other words stay as written) and dropped (more than
+    ``max_coverage`` of the words are hit). Null texts stay null.
+    """
+    held = free_name(docs, "found")
+    out = find(docs.drop("contamination"), benchmark, held, window, **columns)
 
     @F.pandas_udf("string")
-    def cleaned(text: pd.Series, found: pd.DataFrame) -> pd.Series:
-        return pd.Series([without(t, s, e) for t, s, e in zip(text, found["starts"], found["ends"], strict=True)], dtype=object)
+    def cleaned(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([without(t, s, e) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
-    n_hit = F.aggregate(F.zip_with(F.col(held)["ends"], F.col(held)["starts"], lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    found = F.col(held)
     return out.withColumn(
         "contamination",
         F.struct(
-            F.col(held)["n_words"].alias("n_words"),
-            n_hit.alias("n_hit"),
-            F.zip_with(F.col(held)["starts"], F.col(held)["ends"], lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("spans"),
-            F.col(held)["items"].alias("items"),
-            F.when(F.size(F.col(held)["starts"]) > 0, cleaned(F.col("text"), F.col(held))).otherwise(F.col("text")).alias("clean_text"),
-            F.coalesce(n_hit > F.lit(max_coverage) * F.col(held)["n_words"], F.lit(False)).alias("dropped"),
+            found["n_words"].alias("n_words"),
+            hit_words(found).alias("n_hit"),
+            F.zip_with(found["starts"], found["ends"], lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("spans"),
+            found["items"].alias("items"),
+            cleaned(F.col("text"), found["starts"], found["ends"]).alias("clean_text"),
+            F.coalesce(hit_words(found) > F.lit(max_coverage) * found["n_words"], F.lit(False)).alias("dropped"),
         ),
     ).drop(held)
 
@@ -263,15 +265,15 @@ def without(text: str | None, starts: list[int], ends: list[int]) -> str | None:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """Counts and digests of :func:`decontaminate`."""
-    found = F.col("contamination")
-    return decontaminate(docs.select("doc_id", "text"), benchmark, window).select(
+    """Counts and digests of what :func:`find` finds."""
+    found = F.col("found")
+    return find(docs.select("doc_id", "text"), benchmark, "found", window).select(
         "doc_id",
         found["n_words"].alias("n_words"),
-        found["n_hit"].alias("n_hit"),
+        hit_words(found).alias("n_hit"),
         F.size(found["items"]).cast("long").alias("n_items"),
         F.sha2(F.array_join(found["items"], ",").cast("binary"), 256).alias("items_sha256"),
-        (found["n_hit"] > 0).alias("contaminated"),
+        (hit_words(found) > 0).alias("contaminated"),
     )
 
 
