@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, mixing, neighbours, quality, secret_scan, warc
+from tidemark.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, secret_scan, warc
 from tidemark.llm.common import is_held_out, table
 
 
@@ -40,6 +40,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_neighbours": op5_neighbours,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
+    "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
 }
