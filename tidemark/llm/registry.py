@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, secret_scan, warc
+from tidemark.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, secret_scan, substring_dedup, warc
 from tidemark.llm.common import is_held_out, table
 
 
@@ -22,6 +22,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -55,6 +59,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_neighbours": op5_neighbours,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.REPORT_SQL,
+    "op3_substring_dedup": substring_dedup.REPORT_SQL,
     "op6_mixing": mixing.MIX_SQL,
     "op9_warc": warc.ROUND_TRIP_SQL,
 }
