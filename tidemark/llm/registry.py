@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, mixing, near_dedup, neighbours, quality, secret_scan, substring_dedup, warc
+from tidemark.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, neighbours, quality, secret_scan, substring_dedup, warc
 from tidemark.llm.common import is_held_out, table
 
 
@@ -26,6 +26,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_line_dedup": op4_line_dedup,
     "op5_neighbours": op5_neighbours,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.REPORT_SQL,
     "op3_substring_dedup": substring_dedup.REPORT_SQL,
+    "op4_line_dedup": line_dedup.REPORT_SQL,
     "op6_mixing": mixing.MIX_SQL,
     "op9_warc": warc.ROUND_TRIP_SQL,
 }
