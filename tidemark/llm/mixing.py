@@ -50,6 +50,7 @@ def mix(
     bins: int = 1024,
     seed: str = "mix",
     broadcast_sources: int = 10_000,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Words that a mix takes of each document.
 
@@ -64,10 +65,10 @@ def mix(
     source: 65536). The plan has a row per source; it is broadcast when it was counted to have at most
     ``broadcast_sources`` rows, else joined by shuffle.
 
-    Returns doc_id, source, size, source_size, target, taken. Null text counts 0 words; ids without a weight count as
+    Returns doc_id, source, the columns ``carry``, size, source_size, target, taken. Null text counts 0 words; ids without a weight count as
     1; repeated rows count each; no rows give none.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     if quality is not None:
         known = quality.select(F.col("doc_id").alias("weighed"), F.col("weight").cast("double").alias("w"))
         rows = rows.join(known, F.col("doc_id") == F.col("weighed"), "left").drop("weighed").fillna(1.0, ["w"])
@@ -100,7 +101,7 @@ def mix(
     left = F.col("budget") - F.col("below") - F.coalesce(F.sum("size").over(inside), F.lit(0))
     edge = placed.where(F.col("bin") == F.col("cut")).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     return sure.unionByName(edge).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken")
+        "doc_id", "source", *carry, "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken")
     )
 
 

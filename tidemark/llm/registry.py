@@ -11,6 +11,12 @@ from tidemark.llm import decontaminate, language_id, line_dedup, mixing, near_de
 from tidemark.llm.common import is_held_out, table
 
 
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and weight of labelled documents: 2 for good ones, a half for others."""
+    known = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
+    return known.agg(F.max(F.when(F.col("quality") == 1, 2.0).otherwise(0.5)).alias("weight"))
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,9 +42,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents; labelled quality scales the exponential keys."""
-    known = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull()).groupBy("doc_id")
-    quality = known.agg(F.max(F.when(F.col("quality") == 1, 2.0).otherwise(0.5)).alias("weight"))
-    return mixing.mix(table(spark, sf_dir, "documents"), quality).drop("source")
+    return mixing.mix(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).drop("source")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
