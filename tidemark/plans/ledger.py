@@ -51,7 +51,7 @@ def position_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ioc_limits",
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, round(l_extendedprice * (1 + 0.005::DOUBLE), 2) AS limit_price FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, round((l_extendedprice * (1 + 0.005::DOUBLE))::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE AS limit_price FROM lineitem",
 )
 def ioc_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", R.ioc_limit(F.col("l_extendedprice")).alias("limit_price"))
@@ -60,7 +60,7 @@ def ioc_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sizing_sql_functions",
     """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(10000.0::DOUBLE * 0.002::DOUBLE / (c_acctbal - c_acctbal * 0.9::DOUBLE), 5) ELSE 0 END AS size,
-  round(c_acctbal * (1 + 0.005::DOUBLE), 2) AS limit_price FROM customer WHERE c_acctbal >= 100""",
+  round((c_acctbal * (1 + 0.005::DOUBLE))::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE AS limit_price FROM customer WHERE c_acctbal >= 100""",
 )
 def sizing_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizing rules as SQL functions in a statement with parameters."""
@@ -125,7 +125,7 @@ n AS (SELECT *, NOT (p > 0 AND r - a > 0 AND a > 0) AS invalid, CASE WHEN p > 0
   FROM s WHERE signal_id NOT IN (SELECT signal_id FROM live)),
 e AS (SELECT *, symbol IN (SELECT symbol FROM exposed) OR coalesce(max(NOT invalid AND z > 0) OVER (PARTITION BY symbol ORDER BY ts, signal_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS occupied FROM n),
 v AS (SELECT *, CASE WHEN occupied THEN 'REJECTED_POSITION_OPEN' WHEN invalid THEN 'REJECTED_INVALID_DATA' WHEN z <= 0 THEN 'REJECTED_INVALID_SIZE' ELSE 'PENDING' END AS status FROM e)
-SELECT 'ord_' || signal_id || CASE WHEN status = 'PENDING' THEN '' ELSE '_rej' END AS order_id, signal_id, symbol, CASE WHEN status = 'PENDING' THEN round(p * (1 + 0.005::DOUBLE), 2) ELSE p END AS price,
+SELECT 'ord_' || signal_id || CASE WHEN status = 'PENDING' THEN '' ELSE '_rej' END AS order_id, signal_id, symbol, CASE WHEN status = 'PENDING' THEN round((p * (1 + 0.005::DOUBLE))::VARCHAR::DECIMAL(38, 20), 2)::DOUBLE ELSE p END AS price,
   CASE WHEN status = 'PENDING' THEN z ELSE 0 END AS size, status, {NOW}::BIGINT AS created_at, CASE WHEN status = 'PENDING' THEN 'ORDER_PENDING' ELSE status END AS signal_status FROM v""",
 )
 def order_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,10 +179,10 @@ run AS (
 @query(
     "fill_ledger",
     f"""WITH RECURSIVE {FOLD_SQL}
-SELECT run.o_orderkey::VARCHAR AS order_id, symbol, run.k AS place, execution_id, round(price, 6) AS price, size, fee, ts, verdict FROM run JOIN f ON f.l_orderkey = run.o_orderkey AND f.k = run.k""",
+SELECT run.o_orderkey::VARCHAR AS order_id, symbol, run.k AS place, execution_id, round(price, 8) AS price, size, fee, ts, verdict FROM run JOIN f ON f.l_orderkey = run.o_orderkey AND f.k = run.k""",
 )
 def fill_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.ledger(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).withColumn("place", F.col("place").cast("long")), "price")
+    return rounded(X.ledger(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).withColumn("place", F.col("place").cast("long")), "price", places=8)
 
 
 @query(
@@ -198,23 +198,23 @@ def order_execution_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH RECURSIVE {FOLD_SQL},
 a AS (SELECT run.o_orderkey::VARCHAR AS order_id, symbol, execution_id, price, size, ts, run.k FROM run JOIN f ON f.l_orderkey = run.o_orderkey AND f.k = run.k WHERE verdict = 'accepted'),
 p AS (SELECT a.*, o_totalprice * 0.97::DOUBLE AS stop FROM a JOIN orders ON o_orderkey::VARCHAR = order_id)
-SELECT symbol, min(ts) AS entry_ts, round(sum(price * size) / sum(size), 4) AS avg_entry, sum(size) AS current_size, round(arg_max(stop, (ts, order_id, k)), 4) AS stop_price, 'OPEN' AS state FROM p GROUP BY symbol""",
+SELECT symbol, min(ts) AS entry_ts, round(sum((price * size)::DECIMAL(38, 8))::DOUBLE / sum(size), 8) AS avg_entry, sum(size) AS current_size, round(arg_max(stop, (ts, order_id, k)), 8) AS stop_price, 'OPEN' AS state FROM p GROUP BY symbol""",
 )
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = target_orders(spark, sf_dir)
     accepted = X.ledger(orders, line_fills(spark, sf_dir)).where("verdict = 'accepted'")
     out = X.positions(accepted, orders.select("order_id", (F.col("price") * 0.97).alias("stop_price")))
-    return rounded(out.select("symbol", "entry_ts", "avg_entry", "current_size", "stop_price", "state"), "avg_entry", "stop_price", places=4)
+    return rounded(out.select("symbol", "entry_ts", "avg_entry", "current_size", "stop_price", "state"), "avg_entry", "stop_price", places=8)
 
 
 @query(
     "executions",
     f"""WITH RECURSIVE {FOLD_SQL}
-SELECT execution_id, arg_min(run.o_orderkey::VARCHAR, (ts, run.k)) AS order_id, round(arg_min(price, (ts, run.k)), 6) AS price, arg_min(size, (ts, run.k)) AS size, min(ts) AS ts
+SELECT execution_id, arg_min(run.o_orderkey::VARCHAR, (ts, run.k)) AS order_id, round(arg_min(price, (ts, run.k)), 8) AS price, arg_min(size, (ts, run.k)) AS size, min(ts) AS ts
 FROM run JOIN f ON f.l_orderkey = run.o_orderkey AND f.k = run.k WHERE verdict = 'accepted' GROUP BY execution_id""",
 )
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.executions(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).select("execution_id", "order_id", "price", "size", "ts"), "price")
+    return rounded(X.executions(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).select("execution_id", "order_id", "price", "size", "ts"), "price", places=8)
 
 
 @query(
@@ -287,9 +287,6 @@ def pending_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.timeouts(target_orders(spark, sf_dir), F.lit(NOW), LIMIT).select("order_id", "age")
 
 
-LINE_SEQ = "row_number() OVER (ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax)"
-
-
 @query(
     "merge_first_last",
     """SELECT l_orderkey, l_linenumber, arg_min(l_partkey, s) AS l_partkey, arg_max(l_quantity, s) AS l_quantity, arg_max(l_extendedprice, s) AS l_extendedprice FROM (
@@ -308,7 +305,7 @@ def merge_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first row of each execution id; repeated ids are refused."""
-    return M.first_rows(line_fills(spark, sf_dir).select("execution_id", "size", "fee", "seq"), ["execution_id"])
+    return M.first_rows(line_fills(spark, sf_dir).select("execution_id", "size", "fee", "seq"), ["execution_id"]).drop("seq")
 
 
 @query(
