@@ -10,20 +10,21 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars as B
 from tidemark.operators import setups as S
 from tidemark.plans import market
-from tidemark.plans.market import DAYS, rounded
+from tidemark.plans.market import rounded
 from tidemark.sources import tapes as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: Days and four days, with limits that noise passes often enough to exercise each stage.
+FRAMES = {"1d": 86400, "12d": 1036800}
+#: Days and twelve days, with limits that noise passes often enough to exercise each stage.
 RELAXED = S.SetupParams(
-    signal="1d", regime="4d", signal_sec=86400, regime_sec=345600, signal_window=30, regime_window=60, least_signal=25, least_regime=35, fast=10, slow=30, least_range=0.0,
-    lookback=5, volume_factor=0.5, least_position=0.2, rsi_low=30.0, rsi_high=95.0, zone_below=3.0, zone_above=3.0, chase=60.0, stop_at_gaps=False,
+    signal="1d", regime="12d", signal_sec=86400, regime_sec=1036800, signal_window=30, regime_window=60, least_signal=25, least_regime=35, fast=10, slow=30, least_range=0.0,
+    lookback=2, volume_factor=0.1, least_position=0.1, rsi_low=1.0, rsi_high=99.0, zone_below=10.0, zone_above=10.0, chase=3.0, stop_at_gaps=False,
 )
 P = RELAXED
 
-STAGES = f"""{market.LINE_BARS}, {market.regime_sql(P.regime_window, P.fast, P.slow, P.least_range)},
+STAGES = f"""{market.bars_sql(T.TAPE_LINE_SQL, FRAMES)}, {market.regime_sql(P.regime_window, P.fast, P.slow, P.least_range)},
 x AS (SELECT *, count(*) OVER w AS n_seen, max(high) OVER b AS prior_high, sum(volume) OVER b / {P.lookback} AS prior_volume,
     list(true_range) OVER h AS wt, list(gain) OVER h AS wg, list(loss) OVER h AS wl
   FROM ch2 WHERE timeframe = '1d'
@@ -31,7 +32,7 @@ x AS (SELECT *, count(*) OVER w AS n_seen, max(high) OVER b AS prior_high, sum(v
     h AS (PARTITION BY symbol ORDER BY ts_open ROWS {P.signal_window - 1} PRECEDING)),
 y AS (SELECT *, {market.wilder_sql('wt', 14)} AS atr, {market.wilder_sql('wg', 14)} AS ag, {market.wilder_sql('wl', 14)} AS al FROM x),
 z AS (SELECT *, CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi, later - later % {P.regime_sec} AS visible FROM y),
-rg AS (SELECT symbol, ts_open AS regime_ts, n_window AS n_regime, bullish FROM regime WHERE timeframe = '4d'),
+rg AS (SELECT symbol, ts_open AS regime_ts, n_window AS n_regime, bullish FROM regime WHERE timeframe = '12d'),
 sb AS (SELECT z.* EXCLUDE (wt, wg, wl), rg.regime_ts, rg.n_regime, rg.bullish, row_number() OVER (PARTITION BY z.symbol ORDER BY z.ts_open) AS idx
   FROM z ASOF JOIN rg ON z.symbol = rg.symbol AND rg.regime_ts < z.visible WHERE n_seen >= {P.least_signal} AND n_regime >= {P.least_regime}),
 nb AS (SELECT *, min(CASE WHEN NOT bullish THEN idx END) OVER (PARTITION BY symbol ORDER BY ts_open ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS bear FROM sb),
@@ -57,7 +58,7 @@ def query(name: str, sql: str):
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.setup_bars(B.bars(T.tape_line(spark, sf_dir), DAYS, keep_later=True), P)
+    return S.setup_bars(B.bars(T.tape_line(spark, sf_dir), FRAMES, keep_later=True), P)
 
 
 @query("breakouts", f"WITH {STAGES} SELECT symbol, idx, ts_open, round(level, 6) AS level, round(midpoint, 6) AS midpoint, bear FROM bo")

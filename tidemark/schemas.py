@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
+
+TYPES = {"string": StringType(), "double": DoubleType(), "bigint": LongType(), "boolean": BooleanType(), "timestamp": TimestampType()}
+
+
+def schema_of(columns: str) -> StructType:
+    """A schema from names and types, without a session."""
+    return StructType([StructField(name, TYPES[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
 
 SCHEMAS: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
+    name: schema_of(columns)
+    for name, columns in {
         "trades": "symbol string, price double, size double, ts timestamp, seq bigint, ingest_ts timestamp",
         "bars": "symbol string, timeframe string, ts_open bigint, open double, high double, low double, close double, volume double",
         "signals": "signal_id string, symbol string, signal_type string, regime_snapshot string, breakout_level double, retest_level double, "
