@@ -1,44 +1,43 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines are sequences of words. Two lines are near when one insertion, deletion or replacement of a word makes them
-equal and both have ``least`` words or more; shorter lines have an edit bound of 0. A line goes when an equal or a
-near line stands earlier (smaller doc_id, then smaller line number).
+Lines stand between line feeds; their words stand between single spaces. Two lines are near when one insertion,
+deletion or replacement of a word makes them equal and both have ``least`` words or more; shorter lines have an edit
+bound of 0. A line goes when an equal or a near line stands earlier (smaller doc_id, then smaller line number).
 
 Equal lines meet under one hash. For near lines every variant with one word deleted is a key: lines of n words that
 agree without their i-th word differ in that word at most, and a line that equals another one's variant is one
 deletion away. So the smallest place under a key answers for all lines under it and no pairs are made. Variants are
-made only for lines that share the first or the second half with another line, which one edit always leaves.
+made only for lines that share the first or the second half with another line of fitting length, which one edit
+always leaves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, free_name, stored
+from tidemark.llm.common import free_name, stored
 
 NO_ID = (1 << 63) - 1
-BROADCAST_LINES = 1_000_000
+#: Rows of keys or hashes that are broadcast when counted to be no more; else they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+VISIBLE = r"[^\x20\x09-\x0D]"
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, SPACE), lambda w: w != "")
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def half_keys(words: Column, n: Column, least: int) -> Column:
-    """Hashes of the halves that an equal or one word shorter or longer line would share if the edit is in the other."""
+def half_keys(line: Column, n: Column, m: Column, least: int) -> list[Column]:
+    """Hashes of the first and second half of the words of a line, for halves of a line of m words; null below ``least``."""
+    p = F.floor(m / 2).cast("int")
+    part = lambda count: F.call_function("substring_index", line, F.lit(" "), count)
+    return [F.when(m >= least, F.xxhash64(part(p), m, F.lit(1))), F.when(m >= least, F.xxhash64(part(p - m), m, F.lit(2)))]
 
-    def halves(m: Column) -> Column:
-        p = F.floor(m / 2).cast("int")
-        q = m - p
-        keys = F.array(F.xxhash64(F.slice(words, F.lit(1), p), m, F.lit(1)), F.xxhash64(F.slice(words, n - q + 1, q), m, F.lit(2)))
-        return F.when(m >= least, keys).otherwise(F.array().cast("array<bigint>"))
 
-    return F.concat(halves(n), halves(n - 1))
-
-
-def variants(words: Column, n: Column, least: int) -> Column:
-    """Keys of a line: role 0 for lines of one length without a place, 1 for the whole line, 2 for it without a word.
+def variants(words: Column, n: Column, replaced: Column, longer: Column, shorter: Column) -> Column:
+    """Keys of a line, for the relations that it may have: role 0 for lines of one length without a place, 1 for the whole line, 2 for it without a word.
 
     The hash of a sequence is the exclusive or of hashes of words with their places, so the variant without word i is
     the hash of what stands before, of what stands after one place earlier, and nothing else.
@@ -56,9 +55,12 @@ def variants(words: Column, n: Column, least: int) -> Column:
 
     without = F.aggregate(spots, start, step, lambda acc: acc["out"])
     key = lambda role, k: F.struct(F.lit(role).alias("role"), k.alias("key"))
-    replaced = F.transform(without, lambda v, i: key(0, F.xxhash64(n, i, v)))
-    shorter = F.when(n - 1 >= least, F.transform(F.array_distinct(without), lambda v: key(2, F.xxhash64(n - 1, v)))).otherwise(F.array().cast("array<struct<role:int,key:bigint>>"))
-    return F.concat(replaced, shorter, F.array(key(1, F.xxhash64(n, whole))))
+    none = F.array().cast("array<struct<role:int,key:bigint>>")
+    return F.concat(
+        F.when(replaced, F.transform(without, lambda v, i: key(0, F.xxhash64(n, i, v)))).otherwise(none),
+        F.when(longer, F.transform(F.array_distinct(without), lambda v: key(2, F.xxhash64(n - 1, v)))).otherwise(none),
+        F.when(shorter, F.array(key(1, F.xxhash64(n, whole)))).otherwise(none),
+    )
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -75,64 +77,73 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """A row per line with words: d (id, the largest number for null), th (hash of the text), ln, words, n, h, chk."""
+    """A row per line with a visible character: d (id, the largest number for null), th (hash of the text), ln, line, h, chk."""
     rows = docs.where(F.col("text").isNotNull()).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line")
     )
-    rows = rows.select("d", "th", "ln", words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
-    return rows.select("d", "th", "ln", "words", F.size("words").alias("n"), F.xxhash64("words").alias("h"), F.hash("words").alias("chk"))
+    return rows.where(F.col("line").rlike(VISIBLE)).select("*", F.xxhash64("line").alias("h"), F.hash("line").alias("chk"))
 
 
 def repeated_lines(docs: DataFrame, least: int = 8) -> DataFrame:
     """Lines that go: d, th, ln.
 
     Texts are never joined to find them: what is shuffled are places and hashes (96 bits of a line), and the words of
-    lines that share a half with another line. Their hashes reach the tasks by broadcast when counted to be at most
-    ``BROADCAST_LINES``, else by a shuffled join. Near lines are verified word by word.
+    lines that share a half with another line. Near lines are verified word by word.
     """
     lines = lines_of(docs)
-    place = F.struct("d", "ln")
-    halves = half_keys(F.col("words"), F.col("n"), least)
-    each = lines.select("d", "th", "ln", "n", "h", "chk", *[F.get(halves, F.lit(k)).alias(f"k{k}") for k in range(4)])
+    n = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    keys = [*half_keys(F.col("line"), F.col("n"), F.col("n"), least), *half_keys(F.col("line"), F.col("n"), F.col("n") - 1, least)]
+    each = lines.withColumn("n", n).select("d", "th", "ln", "h", "chk", "n", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
     each = stored(each, "lines")
-    first = stored(each.groupBy("h", "chk", "n").agg(F.min(place).alias("first"), *[F.min(f"k{k}").alias(f"k{k}") for k in range(4)]), "first-lines")
-    equal = each.join(first.select("h", "chk", "n", "first"), ["h", "chk", "n"]).where(place > F.col("first")).select("d", "th", "ln")
-
-    keys = first.where(F.col("n") >= least).select("h", "chk", "n", F.explode(F.array(*[f"k{k}" for k in range(4)])).alias("key")).where("key IS NOT NULL")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("key")
-    likely = stored(keys.join(shared, "key", "left_semi").select("h", "chk", "n").distinct(), "likely-lines")
-    wanted = F.broadcast(likely) if likely.count() <= BROADCAST_LINES else likely
-    open_lines = stored(lines.join(wanted, ["h", "chk", "n"], "left_semi").select(F.struct("d", "ln").alias("place"), "h", "chk", "n", "words"), "open-lines")
-    heads = open_lines.join(first.select("h", "chk", "n", "first"), ["h", "chk", "n"]).where("place = first").select("place", "n", "words", "h", "chk").dropDuplicates(["place", "h", "chk"])
+
+    first = each.groupBy("h", "chk", "n").agg(F.min("d").alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
+    first = stored(first, "first-lines")
+    same = each.select("d", "th", "ln", "h", "chk").join(first.select("h", "chk", "first"), ["h", "chk"])
+    lead = F.row_number().over(Window.partitionBy("d", "th", "h", "chk").orderBy("ln"))
+    own = same.where("d = first").withColumn("lead", lead)
+    own = stored(own.select("d", "th", "ln", "h", "chk", "lead"), "own-lines")
+    equal = same.where("d > first").select("d", "th", "ln").unionByName(own.where("lead > 1").select("d", "th", "ln"))
+
+    half = first.where(F.col("n") >= least).select("h", "chk", F.posexplode(F.array(*[f"k{i}" for i in range(4)])).alias("i", "key")).where("key IS NOT NULL")
+    half = half.select("h", "chk", "key", (F.col("i") > 1).alias("long"))
+    shared = half.groupBy("key").agg(F.count_if(~F.col("long")).alias("fits"), F.count_if("long").alias("longs")).where("fits > 1 OR (fits > 0 AND longs > 0)")
+    shared = stored(shared, "shared-halves")
+    needs = half.join(small(shared), "key").groupBy("h", "chk").agg(
+        F.max(~F.col("long") & (F.col("fits") > 1)).alias("replaced"), F.max(F.col("long") & (F.col("fits") > 0)).alias("longer"), F.max(~F.col("long") & (F.col("longs") > 0)).alias("shorter")
+    )
+    needs = stored(needs.where("replaced OR longer OR shorter"), "needs")
+    heads = lines.join(small(needs), ["h", "chk"]).select("d", "th", "ln", "h", "chk", "replaced", "longer", "shorter", F.split("line", " ").alias("words"))
+    heads = heads.join(own.where("lead = 1").select("d", "th", "ln", "h", "chk"), ["d", "th", "ln", "h", "chk"], "left_semi").dropDuplicates(["h", "chk", "d"])
     heads = stored(heads, "heads")
 
-    made = heads.select("place", "h", "chk", F.explode(variants(F.col("words"), F.col("n"), least)).alias("v")).select("place", "h", "chk", "v.role", "v.key")
+    made = heads.select("h", F.explode(variants(F.col("words"), F.size("words"), F.col("replaced"), F.col("longer"), F.col("shorter"))).alias("v")).select("h", "v.role", "v.key")
     made = stored(made, "variants")
-    least_of = lambda role: F.min(F.when(F.col("role") == role, F.struct("place", "h", "chk")))
-    groups = made.groupBy("key").agg(F.count(F.lit(1)).alias("many"), *[least_of(r).alias(f"f{r}") for r in range(3)]).where("many > 1").drop("many")
+    many = stored(made.groupBy("key").count().where("count > 1").select("key"), "shared-variants")
+    met = made.join(small(many), "key", "left_semi").join(heads.select("h", F.struct("d", "ln", "h").alias("place")), "h")
+    groups = met.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, F.col("place"))).alias(f"f{r}") for r in range(3)])
     other = F.when(F.col("role") == 0, F.col("f0")).when(F.col("role") == 1, F.col("f2")).otherwise(F.col("f1"))
-    met = made.join(groups, "key").withColumn("other", other).where(F.col("other.place") < F.col("place")).select("place", "h", "chk", "other").distinct()
-    mine = heads.select("place", "h", "chk", F.col("words").alias("mine"))
-    theirs = heads.select(F.struct("place", "h", "chk").alias("other"), F.col("words").alias("theirs"))
-    near = met.join(mine, ["place", "h", "chk"]).join(theirs, "other").where(within_one(F.col("mine"), F.col("theirs"))).select("place", "h", "chk").distinct()
-    near = each.join(near, (F.struct("d", "ln") == F.col("place")) & (each["h"] == near["h"]) & (each["chk"] == near["chk"])).select("d", "th", "ln")
+    met = met.join(groups, "key").withColumn("other", other).where(F.struct("other.d", "other.ln") < F.struct("place.d", "place.ln")).select("place", "other").distinct()
+    mine = heads.select(F.struct("d", "ln", "h").alias("place"), F.col("words").alias("mine"))
+    theirs = heads.select(F.struct("d", "ln", "h").alias("other"), F.col("words").alias("theirs"))
+    near = met.join(mine, "place").join(theirs, "other").where(within_one(F.col("mine"), F.col("theirs"))).select("place.*").distinct()
+    near = own.where("lead = 1").join(near, ["d", "ln", "h"], "left_semi").select("d", "th", "ln")
     return equal.unionByName(near)
 
 
 def dedup_lines(docs: DataFrame, least: int = 8) -> DataFrame:
     """Keep the earliest of equal and near lines.
 
-    Adds a struct ``lines`` (a column of that name is replaced): n_lines (lines of the text that have words), n_removed,
-    text (the lines that stay, joined as they were). Lines without words always stay. Null texts have no line and stay
-    null; null ids come last, as one document; a text that repeats under one id keeps the same lines each time. An
-    empty table gives no rows.
+    Adds a struct ``lines`` (a column of that name is replaced): n_lines (lines of the text with a visible character),
+    n_removed, text (the lines that stay, joined as they were). Blank lines always stay. Null texts have no line and
+    stay null; null ids come last, as one document; a text that repeats under one id keeps the same lines each time.
+    An empty table gives no rows.
     """
     d, th, gone = free_name(docs, "d"), free_name(docs, "th"), free_name(docs, "gone")
     removed = repeated_lines(docs.select("doc_id", "text"), least).groupBy("d", "th").agg(F.collect_set("ln").alias("gone")).toDF(d, th, gone)
     rows = docs.drop("lines").withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(th, F.xxhash64("text"))
     rows = rows.join(removed, [d, th], "left")
     lines = F.split("text", "\n")
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(VISIBLE))), F.lit(0)).cast("long")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.withColumn("lines", F.struct(F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), text.alias("text"))).drop(d, th, gone)
@@ -149,8 +160,8 @@ def report(docs: DataFrame, least: int = 8) -> DataFrame:
 REPORT_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
 a AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS ln FROM d),
-l AS (SELECT doc_id, ln, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM a),
-k AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n, row_number() OVER (PARTITION BY array_to_string(w, ' ') ORDER BY doc_id, ln) AS r FROM l WHERE len(w) > 0),
+l AS (SELECT doc_id, ln, line, string_split(line, ' ') AS w FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+k AS (SELECT *, line AS s, len(w) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, ln) AS r FROM l),
 f AS (SELECT row_number() OVER (ORDER BY doc_id, ln) AS o, doc_id, ln, w, n, s FROM k WHERE r = 1 AND n >= 8),
 v AS (SELECT o, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:n]), ' ') AS t FROM (SELECT o, n, w, unnest(range(1, n + 1)) AS i FROM f)),
 e AS (
