@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, shared_path, stored
+from tidemark.llm.common import free_name, shared_path, written
 
 WINDOW, GRAM = 20, 8
 FLUSH = 1_000_000
@@ -229,24 +229,27 @@ def merge_windows(buckets: int):
 
     def merge(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         mine, past = unpacked(new[new["kind"] == "window"]), unpacked(old)
-        past["flags"] = np.ones(len(past["keys"]), np.int8)
+        past |= {"docs": np.full(len(past["keys"]), -1, np.int64), "places": np.full(len(past["keys"]), -1, np.int32), "flags": np.ones(len(past["keys"]), np.int8)}
         r = {k: np.concatenate([mine[k], past[k]]) for k in TYPES}
         n = len(mine["keys"])
         first, later = firsts(r)
         cut = packed("cut", {"docs": r["docs"][later], "places": r["places"][later]}, doc_hash(r["docs"][later]), buckets)
         first = first[first < n]
-        run = {k: r[k][first] for k in TYPES}
+        run = {k: r[k][first] for k in ("keys", "checks")}
         return pd.concat([new[new["kind"] == "cut"], cut, packed("window", run, run["keys"], buckets)], ignore_index=True)
 
     return merge
 
 
 class FingerprintIndex:
-    """Runs in a folder. The newest manifest names the runs that count; runs and manifests are never changed."""
+    """Runs of fingerprints (``print``) and verified windows (``window``) in folders.
+
+    The newest manifest names the runs that count; runs and manifests are never changed.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 4):
         self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
-        self.runs: list[tuple[int, str]] = []
+        self.runs: dict[str, list[tuple[int, str]]] = {"print": [], "window": []}
         self.version = 0
 
     @classmethod
@@ -254,33 +257,40 @@ class FingerprintIndex:
         """The index that was last saved under ``path``."""
         rows = spark.read.parquet(f"{path}/manifest").collect()
         last = max(r["version"] for r in rows)
-        now = [r for r in rows if r["version"] == last]
+        now = sorted((r for r in rows if r["version"] == last), key=lambda r: r["place"])
         index = cls(spark, path, now[0]["buckets"], now[0]["fanout"])
-        index.version, index.runs = last, [(r["level"], r["run"]) for r in sorted(now, key=lambda r: r["place"])]
+        index.version = last
+        for r in now:
+            index.runs[r["kind"]].append((r["level"], r["run"]))
         return index
 
-    def _save(self) -> None:
+    def save(self) -> None:
+        """Write a manifest of the runs."""
         self.version += 1
-        rows = [(self.version, i, level, run, self.buckets, self.fanout) for i, (level, run) in enumerate(self.runs)]
-        self.spark.createDataFrame(rows, "version int, place int, level int, run string, buckets int, fanout int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        rows = [(self.version, i, kind, level, run, self.buckets, self.fanout) for kind, runs in self.runs.items() for i, (level, run) in enumerate(runs)]
+        schema = "version int, place int, kind string, level int, run string, buckets int, fanout int"
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
 
     def rows(self, kind: str) -> DataFrame:
-        """Rows of all runs."""
-        out = self.spark.createDataFrame([], ROW)
-        for _, run in self.runs:
-            out = out.unionByName(self.spark.read.schema(ROW).parquet(run).where(F.col("kind") == kind))
-        return out
+        """Rows of all runs of a kind."""
+        paths = [run for _, run in self.runs[kind]]
+        return self.spark.read.schema(ROW).parquet(*paths).where(F.col("kind") == kind) if paths else self.spark.createDataFrame([], ROW)
 
-    def add(self, rows: DataFrame) -> None:
-        """A new run; ``fanout`` runs of a level are merged into one of the next."""
+    def add(self, kind: str, rows: DataFrame) -> DataFrame:
+        """Write rows as a new run and read them back (rows of other kinds too, which are no part of the run).
+
+        ``fanout`` runs of a level are merged into one of the next.
+        """
         run = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows.write.parquet(run)
-        self.runs.append((0, run))
-        while len(level := [r for r in self.runs if r[0] == self.runs[-1][0]]) >= self.fanout:
+        out = written(rows, run)
+        runs = self.runs[kind]
+        runs.append((0, run))
+        while len(level := [r for r in runs if r[0] == runs[-1][0]]) >= self.fanout:
             merged = f"{self.path}/run-{uuid.uuid4().hex}"
-            self.spark.read.schema(ROW).parquet(*[r for _, r in level]).groupBy("kind", "bucket").applyInPandas(compacted(self.buckets), ROW).write.parquet(merged)
-            self.runs = [r for r in self.runs if r not in level] + [(level[0][0] + 1, merged)]
-        self._save()
+            old = self.spark.read.schema(ROW).parquet(*[r for _, r in level]).where(F.col("kind") == kind)
+            written(old.groupBy("bucket").applyInPandas(compacted(self.buckets), ROW), merged)
+            runs[:] = [r for r in runs if r not in level] + [(level[0][0] + 1, merged)]
+        return out
 
 
 def compacted(buckets: int):
@@ -293,9 +303,9 @@ def compacted(buckets: int):
             flags = ((sizes > 1) | (np.maximum.reduceat(r["flags"][order], starts) > 0)).astype(np.int8)
             first = order[starts]
             return packed(kind, {k: r[k][first] for k in ("keys", "docs", "places")} | {"flags": flags}, r["keys"][first], buckets)
-        order, starts, _ = groups(r["places"], r["docs"], r["checks"], r["keys"])
+        order, starts, _ = groups(r["checks"], r["keys"])
         first = order[starts]
-        return packed(kind, {k: r[k][first] for k in TYPES}, r["keys"][first], buckets)
+        return packed(kind, {k: r[k][first] for k in ("keys", "checks")}, r["keys"][first], buckets)
 
     return merge
 
@@ -307,15 +317,16 @@ def find_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame | N
     """
     buckets = index.buckets
     prints = fingerprints(batch, buckets).groupBy("bucket").cogroup(index.rows("print").groupBy("bucket")).applyInPandas(merge_prints(buckets), ROW)
-    prints = stored(prints, "prints")
+    prints = index.add("print", prints)
     hits = places_by_doc(prints.where("kind = 'hit'"), "hits")
     texts = batch.select("doc_id", "text", F.lit(0).alias("old"))
     if history is not None:
         texts = texts.unionByName(history.select("doc_id", "text", F.lit(1).alias("old")))
     texts = texts.select(F.coalesce(F.col("doc_id"), F.lit(int(NO_ID))).alias("doc"), "text", "old")
     found = windows(texts.join(hits, "doc"), buckets)
-    found = stored(found.groupBy("bucket").cogroup(index.rows("window").groupBy("bucket")).applyInPandas(merge_windows(buckets), ROW), "windows")
-    index.add(prints.where("kind = 'print'").unionByName(found.where("kind = 'window'")))
+    found = found.groupBy("bucket").cogroup(index.rows("window").groupBy("bucket")).applyInPandas(merge_windows(buckets), ROW)
+    found = index.add("window", found)
+    index.save()
     return places_by_doc(found.where("kind = 'cut'"), "cuts")
 
 
@@ -334,7 +345,7 @@ def cut_words(text: str | None, cuts: bytes | None) -> tuple[int, int, str | Non
     return len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "surrogatepass")
 
 
-def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), buckets: int | None = None, fanout: int = 2) -> DataFrame:
+def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), bucket_docs: int = 1000, fanout: int = 4) -> DataFrame:
     """Remove every word covered by a 20-word window whose words also start earlier.
 
     Earlier is a smaller doc_id, or the same document at an earlier start; windows are judged on the input. Documents
@@ -347,7 +358,7 @@ def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), buckets: int |
     gives no rows.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(64, docs.count() // bucket_docs)
     index = FingerprintIndex(spark, shared_path(spark, "fingerprints"), buckets, fanout)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     edges = rows.agg(F.percentile_approx("doc_id", list(batches), 10_000).alias("e")).collect()[0]["e"] or [] if batches else []
