@@ -73,11 +73,11 @@ def fit(docs: DataFrame, train: Column, orders: tuple[int, ...] = (1, 2, 3), buc
                 total = totals.setdefault(lang, np.zeros(buckets + 1))
                 for a, b in blocks(texts):
                     total += np.bincount(grams(texts[a:b], orders, buckets)[0].ravel(), minlength=buckets + 1)
-        yield pd.DataFrame({"lang": list(totals), "docs": [docs_of[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]})
+        yield pd.DataFrame({"lang": pd.Series(list(totals), dtype=object), "docs": [docs_of[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c) for c in group["counts"])
-        return pd.DataFrame({"lang": group["lang"].iloc[:1], "docs": [int(group["docs"].sum())], "counts": [total.tobytes()]})
+        return pd.DataFrame({"lang": pd.Series([group["lang"].iloc[0]], dtype=object), "docs": [int(group["docs"].sum())], "counts": [total.tobytes()]})
 
     schema = "lang string, docs long, counts binary"
     summed = rows.mapInPandas(count, schema).groupBy("lang").applyInPandas(add, schema).where("docs > 0").orderBy("lang").limit(most_languages + 1).collect()
@@ -114,6 +114,6 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             best = total.argmax(axis=1)
             langs[at] = np.array(m["languages"], object)[best]
             scores[at] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        return pd.DataFrame({"lang": langs, "score": scores})
+        return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": scores})
 
     return docs.withColumn("language", name(F.col("text")))

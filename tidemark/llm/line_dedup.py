@@ -99,7 +99,7 @@ def repeated_lines(docs: DataFrame, least: int = 8) -> DataFrame:
     first = each.groupBy("h", "chk", "n").agg(F.min("d").alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)])
     first = stored(first, "first-lines")
     same = each.select("d", "th", "ln", "h", "chk").join(first.select("h", "chk", "first"), ["h", "chk"])
-    lead = F.row_number().over(Window.partitionBy("d", "th", "h", "chk").orderBy("ln"))
+    lead = F.dense_rank().over(Window.partitionBy("d", "th", "h", "chk").orderBy("ln"))
     own = same.where("d = first").withColumn("lead", lead)
     own = stored(own.select("d", "th", "ln", "h", "chk", "lead"), "own-lines")
     equal = same.where("d > first").select("d", "th", "ln").unionByName(own.where("lead > 1").select("d", "th", "ln"))

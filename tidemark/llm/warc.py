@@ -152,7 +152,9 @@ class WarcReader(DataSourceReader):
                 listed |= set(json.loads(f.read()))
         return [WarcFile(n) for n in names if n.endswith((".warc", ".warc.gz")) and (not indexes or n in listed)]
 
-    def read(self, partition: WarcFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a plan without files
+            return
         schema = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary()}.get(f.dataType.simpleString(), pa.string())) for f in self.schema.fields])
         rows: list[dict] = []
         held = 0
