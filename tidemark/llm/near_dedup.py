@@ -16,6 +16,10 @@ from tidemark.llm.common import stored
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Likeness from which texts count as kin; links need far more, so linked texts fall into one family.
+FAMILY = 0.5
+#: Members of a family that are compared with as many others at a time.
+BLOCK = 256
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def sketched(docs: DataFrame, scheme: SetSketch, width: int) -> DataFrame:
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, scheme: SetSketch, least: float) -> DataFrame:
-    """Pairs (a, b) whose sketches give a similarity of ``least`` or more by joint likelihood."""
+    """Pairs (a, b) whose sketches give a similarity (like) of ``least`` or more by joint likelihood, with their sizes."""
     of = sketches.select("v", "n", "registers")
     both = pairs.join(of.toDF("a", "n_a", "r_a"), "a").join(of.toDF("b", "n_b", "r_b"), "b")
 
@@ -135,7 +139,7 @@ def likely(pairs: DataFrame, sketches: DataFrame, scheme: SetSketch, least: floa
             out[s : s + 4096] = scheme.likelihood((x > y).sum(axis=1), (x < y).sum(axis=1), n_a.to_numpy(float)[s : s + 4096], n_b.to_numpy(float)[s : s + 4096])
         return pd.Series(out)
 
-    return both.where(estimate("r_a", "r_b", "n_a", "n_b") >= least).select("a", "b")
+    return both.withColumn("like", estimate("r_a", "r_b", "n_a", "n_b")).where(F.col("like") >= least).select("a", "b", "n_a", "n_b", "like")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -147,7 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
     def near(t_a: pd.Series, t_b: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(t_a, t_b, strict=True):
-            x, y = (shingles(zlib.decompress(t).decode("utf-8", "surrogatepass"), width) for t in (a, b))
+            x, y = unpacked(a, width), unpacked(b, width)
             same = len(np.intersect1d(x, y, assume_unique=True))
             out.append(100 * same >= percent * (len(x) + len(y) - same))
         return pd.Series(out)
@@ -189,7 +193,7 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return labels.join(touched.withColumnRenamed("c", "t"), "v", "left").select("v", F.coalesce("t", "c").alias("c"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme: SetSketch | None = None, crowd: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme: SetSketch | None = None) -> DataFrame:
     """Groups of near-duplicate documents.
 
     A document's set is its distinct ``width``-word shingles (A-Z lower-cased; a shorter text is one shingle). Texts
@@ -198,17 +202,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
 
     Equal sets (128-bit digest of the set) become one class first. Classes meet in bands of equal registers; a band's
     members are paired with its smallest member only, so a group of any size gives one pair a member. Pairs that
-    joint likelihood puts far below the threshold (0.2, about six standard errors) go, the others are verified on full
-    sets. A band whose members then still lie in several components is paired out across these (members of one
-    component need no further link); a crowded band (over ``crowd`` such members) first has to agree in a second band
-    too, which pairs over the threshold do with the probability that they meet at all. So no link between different
-    texts is lost but with the sketch's 2e-8.
+    joint likelihood puts within 0.16 of the threshold (over four standard errors) or above are verified on full sets.
+    Families of likely kin (0.5 or more) that then still hold several components are compared whole, in blocks. So
+    the links between different texts are lost only with the sketch's chance.
 
     Null or empty texts have no shingle and link with nothing; null ids stay alone with a null component; rows that
     repeat an id with unlike texts are joined by the id. An empty table gives no rows.
     """
     scheme = scheme or SetSketch()
-    margin = percent / 100 - 0.2
+    margin = percent / 100 - 0.16
     sketches = stored(sketched(docs, scheme, width), "sketches")
     full = sketches.where("n > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("digest", "n").agg(F.min("doc_id").alias("v"))
@@ -217,18 +219,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     own = full.withColumnRenamed("doc_id", "v").join(heads, "v", "left_semi").dropDuplicates(["v", "digest"])
     own = stored(own.select("v", "n", "digest", "registers", "keys"), "heads")
 
-    members = own.select("v", "n", F.explode("keys").alias("key"))
-    least = members.groupBy("key").agg(F.min("v").alias("a"), F.min_by("n", "v").alias("n_a"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    met = stored(members.join(least, "key").where("a <> v").select("v", "n", "a", "n_a").distinct(), "met")
-    fits = (F.col("n") * 100 >= F.col("n_a") * percent) & (F.col("n_a") * 100 >= F.col("n") * percent)
-    stars = stored(likely(met.where(fits).select("a", F.col("v").alias("b")), own, scheme, margin), "stars")
-    shared = met.select("v").unionByName(met.select(F.col("a").alias("v"))).distinct()
-    texts = stored(packed_texts(docs, shared), "texts")
-    links = stored(verified(stars, texts, percent, width), "links")
+    members = own.select("v", F.explode("keys").alias("key"))
+    least = members.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    met = stored(members.join(least, "key").where("a <> v").select("a", F.col("v").alias("b")).distinct(), "met")
+    kin = stored(likely(met, own, scheme, FAMILY), "kin")
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    texts = stored(packed_texts(docs, kin.select(F.col("a").alias("v")).union(kin.select(F.col("b").alias("v"))).distinct()), "texts")
+    links = stored(verified(kin.where(fits & (F.col("like") >= margin)), texts, percent, width), "links")
     labels = stored(components(links, heads), "components")
 
-    rest = stored(likely(crossing(own, labels, shared, percent, crowd), own, scheme, margin), "rest")
-    more = stored(verified(rest, texts, percent, width), "more")
+    more = stored(family_links(own, labels, kin, texts, percent, width), "more")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = stored(components(links, heads), "components")
@@ -243,17 +243,89 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     )
 
 
-def crossing(own: DataFrame, labels: DataFrame, shared: DataFrame, percent: int, crowd: int) -> DataFrame:
-    """Pairs of members of a band that lie in different components, sizes allowing a link."""
-    members = own.join(shared, "v", "left_semi").join(labels, "v").select("v", "n", "c", "keys")
-    each = members.select("v", "n", "c", "keys", F.posexplode("keys").alias("band", "key"))
-    stats = each.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count(F.lit(1)).alias("many")).where("least <> most")
-    open_bands = each.join(stats.select("key", "many"), "key")
-    calm = open_bands.where(F.col("many") <= crowd).select("key", "v", "n", "c")
-    crowded = open_bands.where(F.col("many") > crowd)
-    split = crowded.select("v", "n", "c", "band", "key", F.posexplode("keys").alias("other", "second")).where("other <> band")
-    split = split.select(F.xxhash64("key", "second").alias("key"), "v", "n", "c")
-    bands = calm.unionByName(split)
-    pair = (F.col("c") != F.col("d")) & (F.col("v") < F.col("w")) & (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    other = bands.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("c").alias("d"))
-    return bands.join(other, "key").where(pair).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
+def family_links(own: DataFrame, labels: DataFrame, kin: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between components of one family, as edges (a, b) that join what the links join.
+
+    A family is what likely pairs of any size connect; one that is a single component already needs no work. Others
+    are compared whole, in blocks: a member is filed by its size class (sets over the threshold are at most one class
+    apart) and one of the class's blocks of about ``BLOCK`` members, and each pair of blocks is one group. Blocks of
+    sets are intersected as matrices, so a family of any size takes bounded memory and gives no row for a pair.
+    """
+    families = components(kin.select("a", "b"), own.select("v").distinct()).withColumnRenamed("c", "f")
+    rows = families.join(labels, "v").join(own.select("v", "n").distinct(), "v")
+    rows = rows.withColumn("s", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int"))
+    several = rows.groupBy("f").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("f")
+    rows = stored(rows.join(several, "f", "left_semi"), "families")
+    blocks = stored(rows.groupBy("f", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    rows = rows.join(blocks, ["f", "s"]).withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    others = blocks.select("f", F.col("s").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
+    mine, theirs = F.struct("s", "b"), F.struct(F.col("s2").alias("s"), F.col("b2").alias("b"))
+    filed = rows.join(others, "f").where(F.abs(F.col("s") - F.col("s2")) <= 1)
+    filed = filed.select("f", F.least(mine, theirs).alias("one"), F.greatest(mine, theirs).alias("two"), mine.alias("at"), "v", "n", "c")
+    filed = filed.join(texts.dropDuplicates(["v"]), "v")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple[int, int]] = []
+        if group["c"].nunique() > 1:
+            place = [(x["s"], x["b"]) for x in group["at"]]
+            first = np.array([p == (key[1]["s"], key[1]["b"]) for p in place])
+            second = np.array([p == (key[2]["s"], key[2]["b"]) for p in place])
+            sets = [unpacked(t, width) for t in group["packed"]]
+            v, c = group["v"].to_numpy(), group["c"].to_numpy()
+            left, right = np.flatnonzero(first), np.flatnonzero(second)
+            same = intersections([sets[i] for i in left], [sets[i] for i in right])
+            n = np.array([len(s) for s in sets])
+            near = (100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)) & (c[left][:, None] != c[right][None, :])
+            top = {x: x for x in c.tolist()}
+            for i, j in zip(*np.nonzero(near), strict=True):
+                a, b = root(top, int(c[left[i]])), root(top, int(c[right[j]]))
+                if a != b:
+                    top[max(a, b)] = min(a, b)
+                    found.append((int(v[left[i]]), int(v[right[j]])))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return filed.groupBy("f", "one", "two").applyInPandas(compare, "a long, b long")
+
+
+def root(top: dict[int, int], x: int) -> int:
+    """What ``x`` is joined to."""
+    while top[x] != x:
+        x = top[x]
+    return x
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, over ``columns`` shared elements at a time."""
+    out = np.zeros((len(left), len(right)))
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    at = [[np.searchsorted(shared, s[np.isin(s, shared, assume_unique=True)]) for s in side] for side in (left, right)]
+    for start in range(0, len(shared), columns):
+        parts = []
+        for side in at:
+            m = np.zeros((len(side), min(columns, len(shared) - start)), np.float32)
+            for i, places in enumerate(side):
+                m[i, places[np.searchsorted(places, start) : np.searchsorted(places, start + columns)] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def unpacked(packed: bytes, width: int) -> np.ndarray:
+    """Shingles of a compressed text."""
+    return shingles(zlib.decompress(packed).decode("utf-8", "surrogatepass"), width)
+
+
+#: Every shared shingle of every pair, for small tables.
+GROUPS_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS v, a AS to_v FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.to_v),
+m AS (SELECT v, min(to_v) AS c FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, d.doc_id) AS component_id, coalesce(m.c, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.v = d.doc_id
+"""

@@ -82,5 +82,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.REPORT_SQL,
     "op4_line_dedup": line_dedup.REPORT_SQL,
     "op6_mixing": mixing.MIX_SQL,
+    "op8_near_dedup": near_dedup.GROUPS_SQL,
     "op9_warc": warc.ROUND_TRIP_SQL,
 }
