@@ -100,14 +100,14 @@ def stale_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "silence_at_ticks",
     """WITH e AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'), t AS (SELECT user_id, ts FROM events WHERE event_type <> 'error')
-SELECT e.user_id, e.event_id, round((epoch_us(e.ts) - epoch_us(t.ts)) / 1e6, 3) AS age, coalesce(epoch_us(e.ts) - epoch_us(t.ts) > 7200000000, false) AS stale
+SELECT e.user_id, e.event_id, round((epoch_us(e.ts) - epoch_us(t.ts)) / 1e6, 6) AS age, coalesce(epoch_us(e.ts) - epoch_us(t.ts) > 7200000000, false) AS stale
 FROM e ASOF LEFT JOIN t ON e.user_id = t.user_id AND t.ts <= e.ts""",
 )
 def silence_at_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age of the user's last other event at each error."""
     rows = table(spark, sf_dir, "events")
     out = G.silence(rows.where("event_type = 'error'").select("user_id", "event_id", "ts"), rows.where("event_type <> 'error'").select("user_id", "ts"), ["user_id"], 7200)
-    return out.select("user_id", "event_id", F.round("age", 3).alias("age"), "stale")
+    return out.select("user_id", "event_id", F.round("age", 6).alias("age"), "stale")
 
 
 LATCH_SQL = """t AS (

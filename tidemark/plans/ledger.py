@@ -182,7 +182,7 @@ run AS (
 SELECT run.o_orderkey::VARCHAR AS order_id, symbol, run.k AS place, execution_id, round(price, 8) AS price, size, fee, ts, verdict FROM run JOIN f ON f.l_orderkey = run.o_orderkey AND f.k = run.k""",
 )
 def fill_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.ledger(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).withColumn("place", F.col("place").cast("long")), "price", places=8)
+    return rounded(X.ledger(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).withColumn("place", F.col("place").cast("long")), "price")
 
 
 @query(
@@ -204,7 +204,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = target_orders(spark, sf_dir)
     accepted = X.ledger(orders, line_fills(spark, sf_dir)).where("verdict = 'accepted'")
     out = X.positions(accepted, orders.select("order_id", (F.col("price") * 0.97).alias("stop_price")))
-    return rounded(out.select("symbol", "entry_ts", "avg_entry", "current_size", "stop_price", "state"), "avg_entry", "stop_price", places=8)
+    return rounded(out.select("symbol", "entry_ts", "avg_entry", "current_size", "stop_price", "state"), "avg_entry", "stop_price")
 
 
 @query(
@@ -214,7 +214,7 @@ SELECT execution_id, arg_min(run.o_orderkey::VARCHAR, (ts, run.k)) AS order_id,
 FROM run JOIN f ON f.l_orderkey = run.o_orderkey AND f.k = run.k WHERE verdict = 'accepted' GROUP BY execution_id""",
 )
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(X.executions(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).select("execution_id", "order_id", "price", "size", "ts"), "price", places=8)
+    return rounded(X.executions(target_orders(spark, sf_dir), line_fills(spark, sf_dir)).select("execution_id", "order_id", "price", "size", "ts"), "price")
 
 
 @query(

@@ -58,8 +58,8 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_windowed_bars",
     f"""WITH t AS ({TAPE_TYPE_SQL}), b AS (SELECT *, floor(sec)::BIGINT - floor(sec)::BIGINT % 3600 AS ts_open FROM t), m AS (SELECT max(sec) - 600 AS mark FROM t)
-SELECT symbol, '1h' AS timeframe, ts_open, round(arg_min(price, seq), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low, round(arg_max(price, seq), 6) AS close,
-  round(sum(size), 6) AS volume FROM b, m GROUP BY symbol, ts_open, mark HAVING ts_open + 3600 <= mark""",
+SELECT symbol, '1h' AS timeframe, ts_open, round(arg_min(price, seq), 8) AS open, round(max(price), 8) AS high, round(min(price), 8) AS low, round(arg_max(price, seq), 8) AS close,
+  round(sum(size), 8) AS volume FROM b, m GROUP BY symbol, ts_open, mark HAVING ts_open + 3600 <= mark""",
 )
 def stream_windowed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars by event time behind a watermark; bars that it hasn't passed stay open."""
@@ -77,7 +77,7 @@ def stream_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_setups",
     f"""{setups.CHAIN}
-SELECT oc.symbol, c_ts AS signal_ts, oc.ts_open AS breakout_ts, round(level, 6) AS breakout_level, round(r_low, 6) AS retest_level, round(c_close, 6) AS execution_price FROM oc JOIN ch3 USING (symbol, idx) WHERE outcome = 'signal'""",
+SELECT oc.symbol, c_ts AS signal_ts, oc.ts_open AS breakout_ts, round(level, 8) AS breakout_level, round(r_low, 8) AS retest_level, round(c_close, 8) AS execution_price FROM oc JOIN ch3 USING (symbol, idx) WHERE outcome = 'signal'""",
 )
 def stream_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of prepared bars that are written as files and read as a stream."""

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
+def rounded(df: DataFrame, *columns: str, places: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
 
@@ -46,7 +46,7 @@ made AS (SELECT symbol, timeframe, ts_open, arg_min(price, seq) AS open, max(pri
 
 
 BAR_COLUMNS = ("open", "high", "low", "close", "volume")
-BARS_OUT = "symbol, timeframe, ts_open, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume"
+BARS_OUT = "symbol, timeframe, ts_open, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume"
 S = "PARTITION BY symbol, timeframe ORDER BY ts_open"
 
 
@@ -73,8 +73,8 @@ def bars_late_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bars_event_time",
     f"""WITH t AS ({T.TAPE_TYPE_SQL}), b AS (SELECT *, floor(sec)::BIGINT - floor(sec)::BIGINT % 3600 AS ts_open FROM t)
-SELECT symbol, '1h' AS timeframe, ts_open, round(arg_min(price, seq), 6) AS open, round(max(price), 6) AS high, round(min(price), 6) AS low,
-  round(arg_max(price, seq), 6) AS close, round(sum(size), 6) AS volume FROM b GROUP BY symbol, ts_open""",
+SELECT symbol, '1h' AS timeframe, ts_open, round(arg_min(price, seq), 8) AS open, round(max(price), 8) AS high, round(min(price), 8) AS low,
+  round(arg_max(price, seq), 8) AS close, round(sum(size), 8) AS volume FROM b GROUP BY symbol, ts_open""",
 )
 def bars_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(B.event_time_bars(T.tape_type(spark, sf_dir), {"1h": 3600}), *BAR_COLUMNS)
@@ -121,7 +121,7 @@ def bar_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {bars_sql(T.TAPE_TYPE_SQL, {'1h': 3600})},
 f AS (SELECT symbol, timeframe, ts_open, close, xor(ts_open // 3600, 5) AS seq FROM bars),
 m AS (SELECT *, max(ts_open) OVER (PARTITION BY symbol, timeframe ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM f)
-SELECT symbol, timeframe, ts_open, round(close, 6) AS close, seq FROM m WHERE top IS NULL OR ts_open > top""",
+SELECT symbol, timeframe, ts_open, round(close, 8) AS close, seq FROM m WHERE top IS NULL OR ts_open > top""",
 )
 def replay_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A feed of bars out of order: repeated and older bars are ignored."""
@@ -139,7 +139,7 @@ def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "prior_high_volume",
     f"""WITH {LINE_BARS}
-SELECT symbol, timeframe, ts_open, count(*) OVER w AS n_before, round(max(high) OVER w, 6) AS prior_high, round(sum(volume) OVER w / 20, 6) AS prior_volume
+SELECT symbol, timeframe, ts_open, count(*) OVER w AS n_before, round(max(high) OVER w, 8) AS prior_high, round(sum(volume) OVER w / 20, 8) AS prior_volume
 FROM bars WINDOW w AS ({S} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""",
 )
 def prior_high_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +150,8 @@ def prior_high_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "candle_position",
     f"""WITH {LINE_BARS}
-SELECT symbol, timeframe, ts_open, round(CASE WHEN high > low THEN (close - low) / (high - low) END, 6) AS position,
-  coalesce(high > low AND (close - low) / (high - low) >= 0.7, false) AS strong, round((high + low) / 2, 6) AS midpoint FROM bars""",
+SELECT symbol, timeframe, ts_open, round(CASE WHEN high > low THEN (close - low) / (high - low) END, 8) AS position,
+  coalesce(high > low AND (close - low) / (high - low) >= 0.7, false) AS strong, round((high + low) / 2, 8) AS midpoint FROM bars""",
 )
 def candle_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = I.close_position()
@@ -170,7 +170,7 @@ ch2 AS (SELECT * REPLACE (CASE WHEN p IS NULL THEN 0 ELSE true_range END AS true
     f"WITH {LINE_BARS}, {CHANGES} SELECT symbol, timeframe, ts_open, round(true_range, 8) AS true_range, round(gain, 8) AS gain, round(loss, 8) AS loss FROM ch2",
 )
 def true_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.with_changes(line_bars(spark, sf_dir)).select("symbol", "timeframe", "ts_open", "true_range", "gain", "loss"), "true_range", "gain", "loss", places=8)
+    return rounded(I.with_changes(line_bars(spark, sf_dir)).select("symbol", "timeframe", "ts_open", "true_range", "gain", "loss"), "true_range", "gain", "loss")
 
 
 def ema_sql(array: str, period: int) -> str:
@@ -193,7 +193,7 @@ def frame_sql(n: int) -> str:
     f"WITH {LINE_BARS}, a AS (SELECT *, list(close) OVER {frame_sql(210)} AS w FROM bars) SELECT symbol, timeframe, ts_open, round({ema_sql('w', 50)}, 6) AS ema FROM a",
 )
 def ema50(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.with_ema(line_bars(spark, sf_dir), 50, 210, "ema").select("symbol", "timeframe", "ts_open", "ema"), "ema")
+    return rounded(I.with_ema(line_bars(spark, sf_dir), 50, 210, "ema").select("symbol", "timeframe", "ts_open", "ema"), "ema", places=6)
 
 
 @query(
@@ -201,7 +201,7 @@ def ema50(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {LINE_BARS}, {CHANGES}, a AS (SELECT *, list(true_range) OVER {frame_sql(30)} AS w FROM ch2) SELECT symbol, timeframe, ts_open, round({wilder_sql('w', 14)}, 6) AS atr FROM a",
 )
 def atr14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.with_atr(line_bars(spark, sf_dir), 14, 30).select("symbol", "timeframe", "ts_open", "atr"), "atr")
+    return rounded(I.with_atr(line_bars(spark, sf_dir), 14, 30).select("symbol", "timeframe", "ts_open", "atr"), "atr", places=6)
 
 
 @query(
@@ -211,7 +211,7 @@ r AS (SELECT *, {wilder_sql('g', 14)} AS ag, {wilder_sql('l', 14)} AS al FROM a)
 SELECT symbol, timeframe, ts_open, round(CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END, 6) AS rsi FROM r""",
 )
 def rsi14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.with_rsi(line_bars(spark, sf_dir), 14, 30).select("symbol", "timeframe", "ts_open", "rsi"), "rsi")
+    return rounded(I.with_rsi(line_bars(spark, sf_dir), 14, 30).select("symbol", "timeframe", "ts_open", "rsi"), "rsi", places=6)
 
 
 def regime_sql(bars: int = 210, fast: int = 50, slow: int = 200, least: float = 0.005) -> str:
@@ -233,7 +233,7 @@ SELECT symbol, timeframe, ts_open, n_window, round(ema_fast, 6) AS ema_fast, rou
 )
 def regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = I.with_regime(line_bars(spark, sf_dir)).select("symbol", "timeframe", "ts_open", "n_window", "ema_fast", "ema_slow", "ema_slow_before", "regime_atr", "bullish")
-    return rounded(out.withColumn("n_window", F.col("n_window").cast("long")), "ema_fast", "ema_slow", "ema_slow_before", "regime_atr")
+    return rounded(out.withColumn("n_window", F.col("n_window").cast("long")), "ema_fast", "ema_slow", "ema_slow_before", "regime_atr", places=6)
 
 
 @query(
@@ -243,7 +243,7 @@ SELECT symbol, timeframe, ts_open, round(ema_slow - ema_slow_before, 6) AS slope
 )
 def ema200_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = I.with_regime(B.bars(T.tape_all(spark, sf_dir), HOURS)).where("n_window > 200")
-    return rounded(out.select("symbol", "timeframe", "ts_open", (F.col("ema_slow") - F.col("ema_slow_before")).alias("slope")), "slope")
+    return rounded(out.select("symbol", "timeframe", "ts_open", (F.col("ema_slow") - F.col("ema_slow_before")).alias("slope")), "slope", places=6)
 
 
 @query(
@@ -258,7 +258,7 @@ SELECT n.symbol, n.timeframe, n.ts_open, round(n.close, 6) AS close, round(run.e
 )
 def ema_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means at every bar of whole series, from one seed."""
-    return rounded(I.ema_series(B.bars(T.tape_line(spark, sf_dir), {"4d": 345600}), 20), "close", "ema")
+    return rounded(I.ema_series(B.bars(T.tape_line(spark, sf_dir), {"4d": 345600}), 20), "close", "ema", places=6)
 
 
 @query(
@@ -275,4 +275,4 @@ def regime_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = made.where("timeframe = '1d'").withColumn("following", F.lead("ts_open").over(B.series())).where("following IS NOT NULL").select("symbol", "ts_open", "following")
     context = I.with_regime(made.where("timeframe = '4d'")).select("symbol", F.col("ts_open").alias("regime_ts"), "bullish", "ema_slow")
     out = as_of(days, context, ["symbol"], F.col("following") - F.pmod(F.col("following"), F.lit(345600)), F.col("regime_ts"), ["regime_ts", "bullish", "ema_slow"])
-    return rounded(out.drop("following"), "ema_slow")
+    return rounded(out.drop("following"), "ema_slow", places=6)

@@ -61,20 +61,20 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.setup_bars(B.bars(T.tape_line(spark, sf_dir), FRAMES, keep_later=True), P)
 
 
-@query("breakouts", f"WITH {STAGES} SELECT symbol, idx, ts_open, round(level, 6) AS level, round(midpoint, 6) AS midpoint, bear FROM bo")
+@query("breakouts", f"WITH {STAGES} SELECT symbol, idx, ts_open, round(level, 8) AS level, round(midpoint, 8) AS midpoint, bear FROM bo")
 def breakouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.breakouts(bars(spark, sf_dir), P).select("symbol", F.col("idx").cast("long").alias("idx"), "ts_open", "level", "midpoint", F.col("bear").cast("long").alias("bear"))
     return rounded(out, "level", "midpoint")
 
 
-@query("retests", f"WITH {STAGES} SELECT symbol, idx, r, round(r_low, 6) AS r_low, round(r_high, 6) AS r_high FROM r2")
+@query("retests", f"WITH {STAGES} SELECT symbol, idx, r, round(r_low, 8) AS r_low, round(r_high, 8) AS r_high FROM r2")
 def retests(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.retests(S.breakouts(bars(spark, sf_dir), P), P)
     out = out.select("symbol", F.col("idx").cast("long").alias("idx"), F.col("retest.idx").cast("long").alias("r"), F.col("retest.low").alias("r_low"), F.col("retest.high").alias("r_high"))
     return rounded(out, "r_low", "r_high")
 
 
-@query("continuations", f"WITH {STAGES} SELECT symbol, idx, r, c, round(c_close, 6) AS c_close FROM c2 WHERE r IS NOT NULL")
+@query("continuations", f"WITH {STAGES} SELECT symbol, idx, r, c, round(c_close, 8) AS c_close FROM c2 WHERE r IS NOT NULL")
 def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = bars(spark, sf_dir)
     out = S.continuations(S.retests(S.breakouts(made, P), P), made).where("retest IS NOT NULL")
@@ -99,10 +99,10 @@ ch3 AS (
 @query(
     "signals",
     f"""{CHAIN}
-SELECT sha256(oc.symbol || '|' || oc.ts_open::VARCHAR) AS signal_id, oc.symbol, 'LONG' AS signal_type, round(level, 6) AS breakout_level, round(r_low, 6) AS retest_level, round(c_atr, 6) AS atr,
-  round(c_rsi, 6) AS rsi, 'NEW' AS status, round(c_close, 6) AS execution_price, c_ts AS signal_ts
+SELECT sha256(oc.symbol || '|' || oc.ts_open::VARCHAR) AS signal_id, oc.symbol, 'LONG' AS signal_type, round(level, 8) AS breakout_level, round(r_low, 8) AS retest_level, round(c_atr, 6) AS atr,
+  round(c_rsi, 6) AS rsi, 'NEW' AS status, round(c_close, 8) AS execution_price, c_ts AS signal_ts
 FROM oc JOIN ch3 USING (symbol, idx) WHERE outcome = 'signal'""",
 )
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.signals(bars(spark, sf_dir), P).drop("snapshot", "regime_snapshot")
-    return rounded(out, "breakout_level", "retest_level", "atr", "rsi", "execution_price")
+    return rounded(rounded(out, "breakout_level", "retest_level", "execution_price"), "atr", "rsi", places=6)
