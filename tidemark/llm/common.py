@@ -57,6 +57,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df, shared_path(df.sparkSession, name))
 
 
+#: Rows of ids or hashes that are broadcast when counted to be no more (16 MB); else they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if it was counted to be small. It should be stored: it is read twice."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 modulo 3 (such rows teach no model)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

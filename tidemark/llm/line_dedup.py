@@ -16,19 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, stored
+from tidemark.llm.common import free_name, small, stored
 
 NO_ID = (1 << 63) - 1
-#: Rows of keys or hashes that are broadcast when counted to be no more; else they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 VISIBLE = r"[^\x20\x09-\x0D]"
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def half_keys(line: Column, n: Column, m: Column, least: int) -> list[Column]:
     """Hashes of the first and second half of the words of a line, for halves of a line of m words; null below ``least``."""
     p = F.floor(m / 2).cast("int")

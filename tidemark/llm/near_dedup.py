@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import small, stored
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -167,7 +167,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pd.Series([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], dtype=object)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return rows.select(F.col("doc_id").cast("long").alias("v"), F.col("text")).join(wanted, "v", "left_semi").select("v", pack("text").alias("packed"))
+    return rows.select(F.col("doc_id").cast("long").alias("v"), F.col("text")).join(small(wanted), "v", "left_semi").select("v", pack("text").alias("packed"))
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     met = stored(members.join(least, "key").where("a <> v").select("a", F.col("v").alias("b")).distinct(), "met")
     kin = stored(likely(met, own, scheme, FAMILY), "kin")
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    texts = stored(packed_texts(docs, kin.select(F.col("a").alias("v")).union(kin.select(F.col("b").alias("v"))).distinct()), "texts")
+    wanted = stored(kin.select(F.col("a").alias("v")).union(kin.select(F.col("b").alias("v"))).distinct(), "wanted")
+    texts = stored(packed_texts(docs, wanted), "texts")
     links = stored(verified(kin.where(fits & (F.col("like") >= margin)), texts, percent, width), "links")
     labels = stored(components(links, heads), "components")
 
