@@ -10,12 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, mixing, near_dedup, quality
-from tidemark.llm.common import free_name, is_held_out, stored, table
+from tidemark.llm.common import free_name, is_held_out, small, stored, table
 from tidemark.llm.registry import quality_weights
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Ids that go are broadcast up to this number, counted first; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 
 
 def with_text(docs: DataFrame, text: Column) -> DataFrame:
@@ -24,6 +22,7 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def has_words(text: Column) -> Column:
+    """Whether a text has a word; null has none."""
     return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
@@ -47,8 +46,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Of rows that repeat an id one stays too, the first by text.
     """
     groups = stored(near_dedup.near_duplicates(docs), "groups")
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    gone = small(stored(groups.where(~F.col("kept")).select("doc_id").distinct(), "gone"))
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
     if groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
