@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name
+from tidemark.llm.common import free_name, light_batches
 
 WORD_CHARS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: ASCII outside digits and letters parts words; A-Z are lower-cased; bytes of other characters stay.
@@ -160,17 +160,18 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int
 FOUND = "n_words long, starts array<int>, ends array<int>, items array<string>"
 
 
-def finder(automaton: Broadcast) -> Callable[[Column], Column]:
-    """A column function: what one automaton finds in texts."""
+def finder(automaton: Broadcast, clean: bool = False) -> Callable[[Column], Column]:
+    """A column function: what one automaton finds in texts, and with ``clean`` the texts without it (null if nothing)."""
 
-    @F.pandas_udf(FOUND)
+    @F.pandas_udf(FOUND + ", clean string" * clean)
     def matched(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             words = words_of(text)
             spans, items = automaton.value.matches(words)
-            rows.append((len(words), [s for s, _ in spans], [e for _, e in spans], sorted(map(str, items))))
-        return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
+            starts, ends = [s for s, _ in spans], [e for _, e in spans]
+            rows.append((len(words), starts, ends, sorted(map(str, items)), *([without(text, starts, ends) if spans else None] * clean)))
+        return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items", *["clean"] * clean], dtype=object)
 
     return matched
 
@@ -189,11 +190,12 @@ def together(a: Column, b: Column) -> Column:
     return join(a, b)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10, id_col: str = "item_id", text_col: str = "text", block_words: int = 500_000) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10, id_col: str = "item_id", text_col: str = "text", block_words: int = 500_000, clean: bool = False) -> DataFrame:
     """Adds a struct column ``name``: n_words, starts and ends (word places of hit spans, end exclusive), items.
 
     Words are lower-cased (A-Z) runs of letters, digits and characters beyond ASCII. A window is ``window``
-    consecutive words of an item, or a whole shorter item. Items are ids as sorted strings.
+    consecutive words of an item, or a whole shorter item. Items are ids as sorted strings. With ``clean`` the struct
+    also has the text without hit spans (null without a hit).
 
     The benchmark reaches the tasks as automata of at most ``block_words`` words each, a few hundred bytes a word, so
     what is broadcast is bounded; a larger benchmark is taken in blocks, each another column function over the same
@@ -201,13 +203,29 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10, id_
     benchmark hits nothing.
     """
     spark = docs.sparkSession
-    out = docs
-    for n, block in enumerate(blocks_of(benchmark, id_col, text_col, block_words)):
-        found = finder(spark.sparkContext.broadcast(Automaton(block, window)))(F.col("text"))
-        out = out.withColumn(name, together(F.col(name), found) if n else found)
+    light_batches(spark)
+    source = blocks_of(benchmark, id_col, text_col, block_words)
+    block, following = next(source), next(source, None)
+    found = finder(spark.sparkContext.broadcast(Automaton(block, window)), clean and following is None)(F.col("text"))
+    out = docs.withColumn(name, found)
+    while following is not None:
+        more = finder(spark.sparkContext.broadcast(Automaton(following, window)))(F.col("text"))
+        out, following = out.withColumn(name, together(F.col(name), more)), next(source, None)
+    if clean and "clean" not in out.schema[name].dataType.names:
+        out = out.withColumn(name, F.col(name).withField("clean", cleaned(F.col("text"), F.col(name))))
     return out
 
 
+def cleaned(text: Column, found: Column) -> Column:
+    """Texts without their hit spans; null if there is none."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([without(t, s, e) if s is not None and len(s) else None for t, s, e in zip(texts, starts, ends, strict=True)], dtype=object)
+
+    return cut(text, found["starts"], found["ends"])
+
+
 def hit_words(found: Column) -> Column:
     """Words inside hit spans."""
     return F.aggregate(F.zip_with(found["ends"], found["starts"], lambda e, s: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -221,12 +239,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     ``max_coverage`` of the words are hit). Null texts stay null.
     """
     held = free_name(docs, "found")
-    out = find(docs.drop("contamination"), benchmark, held, window, **columns)
-
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([without(t, s, e) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
-
+    out = find(docs.drop("contamination"), benchmark, held, window, clean=True, **columns)
     found = F.col(held)
     return out.withColumn(
         "contamination",
@@ -235,7 +248,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
             hit_words(found).alias("n_hit"),
             F.zip_with(found["starts"], found["ends"], lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("spans"),
             found["items"].alias("items"),
-            cleaned(F.col("text"), found["starts"], found["ends"]).alias("clean_text"),
+            F.coalesce(found["clean"], F.col("text")).alias("clean_text"),
             F.coalesce(hit_words(found) > F.lit(max_coverage) * found["n_words"], F.lit(False)).alias("dropped"),
         ),
     ).drop(held)

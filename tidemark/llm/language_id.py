@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import light_batches
+
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 BLOCK_CHARS = 1 << 20
@@ -59,6 +61,7 @@ def fit(docs: DataFrame, train: Column, orders: tuple[int, ...] = (1, 2, 3), buc
     the id, so reruns agree. Counts are added up by Spark; the model is a matrix of ``buckets`` by languages (float32, 64 KB a
     language), refused beyond ``most_languages``. Without a training row the model has no language.
     """
+    light_batches(docs.sparkSession)
     known = docs.where(train & F.col("lang").isNotNull()).select(F.xxhash64("doc_id").alias("h"), "lang", "text")
     chosen = known.select("h").orderBy("h").limit(sample).distinct()
     rows = known.join(F.broadcast(chosen), "h", "left_semi").select("lang", "text").repartition(16)
@@ -97,6 +100,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     The score is the posterior probability of the named language. Null texts and texts without a letter give ``und``
     and 0, as do all texts under a model without a language. A column named ``language`` is replaced.
     """
+    light_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

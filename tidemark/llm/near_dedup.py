@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small, stored
+from tidemark.llm.common import light_batches, small, stored
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -123,6 +123,7 @@ def sketched(docs: DataFrame, scheme: SetSketch, width: int) -> DataFrame:
                         digests[i], registers[i], keys[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), r.tobytes(), k
                 yield out.assign(digest=digests, registers=registers, keys=keys)
 
+    light_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, digest binary, registers binary, keys array<long>")
 
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import light_batches
+
 STATS = (
     "log_words", "word_length", "upper", "digit", "symbol", "end_mark", "comma", "bar", "beyond_ascii",
     "distinct", "adjacent", "top_word", "one_char", "marked_words", "words_per_line", "empty_lines", "repeated_lines", "words_per_stop",
@@ -51,6 +53,7 @@ def with_statistics(docs: DataFrame, name: str) -> DataFrame:
     def stats(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics_of(t) for t in texts], columns=STATS)
 
+    light_batches(docs.sparkSession)
     return docs.withColumn(name, stats(F.col("text")))
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, shared_path, written
+from tidemark.llm.common import free_name, light_batches, shared_path, written
 
 WINDOW, GRAM = 20, 8
 FLUSH = 1_000_000
@@ -358,6 +358,7 @@ def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), bucket_docs: in
     gives no rows.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     buckets = max(64, docs.count() // bucket_docs)
     index = FingerprintIndex(spark, shared_path(spark, "fingerprints"), buckets, fanout)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
