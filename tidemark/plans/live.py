@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import folds
+from tidemark.operators import bars as B
 from tidemark.operators import setups as S
 from tidemark.plans import market, setups
 from tidemark.plans.audit import ORACLE_SQL as AUDIT_SQL
-from tidemark.sources.tapes import TAPE_TYPE_SQL
-from tidemark.streaming import bars, monitors, sinks
+from tidemark.sources.tapes import TAPE_TYPE_SQL, tape_type
+from tidemark.streaming import bars, history, monitors, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -88,3 +90,20 @@ def stream_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     out = finished(monitors.setup_stream(stream, setups.P), "setups")
     return market.rounded(out.drop("atr", "rsi"), "breakout_level", "retest_level", "execution_price")
+
+
+@query(
+    "stream_ema",
+    f"""WITH {market.bars_sql(TAPE_TYPE_SQL, {'1h': 3600})}, a AS (SELECT *, list(close) OVER {market.frame_sql(60)} AS w FROM bars)
+SELECT symbol, timeframe, ts_open, len(w)::INTEGER AS n_window, round({market.ema_sql('w', 20)}, 6) AS ema FROM a WHERE ts_open >= 1705276800""",
+)
+def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over bounded windows of a stream of bars; bars of the first two weeks are stored and warm it up."""
+    sinks.use_rocksdb(spark)
+    path = scratch(spark, "bars")
+    made = B.bars(tape_type(spark, sf_dir), {"1h": 3600})
+    made.write.parquet(path)
+    past = spark.read.parquet(path).where("ts_open < 1705276800")
+    stream = spark.readStream.schema(made.schema).parquet(path).where("ts_open >= 1705276800")
+    out = finished(history.rolling_windows(stream, 60, past), "windows")
+    return market.rounded(out.select("symbol", "timeframe", "ts_open", "n_window", folds.ema(F.col("closes"), 20).alias("ema")), "ema", places=6)
