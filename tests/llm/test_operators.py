@@ -47,13 +47,14 @@ def texts_of(spark, rows):
 
 def test_decontamination_cuts_passages_and_keeps_the_rest(spark):
     item = "one two three four five six seven eight nine ten eleven"
-    bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, "")], "item_id bigint, text string")
-    docs = texts_of(spark, [f"Before. ONE two, three four five six seven eight nine TEN eleven! After", "a tiny item b", "one two three four five six seven eight nine", None, item])
+    bench = spark.createDataFrame([(1, item), (2, "tiny item"), (3, None), (4, ""), (None, "no id")], "item_id bigint, text string")
+    docs = texts_of(spark, [f"Before. ONE two, three four five six seven eight nine TEN eleven! After", "a tiny item b", "one two three four five six seven eight nine", None, item, "has no id"])
     rows = {r.doc_id: r.contamination for r in decontaminate.decontaminate(docs, bench).collect()}
     assert (rows[0].n_hit, rows[0].items, rows[0].clean_text) == (11, ["1"], "Before. ! After")
     assert (rows[1].n_hit, rows[1].clean_text) == (2, "a  b")
     assert rows[2].n_hit == 0 and rows[3].clean_text is None and rows[3].n_words == 0
     assert rows[4].dropped and not rows[1].dropped
+    assert (rows[5].n_hit, rows[5].items) == (2, [])
 
 
 @pytest.mark.parametrize("seed", range(5))

@@ -170,7 +170,7 @@ def finder(automaton: Broadcast, clean: bool = False) -> Callable[[Column], Colu
             words = words_of(text)
             spans, items = automaton.value.matches(words)
             starts, ends = [s for s, _ in spans], [e for _, e in spans]
-            rows.append((len(words), starts, ends, sorted(map(str, items)), *([without(text, starts, ends) if spans else None] * clean)))
+            rows.append((len(words), starts, ends, sorted(str(i) for i in items if i is not None), *([without(text, starts, ends) if spans else None] * clean)))
         return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items", *["clean"] * clean], dtype=object)
 
     return matched
@@ -199,8 +199,8 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10, id_
 
     The benchmark reaches the tasks as automata of at most ``block_words`` words each, a few hundred bytes a word, so
     what is broadcast is bounded; a larger benchmark is taken in blocks, each another column function over the same
-    pass. No shuffle. Null or empty texts have no words; null items and items without words are never found; an empty
-    benchmark hits nothing.
+    pass. No shuffle. Null or empty texts have no words; null items and items without words are never found, an item
+    without an id hits words but isn't listed, and an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
     light_batches(spark)
