@@ -330,6 +330,39 @@ def test_near_duplicates_equal_brute_force(spark, seed):
         assert (rows[i].n_shingles, rows[i].component_id, rows[i].kept) == (n, c, c == i), i
 
 
+def test_near_duplicates_behind_unlike_smaller_ids(spark):
+    """Pairs of 0.8 or more on one template whose bands all hold smaller ids that are unlike both; coarse registers make a small table do."""
+    rng = random.Random(4)
+    template = [f"t{k}" for k in range(81)]
+    texts = [" ".join(template + [f"u{i}_{k}" for k in range(rng.randrange(95, 115))]) for i in range(1500)]
+    pairs = []
+    for i in range(40):
+        own = [f"y{i}_{k}" for k in range(105)]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(template + own), " ".join(template + own[:90] + [f"z{i}_{k}" for k in range(15)])]
+    sets = [set(near_dedup.shingles(t, 4).tolist()) for t in texts]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.8 <= like(a, b) < 0.9 for a, b in pairs) and all(0.2 < like(a, rng.randrange(1500)) < 0.35 for a, _ in pairs)
+    scheme = near_dedup.SetSketch(base=4.0)
+    out = near_dedup.near_duplicates(texts_of(spark, texts), width=4, scheme=scheme).where("NOT kept").collect()
+    assert sorted((r.component_id, r.doc_id) for r in out) == pairs
+
+
+def test_forest_joins_what_the_matrix_joins():
+    near = np.random.default_rng(3).random((40, 30)) < 0.03
+
+    def groups(edges):
+        top = {x: x for x in range(70)}
+        for i, j in edges:
+            a, b = near_dedup.root(top, int(i)), near_dedup.root(top, 40 + int(j))
+            top[max(a, b)] = min(a, b)
+        return [near_dedup.root(top, x) for x in range(70)]
+
+    made = near_dedup.forest(near)
+    assert all(near[i, j] for i, j in made) and groups(made) == groups(zip(*np.nonzero(near), strict=True))
+    assert len(made) == 70 - len(set(groups(made)))
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     scheme = near_dedup.SetSketch(registers=1024)

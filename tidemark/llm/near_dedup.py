@@ -20,6 +20,8 @@ GOLD = np.uint64(0x9E3779B97F4A7C15)
 FAMILY = 0.5
 #: Members of a family that are compared with as many others at a time.
 BLOCK = 256
+#: Members of a band whose registers are compared with as many others' at a time.
+BAND_BLOCK = 1024
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -202,10 +204,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     component_id (smallest doc_id reachable, itself included), kept (doc_id = component_id).
 
     Equal sets (128-bit digest of the set) become one class first. Classes meet in bands of equal registers; a band's
-    members are paired with its smallest member only, so a group of any size gives one pair a member. Pairs that
-    joint likelihood puts within 0.16 of the threshold (over four standard errors) or above are verified on full sets.
-    Families of likely kin (0.5 or more) that then still hold several components are compared whole, in blocks. So
-    the links between different texts are lost only with the sketch's chance.
+    members are paired with its smallest member, so a group of any size gives one pair a member. Pairs that joint
+    likelihood puts within 0.16 of the threshold (over four standard errors) or above are verified on full sets. Members
+    of a band that this leaves in different families of likely kin (0.5 or more) are compared with each other by their
+    registers, and those within 0.16 of the threshold become kin. Families that then still hold several components are
+    compared whole, in blocks. So the links between different texts are lost only with the sketch's chance.
 
     Null or empty texts have no shingle and link with nothing; null ids stay alone with a null component; rows that
     repeat an id with unlike texts are joined by the id. An empty table gives no rows.
@@ -221,9 +224,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     own = stored(own.select("v", "n", "digest", "registers", "keys"), "heads")
 
     members = own.select("v", F.explode("keys").alias("key"))
-    least = members.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    met = stored(members.join(least, "key").where("a <> v").select("a", F.col("v").alias("b")).distinct(), "met")
+    least = members.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    banded = stored(members.join(least, "key").where("a <> v").select("key", "a", "v", "many"), "banded")
+    met = banded.select("a", F.col("v").alias("b")).distinct()
     kin = stored(likely(met, own, scheme, FAMILY), "kin")
+    rest = stored(band_kin(banded.where("many > 2").select("key", "v"), own, kin, scheme, percent, margin), "band-kin")
+    kin = kin.unionByName(rest)
     fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     wanted = stored(kin.select(F.col("a").alias("v")).union(kin.select(F.col("b").alias("v"))).distinct(), "wanted")
     texts = stored(packed_texts(docs, wanted), "texts")
@@ -245,6 +251,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     )
 
 
+def band_kin(banded: DataFrame, own: DataFrame, kin: DataFrame, scheme: SetSketch, percent: int, least: float) -> DataFrame:
+    """Kin that share a band but no family: as :func:`likely` gives them, ``least`` or more, as many as join what all such pairs join.
+
+    ``banded`` has the members (key, v) of bands, without the centre that each was paired with. Bands whose members
+    are of one family need no work, as families are compared whole. The members of others are dealt to blocks of about
+    ``BAND_BLOCK``, and each pair of blocks is one group. It takes bounded memory and gives less than a row a member.
+    """
+    families = components(kin.select("a", "b"), own.select("v").distinct()).withColumnRenamed("c", "f")
+    rows = stored(banded.distinct().join(families, "v"), "band-families")
+    sizes = rows.groupBy("key").agg(F.min("f").alias("x"), F.max("f").alias("y"), F.ceil(F.count(F.lit(1)) / BAND_BLOCK).cast("int").alias("blocks"))
+    sizes = stored(sizes.where("x <> y").select("key", "blocks"), "open-bands")
+    rows = rows.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"), "at", "v", "f")
+    rows = rows.join(own.select("v", "n", "registers"), "v")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if group["f"].nunique() > 1:
+            at, v, f, n = (group[c].to_numpy() for c in ("at", "v", "f", "n"))
+            registers = np.frombuffer(b"".join(group["registers"]), np.int16).reshape(-1, scheme.registers)
+            left, right = np.flatnonzero(at == key[1]), np.flatnonzero(at == key[2])
+            x, y = np.ascontiguousarray(registers[left].T), np.ascontiguousarray(registers[right].T)
+            same = np.zeros((len(left), len(right)), np.int16)
+            for i in range(scheme.registers):
+                same += x[i][:, None] == y[i][None, :]
+            n_l, n_r = n[left][:, None], n[right][None, :]
+            # The share of equal registers is the likeness but for chance; likelihood, which knows the sizes, decides.
+            near = (same >= FAMILY * scheme.registers) & (f[left][:, None] != f[right][None, :]) & (100 * n_l >= percent * n_r) & (100 * n_r >= percent * n_l)
+            like = np.zeros(near.shape)
+            i, j = np.nonzero(near)
+            for s in range(0, len(i), 4096):
+                p, q = i[s : s + 4096], j[s : s + 4096]
+                a, b = registers[left[p]], registers[right[q]]
+                like[p, q] = scheme.likelihood((a > b).sum(axis=1), (a < b).sum(axis=1), n[left[p]].astype(float), n[right[q]].astype(float))
+            found = [(int(v[a]), int(v[b]), int(n[a]), int(n[b]), float(like[p, q])) for p, q in forest(near & (like >= least)) for a, b in [(left[p], right[q])]]
+        return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b", "like"])
+
+    found = rows.groupBy("key", "one", "two").applyInPandas(compare, "a long, b long, n_a long, n_b long, like double")
+    return found.dropDuplicates(["a", "b"])
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Places (row, column) of a matrix that join the rows and columns which its true places join, without a circle."""
+    out: list[tuple[int, int]] = []
+    fresh = [near.any(axis=1), near.any(axis=0)]
+    for start in np.flatnonzero(fresh[0]).tolist():
+        todo = [(0, start)] if fresh[0][start] else []
+        fresh[0][start] = False
+        while todo:
+            side, k = todo.pop()
+            new = np.flatnonzero((near[:, k] if side else near[k]) & fresh[1 - side])
+            fresh[1 - side][new] = False
+            todo += [(1 - side, x) for x in new.tolist()]
+            out += [(x, k) if side else (k, x) for x in new.tolist()]
+    return out
+
+
 def family_links(own: DataFrame, labels: DataFrame, kin: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
     """Links between components of one family, as edges (a, b) that join what the links join.
 
