@@ -201,6 +201,14 @@ def test_lines_equal_brute_force(spark):
         assert (rows[i].n_removed, rows[i].text or "") == (gone, kept), i
 
 
+def test_lines_are_equal_by_words_whatever_white_space(spark):
+    long = "one two three four five six seven eight nine"
+    texts = [f"short line\n{long}", "short line\r", "  short \t line  \n", "\tshort\x0b\x0cline", long.replace(" ", "\t"), f"{long}\r\n \r\nstays\r", long.replace("two", " 2").replace("nine", "\tnine\r"), "short lines"]
+    rows = {r.doc_id: r.lines for r in line_dedup.dedup_lines(texts_of(spark, texts)).collect()}
+    assert [rows[i].n_removed for i in range(8)] == [0, 1, 1, 1, 1, 1, 1, 0]
+    assert [rows[i].text for i in (0, 5, 7)] == [texts[0], " \r\nstays\r", texts[7]]
+
+
 # Neighbours
 
 

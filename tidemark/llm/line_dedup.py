@@ -1,6 +1,7 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-Lines stand between line feeds; their words stand between single spaces. Two lines are near when one insertion,
+Lines stand between line feeds; their words stand between runs of ASCII white space, of which neither length nor kind
+matters, nor what stands before the first or after the last word. Two lines are near when one insertion,
 deletion or replacement of a word makes them equal and both have ``least`` words or more; shorter lines have an edit
 bound of 0. A line goes when an equal or a near line stands earlier (smaller doc_id, then smaller line number).
 
@@ -20,6 +21,8 @@ from tidemark.llm.common import free_name, small, stored
 
 NO_ID = (1 << 63) - 1
 VISIBLE = r"[^\x20\x09-\x0D]"
+#: Runs of white space within a line, but for a single space.
+UNEVEN = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+"
 
 
 def half_keys(line: Column, n: Column, m: Column, least: int) -> list[Column]:
@@ -70,10 +73,11 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """A row per line with a visible character: d (id, the largest number for null), th (hash of the text), ln, line, h, chk."""
+    """A row per line with a visible character: d (id, the largest number for null), th (hash of the text), ln, line (its words with single spaces between), h, chk."""
     rows = docs.where(F.col("text").isNotNull()).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("ln", "line")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split(F.regexp_replace("text", UNEVEN, " "), "\n")).alias("ln", "line")
     )
+    rows = rows.withColumn("line", F.trim("line"))
     return rows.where(F.col("line").rlike(VISIBLE)).select("*", F.xxhash64("line").alias("h"), F.hash("line").alias("chk"))
 
 
