@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tests.oracle import assert_equal, connect
-from tidemark.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, neighbours, quality, registry, secret_scan, substring_dedup, warc
+from tidemark.llm import common, decontaminate, language_id, line_dedup, mixing, near_dedup, neighbours, quality, registry, secret_scan, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Texts that quote halves of the ten pairs which they hide.
+QUOTES = 4_000
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ODD = [None, "", " \n\t ", "a", "a b c", "x " * 3000, "same line here\nsame line here", "same line here\nsame line here", "ünïcödé wörds – and “quotes”", "😀 emoji   space"]
 
@@ -356,19 +358,44 @@ def test_near_duplicates_behind_unlike_smaller_ids(spark):
     assert sorted((r.component_id, r.doc_id) for r in out) == pairs
 
 
-def test_forest_joins_what_the_matrix_joins():
-    near = np.random.default_rng(3).random((40, 30)) < 0.03
-
-    def groups(edges):
-        top = {x: x for x in range(70)}
-        for i, j in edges:
-            a, b = near_dedup.root(top, int(i)), near_dedup.root(top, 40 + int(j))
-            top[max(a, b)] = min(a, b)
-        return [near_dedup.root(top, x) for x in range(70)]
-
-    made = near_dedup.forest(near)
-    assert all(near[i, j] for i, j in made) and groups(made) == groups(zip(*np.nonzero(near), strict=True))
-    assert len(made) == 70 - len(set(groups(made)))
+def test_near_duplicates_behind_many_quotes(spark):
+    """Ten pairs of 0.98, each behind thousands of smaller ids that quote half of them and share their bands, all link."""
+    rng = random.Random(1)
+    long = [[f"b{s}_{k}" for k in range(300)] for s in range(10)]
+    texts = []
+    for i in range(QUOTES):
+        at = rng.randrange(150)
+        texts.append(" ".join(long[i % 10][at : at + 150] + [f"q{i}_{k}" for k in range(30)]))
+    texts += [" ".join(x) for b in long for x in (b, [*b[:-2], "other", "end"])]
+    out = near_dedup.near_duplicates(texts_of(spark, texts), width=4).where(F.col("doc_id") >= QUOTES).collect()
+    assert {r.doc_id: r.component_id for r in out} == {QUOTES + k: QUOTES + k // 2 * 2 for k in range(20)}
+
+
+def test_crowded_bands_are_compared_in_place(spark, monkeypatch):
+    """With no pair rows allowed and tiny blocks, links are those of brute force still, and no group gives a pair."""
+    monkeypatch.setattr(near_dedup, "PAIRS", 0)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "BAND_BLOCK", 8)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(70)]
+    texts = []
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(6)}"
+        texts.append(" ".join(copy))
+    rows = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(texts_of(spark, texts), width=4).collect()}
+    assert [rows[i] for i in range(len(texts))] == [c for _, c in groups_by_force(texts, 4, 80)]
+
+
+@pytest.mark.parametrize("hot_rows", [3, 1000])
+def test_components_with_hubs_and_chains(spark, monkeypatch, hot_rows):
+    monkeypatch.setattr("tidemark.llm.common.HOT_ROWS", hot_rows)
+    monkeypatch.setattr(common.hot_keys, "__defaults__", (None, hot_rows))
+    edges = [(1, k) for k in range(20, 60)] + [(k, k + 1) for k in range(100, 130)] + [(59, 100), (200, 201)]
+    vertices = spark.createDataFrame([(k,) for k in [1, *range(20, 60), *range(100, 131), 200, 201, 300]], "v bigint")
+    rows = {r.v: r.c for r in near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"), vertices).collect()}
+    assert rows == {v: 1 if v < 200 else min(v, 200) if v < 300 else 300 for v in rows} and len(rows) == 75
 
 
 def test_sketch_estimates_similarity():

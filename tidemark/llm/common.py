@@ -75,6 +75,34 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: Rows of one key that a join leaves in one part.
+HOT_ROWS = 20_000
+
+
+def hot_keys(rows: DataFrame, key: str, many: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys of more than ``hot_rows`` rows with the number of parts for their rows (``__parts``); None without any.
+
+    With ``many``, ``rows`` holds a row a key and its count is in that column; else rows are counted by partial sums.
+    """
+    counted = rows.where(F.col(key).isNotNull())
+    counted = counted.select(key, F.col(many).alias("__n")) if many else counted.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counted.where(F.col("__n") > hot_rows).select(key, F.ceil(F.col("__n") / hot_rows).cast("int").alias("__parts"))
+    return None if hot.isEmpty() else small(stored(hot, "hot-keys"))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``rows`` with ``values`` on ``key``, for few values a key and any number of rows a key.
+
+    Rows of ``hot`` keys (see :func:`hot_keys`) are dealt to parts by hash of the whole row, and the values of such a
+    key are repeated for each part, so no key fills a task. Null keys join nothing.
+    """
+    if hot is None:
+        return rows.join(values, key)
+    dealt = rows.join(hot, key, "left").withColumn("__part", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    return dealt.join(values.join(hot, key, "left").withColumn("__part", parts).drop("__parts"), [key, "__part"]).drop("__part")
+
+
 def is_held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text leaves 1 modulo 3 (such rows teach no model)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -12,16 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import light_batches, small, stored
+from tidemark.llm.common import hot_keys, light_batches, small, spread_join, stored
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-#: Likeness from which texts count as kin; links need far more, so linked texts fall into one family.
-FAMILY = 0.5
-#: Members of a family that are compared with as many others at a time.
+#: How many standard errors below the threshold a likelihood still makes a candidate.
+ERRORS = 4.5
+#: Sets that are compared with as many others at a time.
 BLOCK = 256
 #: Members of a band whose registers are compared with as many others' at a time.
 BAND_BLOCK = 1024
+#: Candidate pairs a member that a group of a band gives as rows; where there are more its sets are compared in place.
+PAIRS = 4
+CANDIDATES = ["a", "b", "key", "one", "two", "side", "v", "c"]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -85,7 +88,7 @@ class SetSketch:
     def band_keys(self, registers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """A number for each band of each set; sets that agree in a band's registers agree in it."""
         keys = np.zeros((len(registers), self.bands), np.uint64)
-        keys += np.arange(1, self.bands + 1, dtype=np.uint64) * GOLD
+        keys += mixed(np.arange(1, self.bands + 1, dtype=np.uint64) * GOLD)
         for k in range(self.rows):
             keys = mixed(keys ^ registers[:, k :: self.rows][:, : self.bands].astype(np.uint64) * GOLD)
         return keys
@@ -106,6 +109,40 @@ class SetSketch:
         score = plus * np.log(up) + minus * np.log(down) + (self.registers - plus - minus) * np.log(same)
         return grid[np.where(possible, score, -np.inf).argmax(axis=0), 0]
 
+    def least(self, percent: int) -> float:
+        """Likelihood estimates from here on make candidates: ``ERRORS`` standard errors below the threshold.
+
+        The error is that of the counts' Fisher information for sets of one size: 0.035 for 132 registers, base 1.02.
+        """
+        j, c = percent / 100, (self.base - 1) / self.base
+        p = -np.log1p(-(1 - j) / 2 * c) / np.log(self.base)
+        slope = c / (1 - (1 - j) / 2 * c) / np.log(self.base) / 2
+        return j - ERRORS / float(np.sqrt(self.registers * slope**2 * (2 / p + 4 / (1 - 2 * p))))
+
+    def pairs(self, x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of rows of ``x`` and ``y`` that may link by size and likelihood and share ``band`` but no band before it."""
+        same, earlier = np.zeros((len(x), len(y)), np.int16), np.zeros((len(x), len(y)), bool)
+        columns_x, columns_y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+        for b in range(self.registers // self.rows + 1):
+            whole = b < min(band, self.bands)
+            all_equal = np.ones(same.shape, bool) if whole else None
+            for k in range(b * self.rows, min((b + 1) * self.rows, self.registers)):
+                equal = columns_x[k][:, None] == columns_y[k][None, :]
+                same += equal
+                if whole:
+                    all_equal &= equal
+            if whole:
+                earlier |= all_equal
+        # The share of equal registers is the likeness but for chance; likelihood, which knows the sizes, decides.
+        likeness = self.least(percent)
+        sized = (100 * n_x[:, None] >= percent * n_y[None, :]) & (100 * n_y[None, :] >= percent * n_x[:, None])
+        i, j = np.nonzero(~earlier & sized & (same >= (likeness - 0.1) * self.registers))
+        like = np.zeros(len(i))
+        for s in range(0, len(i), 4096):
+            p, q = i[s : s + 4096], j[s : s + 4096]
+            like[s : s + 4096] = self.likelihood((x[p] > y[q]).sum(axis=1), (x[p] < y[q]).sum(axis=1), n_x[p].astype(float), n_y[q].astype(float))
+        return i[like >= likeness], j[like >= likeness]
+
 
 def sketched(docs: DataFrame, scheme: SetSketch, width: int) -> DataFrame:
     """doc_id, set size, digest of the set, registers and band keys of each row; nulls for empty sets."""
@@ -129,10 +166,13 @@ def sketched(docs: DataFrame, scheme: SetSketch, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n long, digest binary, registers binary, keys array<long>")
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, scheme: SetSketch, least: float) -> DataFrame:
-    """Pairs (a, b) whose sketches give a similarity (like) of ``least`` or more by joint likelihood, with their sizes."""
+def likely(pairs: DataFrame, sketches: DataFrame, scheme: SetSketch, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link: sizes allow it, and joint likelihood puts them above ``percent`` less a margin.
+
+    Any number of pairs may have one ``a``; a ``b`` has one for each of its bands at most.
+    """
     of = sketches.select("v", "n", "registers")
-    both = pairs.join(of.toDF("a", "n_a", "r_a"), "a").join(of.toDF("b", "n_b", "r_b"), "b")
+    both = spread_join(pairs, of.toDF("a", "n_a", "r_a"), "a", hot_keys(pairs, "a")).join(of.toDF("b", "n_b", "r_b"), "b")
 
     @F.pandas_udf("double")
     def estimate(r_a: pd.Series, r_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
@@ -142,13 +182,15 @@ def likely(pairs: DataFrame, sketches: DataFrame, scheme: SetSketch, least: floa
             out[s : s + 4096] = scheme.likelihood((x > y).sum(axis=1), (x < y).sum(axis=1), n_a.to_numpy(float)[s : s + 4096], n_b.to_numpy(float)[s : s + 4096])
         return pd.Series(out)
 
-    return both.withColumn("like", estimate("r_a", "r_b", "n_a", "n_b")).where(F.col("like") >= least).select("a", "b", "n_a", "n_b", "like")
+    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    return both.where(fits).where(estimate("r_a", "r_b", "n_a", "n_b") >= scheme.least(percent)).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * intersection >= percent * union."""
-    packed = texts.select("v", F.col("packed"))
-    both = pairs.join(packed.toDF("a", "t_a"), "a").join(packed.toDF("b", "t_b"), "b")
+def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
+    texts = packed_texts(docs, pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))))
+    both = spread_join(pairs, texts.toDF("a", "t_a"), "a", hot_keys(pairs, "a"))
+    both = spread_join(both, texts.toDF("b", "t_b"), "b", hot_keys(pairs, "b"))
 
     @F.pandas_udf("boolean")
     def near(t_a: pd.Series, t_b: pd.Series) -> pd.Series:
@@ -163,14 +205,19 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Da
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Compressed texts of the wanted ids (each once)."""
+    """Compressed texts of the wanted ids, written once."""
 
     @F.pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
         return pd.Series([zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], dtype=object)
 
+    wanted = stored(wanted.distinct(), "wanted")
+    if wanted.isEmpty():
+        return wanted.select("v", F.lit(None).cast("binary").alias("packed"))
+    wanted = small(wanted)
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return rows.select(F.col("doc_id").cast("long").alias("v"), F.col("text")).join(small(wanted), "v", "left_semi").select("v", pack("text").alias("packed"))
+    rows = rows.select(F.col("doc_id").cast("long").alias("v"), F.col("text")).join(wanted, "v", "left_semi")
+    return stored(rows.select("v", pack("text").alias("packed")).dropDuplicates(["v", "packed"]), "texts")
 
 
 def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -178,18 +225,19 @@ def components(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
     Hash-to-min by rounds: each vertex points to the least of its own and its neighbours' labels, then labels are
     followed once (pointer jumping). A round is written to the shared folder, so lineage stays short; rounds end when
-    no label changes.
+    no label changes. A hub, or the label of a large component, is a hot key; its rows are dealt to many tasks.
     """
     arcs = stored(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("w"))).distinct(), "arcs")
     labels = vertices.select("v", F.col("v").alias("c"))
     touched = stored(arcs.select("v").distinct().withColumn("c", F.col("v")), "labels")
     if touched.isEmpty():
         return labels
+    hubs = hot_keys(arcs, "w")
     while True:
-        least = arcs.join(touched.withColumnRenamed("v", "w"), "w").groupBy("v").agg(F.min("c").alias("m"))
-        step = touched.join(least, "v", "left").select("v", F.col("c").alias("old"), F.least("c", F.coalesce("m", "c")).alias("c"))
-        follow = step.select(F.col("v").alias("c"), F.col("c").alias("cc"))
-        step = stored(step.join(follow, "c", "left").select("v", "old", F.least("c", F.coalesce("cc", "c")).alias("c")), "labels")
+        least = spread_join(arcs, touched.withColumnRenamed("v", "w"), "w", hubs).groupBy("v").agg(F.min("c").alias("m"))
+        step = stored(touched.join(least, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")), "labels")
+        follow = step.join(step.select("c").distinct().withColumnRenamed("c", "v"), "v", "left_semi").select(F.col("v").alias("c"), F.col("c").alias("cc"))
+        step = stored(spread_join(step, follow, "c", hot_keys(step, "c")).select("v", "old", F.col("cc").alias("c")), "labels")
         touched = step.select("v", "c")
         if step.where(F.col("c") != F.col("old")).isEmpty():
             break
@@ -203,40 +251,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     link when 100 * intersection >= percent * union. Returns a row per row of ``docs``: doc_id, n_shingles,
     component_id (smallest doc_id reachable, itself included), kept (doc_id = component_id).
 
-    Equal sets (128-bit digest of the set) become one class first. Classes meet in bands of equal registers; a band's
-    members are paired with its smallest member, so a group of any size gives one pair a member. Pairs that joint
-    likelihood puts within 0.16 of the threshold (over four standard errors) or above are verified on full sets. Members
-    of a band that this leaves in different families of likely kin (0.5 or more) are compared with each other by their
-    registers, and those within 0.16 of the threshold become kin. Families that then still hold several components are
-    compared whole, in blocks. So the links between different texts are lost only with the sketch's chance.
+    Equal sets (128-bit digest of the set) become one class first. Classes meet in bands of equal registers. First a
+    band's members are paired with its smallest member, so a group of any size gives one pair a member; pairs that
+    joint likelihood puts within 4.5 standard errors of the threshold or above are verified on full sets
+    and joined to components. Bands that then still hold several components are compared by registers, all members
+    outside the band's largest component with all members (:func:`band_candidates`), and verified likewise. So every
+    pair of a band is linked, in one component, or compared; links are lost only with the sketch's chance.
 
     Null or empty texts have no shingle and link with nothing; null ids stay alone with a null component; rows that
-    repeat an id with unlike texts are joined by the id. An empty table gives no rows.
+    repeat an id with unlike texts are joined by the id. Ids must be whole numbers (or cast to them). An empty table
+    gives no rows.
     """
     scheme = scheme or SetSketch()
-    margin = percent / 100 - 0.16
     sketches = stored(sketched(docs, scheme, width), "sketches")
     full = sketches.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("digest", "n").agg(F.min("doc_id").alias("v"))
-    classes = stored(full.select("doc_id", "digest", "n").join(classes, ["digest", "n"]).select("doc_id", "v").distinct(), "classes")
+    least = stored(full.groupBy("digest").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("many")), "class-heads")
+    classes = spread_join(full.select("doc_id", "digest"), least.drop("many"), "digest", hot_keys(least, "digest", "many"))
+    classes = stored(classes.select("doc_id", "v").distinct(), "classes")
     heads = classes.where("doc_id = v").select("v")
     own = full.withColumnRenamed("doc_id", "v").join(heads, "v", "left_semi").dropDuplicates(["v", "digest"])
-    own = stored(own.select("v", "n", "digest", "registers", "keys"), "heads")
-
-    members = own.select("v", F.explode("keys").alias("key"))
-    least = members.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    banded = stored(members.join(least, "key").where("a <> v").select("key", "a", "v", "many"), "banded")
-    met = banded.select("a", F.col("v").alias("b")).distinct()
-    kin = stored(likely(met, own, scheme, FAMILY), "kin")
-    rest = stored(band_kin(banded.where("many > 2").select("key", "v"), own, kin, scheme, percent, margin), "band-kin")
-    kin = kin.unionByName(rest)
-    fits = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    wanted = stored(kin.select(F.col("a").alias("v")).union(kin.select(F.col("b").alias("v"))).distinct(), "wanted")
-    texts = stored(packed_texts(docs, wanted), "texts")
-    links = stored(verified(kin.where(fits & (F.col("like") >= margin)), texts, percent, width), "links")
+    own = stored(own.select("v", "n", "registers", "keys"), "heads")
+
+    members = own.select("v", F.posexplode("keys").alias("band", "key"))
+    least = stored(members.groupBy("key").agg(F.min("v").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1"), "bands")
+    banded = stored(spread_join(members, least.select("key", "a", "many"), "key", hot_keys(least, "key", "many")), "banded")
+    met = stored(banded.where("a <> v").select("a", F.col("v").alias("b")).distinct(), "met")
+    links = stored(verified(stored(likely(met, own, scheme, percent), "likely"), docs, percent, width), "links")
     labels = stored(components(links, heads), "components")
 
-    more = stored(family_links(own, labels, kin, texts, percent, width), "more")
+    pairs, crowds = band_candidates(banded.where("many > 2 AND a <> v").select("band", "key", "v"), own, labels, scheme, percent)
+    more = stored(verified(pairs, docs, percent, width).unionByName(crowd_links(crowds, docs, percent, width)), "more-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = stored(components(links, heads), "components")
@@ -245,102 +289,73 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, scheme:
     if not repeated.isEmpty():
         links = links.unionByName(classes.join(repeated, "doc_id").where("v <> x").select(F.col("x").alias("a"), F.col("v").alias("b")))
         labels = stored(components(links, heads), "components")
-    found = classes.join(labels, "v").groupBy("doc_id").agg(F.min("c").alias("c")).withColumnRenamed("doc_id", "id")
+    found = spread_join(classes, labels, "v", hot_keys(classes, "v")).groupBy("doc_id").agg(F.min("c").alias("c")).withColumnRenamed("doc_id", "id")
     return sketches.select("doc_id", F.col("n").alias("n_shingles")).join(found, F.col("doc_id") == F.col("id"), "left").select(
         "doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), F.coalesce(F.coalesce("c", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 
-def band_kin(banded: DataFrame, own: DataFrame, kin: DataFrame, scheme: SetSketch, percent: int, least: float) -> DataFrame:
-    """Kin that share a band but no family: as :func:`likely` gives them, ``least`` or more, as many as join what all such pairs join.
+def band_candidates(banded: DataFrame, own: DataFrame, labels: DataFrame, scheme: SetSketch, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates among members of bands that are still of several components.
 
-    ``banded`` has the members (key, v) of bands, without the centre that each was paired with. Bands whose members
-    are of one family need no work, as families are compared whole. The members of others are dealt to blocks of about
-    ``BAND_BLOCK``, and each pair of blocks is one group. It takes bounded memory and gives less than a row a member.
+    ``banded``: members (band, key, v) without the one that each band was paired with. In a band the members outside
+    its largest component are dealt to blocks of about ``BAND_BLOCK``, all members too, and each block of the first
+    meets each of the second, so memory is bounded and a component that is joined already isn't compared with itself.
+    A pair is compared in the first band that it shares. Returns the pairs (a, b) of groups that have up to
+    ``PAIRS`` a member, and the members of other groups for :func:`crowd_links`, where pairs get no rows.
     """
-    families = components(kin.select("a", "b"), own.select("v").distinct()).withColumnRenamed("c", "f")
-    rows = stored(banded.distinct().join(families, "v"), "band-families")
-    sizes = rows.groupBy("key").agg(F.min("f").alias("x"), F.max("f").alias("y"), F.ceil(F.count(F.lit(1)) / BAND_BLOCK).cast("int").alias("blocks"))
-    sizes = stored(sizes.where("x <> y").select("key", "blocks"), "open-bands")
-    rows = rows.join(sizes, "key").withColumn("at", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("at", "other").alias("one"), F.greatest("at", "other").alias("two"), "at", "v", "f")
-    rows = rows.join(own.select("v", "n", "registers"), "v")
+    rows = stored(banded.join(labels, "v"), "band-components")
+    parts = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    bands = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("most"))
+    of = lambda n: F.ceil(n / BAND_BLOCK).cast("int")
+    bands = bands.where("n > most.n").select("key", "n", F.col("most.c").alias("most"), of(F.col("n") - F.col("most.n")).alias("ones"), of(F.col("n")).alias("twos"))
+    bands = stored(bands, "open-bands")
+    rows = stored(spread_join(rows, bands.drop("n"), "key", hot_keys(bands, "key", "n")), "open-members")
+    deal = lambda n: F.pmod(F.xxhash64("v"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    outside = rows.where("c <> most").select("band", "key", "v", "c", F.lit(0).alias("side"), deal(F.col("ones")).alias("one"), every(F.col("twos")).alias("two"))
+    inside = rows.select("band", "key", "v", "c", F.lit(1).alias("side"), every(F.col("ones")).alias("one"), deal(F.col("twos")).alias("two"))
+    filed = outside.unionByName(inside.select(*outside.columns)).join(own.select("v", "n", "registers"), "v")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if group["f"].nunique() > 1:
-            at, v, f, n = (group[c].to_numpy() for c in ("at", "v", "f", "n"))
-            registers = np.frombuffer(b"".join(group["registers"]), np.int16).reshape(-1, scheme.registers)
-            left, right = np.flatnonzero(at == key[1]), np.flatnonzero(at == key[2])
-            x, y = np.ascontiguousarray(registers[left].T), np.ascontiguousarray(registers[right].T)
-            same = np.zeros((len(left), len(right)), np.int16)
-            for i in range(scheme.registers):
-                same += x[i][:, None] == y[i][None, :]
-            n_l, n_r = n[left][:, None], n[right][None, :]
-            # The share of equal registers is the likeness but for chance; likelihood, which knows the sizes, decides.
-            near = (same >= FAMILY * scheme.registers) & (f[left][:, None] != f[right][None, :]) & (100 * n_l >= percent * n_r) & (100 * n_r >= percent * n_l)
-            like = np.zeros(near.shape)
-            i, j = np.nonzero(near)
-            for s in range(0, len(i), 4096):
-                p, q = i[s : s + 4096], j[s : s + 4096]
-                a, b = registers[left[p]], registers[right[q]]
-                like[p, q] = scheme.likelihood((a > b).sum(axis=1), (a < b).sum(axis=1), n[left[p]].astype(float), n[right[q]].astype(float))
-            found = [(int(v[a]), int(v[b]), int(n[a]), int(n[b]), float(like[p, q])) for p, q in forest(near & (like >= least)) for a, b in [(left[p], right[q])]]
-        return pd.DataFrame(found, columns=["a", "b", "n_a", "n_b", "like"])
-
-    found = rows.groupBy("key", "one", "two").applyInPandas(compare, "a long, b long, n_a long, n_b long, like double")
-    return found.dropDuplicates(["a", "b"])
-
-
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Places (row, column) of a matrix that join the rows and columns which its true places join, without a circle."""
-    out: list[tuple[int, int]] = []
-    fresh = [near.any(axis=1), near.any(axis=0)]
-    for start in np.flatnonzero(fresh[0]).tolist():
-        todo = [(0, start)] if fresh[0][start] else []
-        fresh[0][start] = False
-        while todo:
-            side, k = todo.pop()
-            new = np.flatnonzero((near[:, k] if side else near[k]) & fresh[1 - side])
-            fresh[1 - side][new] = False
-            todo += [(1 - side, x) for x in new.tolist()]
-            out += [(x, k) if side else (k, x) for x in new.tolist()]
-    return out
+        side, v, c, n = (group[x].to_numpy() for x in ("side", "v", "c", "n"))
+        registers = np.frombuffer(b"".join(group["registers"]), np.int16).reshape(-1, scheme.registers)
+        i, j = scheme.pairs(registers[side == 0], registers[side == 1], n[side == 0], n[side == 1], int(key[0]), percent)
+        one, two = v[side == 0], v[side == 1]
+        told = (c[side == 0][i] != c[side == 1][j]) & ((one[i] < two[j]) | ~np.isin(two[j], one))
+        i, j = i[told], j[told]
+        if len(i) <= PAIRS * len(group):
+            made = np.unique(np.stack([np.minimum(one[i], two[j]), np.maximum(one[i], two[j])], axis=1), axis=0)
+            return pd.DataFrame({"a": made[:, 0], "b": made[:, 1], "key": None, "one": None, "two": None, "side": None, "v": None, "c": None}, columns=CANDIDATES)
+        out = []
+        for s, there in ((0, np.unique(i)), (1, np.unique(j))):
+            ids, labels_of = (x[side == s][there] for x in (v, c))
+            block, blocks = np.arange(len(there)) // BLOCK, (len(np.unique(j if s == 0 else i)) + BLOCK - 1) // BLOCK
+            for other in range(blocks):
+                at = (block, np.full(len(there), other)) if s == 0 else (np.full(len(there), other), block)
+                place = [f"{key[0]}.{key[2]}.{key[3]}.{x}" for x in at[0]], at[1]
+                out.append(pd.DataFrame({"a": None, "b": None, "key": key[1], "one": place[0], "two": place[1], "side": s, "v": ids, "c": labels_of}, columns=CANDIDATES))
+        return pd.concat(out, ignore_index=True)
+
+    found = filed.groupBy("band", "key", "one", "two").applyInPandas(compare, "a long, b long, key long, one string, two int, side int, v long, c long")
+    found = stored(found, "candidates")
+    return stored(found.where("a IS NOT NULL").select("a", "b").distinct(), "pairs"), found.where("a IS NULL").drop("a", "b")
 
 
-def family_links(own: DataFrame, labels: DataFrame, kin: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links between components of one family, as edges (a, b) that join what the links join.
+def crowd_links(crowds: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links between blocks of sets, as edges (a, b) that join what all their links join.
 
-    A family is what likely pairs of any size connect; one that is a single component already needs no work. Others
-    are compared whole, in blocks: a member is filed by its size class (sets over the threshold are at most one class
-    apart) and one of the class's blocks of about ``BLOCK`` members, and each pair of blocks is one group. Blocks of
-    sets are intersected as matrices, so a family of any size takes bounded memory and gives no row for a pair.
+    Blocks hold ``BLOCK`` sets and are intersected as matrices, so no row is made for a pair.
     """
-    families = components(kin.select("a", "b"), own.select("v").distinct()).withColumnRenamed("c", "f")
-    rows = families.join(labels, "v").join(own.select("v", "n").distinct(), "v")
-    rows = rows.withColumn("s", F.floor(F.log("n") / float(np.log(100 / percent)) + 1e-9).cast("int"))
-    several = rows.groupBy("f").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("f")
-    rows = stored(rows.join(several, "f", "left_semi"), "families")
-    blocks = stored(rows.groupBy("f", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    rows = rows.join(blocks, ["f", "s"]).withColumn("b", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
-    others = blocks.select("f", F.col("s").alias("s2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b2"))
-    mine, theirs = F.struct("s", "b"), F.struct(F.col("s2").alias("s"), F.col("b2").alias("b"))
-    filed = rows.join(others, "f").where(F.abs(F.col("s") - F.col("s2")) <= 1)
-    filed = filed.select("f", F.least(mine, theirs).alias("one"), F.greatest(mine, theirs).alias("two"), mine.alias("at"), "v", "n", "c")
-    filed = filed.join(texts.dropDuplicates(["v"]), "v")
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
-        if group["c"].nunique() > 1:
-            place = [(x["s"], x["b"]) for x in group["at"]]
-            first = np.array([p == (key[1]["s"], key[1]["b"]) for p in place])
-            second = np.array([p == (key[2]["s"], key[2]["b"]) for p in place])
-            sets = [unpacked(t, width) for t in group["packed"]]
-            v, c = group["v"].to_numpy(), group["c"].to_numpy()
-            left, right = np.flatnonzero(first), np.flatnonzero(second)
+        side, v, c = (group[x].to_numpy() for x in ("side", "v", "c"))
+        sets = [unpacked(t, width) for t in group["packed"]]
+        n = np.array([len(s) for s in sets])
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(left) and len(right):
             same = intersections([sets[i] for i in left], [sets[i] for i in right])
-            n = np.array([len(s) for s in sets])
             near = (100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)) & (c[left][:, None] != c[right][None, :])
             top = {x: x for x in c.tolist()}
             for i, j in zip(*np.nonzero(near), strict=True):
@@ -350,7 +365,8 @@ def family_links(own: DataFrame, labels: DataFrame, kin: DataFrame, texts: DataF
                     found.append((int(v[left[i]]), int(v[right[j]])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return filed.groupBy("f", "one", "two").applyInPandas(compare, "a long, b long")
+    texts = packed_texts(docs, crowds.select("v"))
+    return spread_join(crowds, texts, "v", hot_keys(crowds, "v")).groupBy("key", "one", "two").applyInPandas(compare, "a long, b long")
 
 
 def root(top: dict[int, int], x: int) -> int:
