@@ -122,17 +122,12 @@ class SetSketch:
     def pairs(self, x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, band: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Places of rows of ``x`` and ``y`` that may link by size and likelihood and share ``band`` but no band before it."""
         same, earlier = np.zeros((len(x), len(y)), np.int16), np.zeros((len(x), len(y)), bool)
-        columns_x, columns_y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
-        for b in range(self.registers // self.rows + 1):
-            whole = b < min(band, self.bands)
-            all_equal = np.ones(same.shape, bool) if whole else None
-            for k in range(b * self.rows, min((b + 1) * self.rows, self.registers)):
-                equal = columns_x[k][:, None] == columns_y[k][None, :]
-                same += equal
-                if whole:
-                    all_equal &= equal
-            if whole:
-                earlier |= all_equal
+        step = max(1, 4_000_000 // max(1, len(y) * self.registers))
+        for at in range(0, len(x), step):
+            equal = x[at : at + step, None, :] == y[None, :, :]
+            same[at : at + step] = equal.sum(axis=2, dtype=np.int16)
+            if band:
+                earlier[at : at + step] = equal[:, :, : band * self.rows].reshape(*equal.shape[:2], band, self.rows).all(axis=3).any(axis=2)
         # The share of equal registers is the likeness but for chance; likelihood, which knows the sizes, decides.
         likeness = self.least(percent)
         sized = (100 * n_x[:, None] >= percent * n_y[None, :]) & (100 * n_y[None, :] >= percent * n_x[:, None])
@@ -316,6 +311,8 @@ def band_candidates(banded: DataFrame, own: DataFrame, labels: DataFrame, scheme
     outside = rows.where("c <> most").select("band", "key", "v", "c", F.lit(0).alias("side"), deal(F.col("ones")).alias("one"), every(F.col("twos")).alias("two"))
     inside = rows.select("band", "key", "v", "c", F.lit(1).alias("side"), every(F.col("ones")).alias("one"), deal(F.col("twos")).alias("two"))
     filed = outside.unionByName(inside.select(*outside.columns)).join(own.select("v", "n", "registers"), "v")
+    # A group is small in bytes but takes long, so its tasks are not to be merged by size.
+    filed = filed.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "band", "key", "one", "two")
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         side, v, c, n = (group[x].to_numpy() for x in ("side", "v", "c", "n"))
