@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +30,12 @@ def word_count(text: Column) -> Column:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster (``spark.checkpoint.dir``)."""
+    """A new path in the shared folder of the cluster (``spark.checkpoint.dir``); on a local master alone it may be unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/tidemark-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/tidemark-shared"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -66,7 +69,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return written(df, shared_path(df.sparkSession, name))
 
 
-#: Rows of ids or hashes that are broadcast when counted to be no more (16 MB); else they are joined by shuffle.
+#: Rows of ids or hashes that are broadcast when counted to be no more; else they are joined by shuffle. Two numbers a
+#: row are 16 MB of values and some 40 to 80 MB as a hash table, rows with digests as text up to three times that.
 BROADCAST_ROWS = 1_000_000
 
 
