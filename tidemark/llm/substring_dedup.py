@@ -10,7 +10,9 @@ index are immutable and sorted by fingerprint. A batch is handled in three steps
 3. words that removed windows cover are cut.
 
 A run keeps, by fingerprint, the place of the one occurrence, or a mark that it is repeated; and, by window, those
-windows that were verified. A later batch that repeats a lone fingerprint re-reads that one place in the history.
+windows that were verified. A later batch that repeats a lone fingerprint re-reads that one place in the history; of
+the history's texts only those with such a place are shuffled. A document is an id and a hash of its text, so texts
+that share an id, or have none, stay apart.
 Arrays travel in buckets of hashes. Each task reduces its own part first, so a passage with any number of copies sends
 one record a task.
 """
@@ -26,14 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, light_batches, shared_path, written
+from tidemark.llm.common import BROADCAST_ROWS, free_name, light_batches, shared_path, stored, written
 
 WINDOW, GRAM = 20, 8
 FLUSH = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-ROW = "kind string, bucket int, keys binary, checks binary, docs binary, places binary, flags binary"
-TYPES = {"keys": np.uint64, "checks": np.uint32, "docs": np.int64, "places": np.int32, "flags": np.int8}
+ROW = "kind string, bucket int, keys binary, checks binary, docs binary, texts binary, places binary, flags binary"
+TYPES = {"keys": np.uint64, "checks": np.uint32, "docs": np.int64, "texts": np.int64, "places": np.int32, "flags": np.int8}
+PLACE = ("docs", "texts", "places")
 Records = dict[str, np.ndarray]
 
 
@@ -87,6 +90,7 @@ def unpacked(rows: pd.DataFrame) -> Records:
 
 
 def doc_hash(docs: np.ndarray) -> np.ndarray:
+    """What documents are bucketed by: the id."""
     return mixed(docs.view(np.uint64))
 
 
@@ -94,11 +98,11 @@ def joined(parts: list[Records]) -> Records:
     return {n: np.concatenate([p[n] for p in parts]) for n in parts[0]}
 
 
-def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order that sorts records (the last array first), and group starts and sizes by the last arrays up to two."""
+def groups(*keys: np.ndarray, by: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that sorts records (the last array first), and group starts and sizes by the last ``by`` arrays."""
     order = np.lexsort(keys)
     same = np.ones(len(order), bool)
-    for k in keys[-2:]:
+    for k in keys[-by:]:
         s = k[order]
         same[1:] &= s[1:] == s[:-1]
     same[:1] = False
@@ -109,12 +113,13 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def firsts(r: Records) -> tuple[np.ndarray, np.ndarray]:
     """Of windows: the first of each, those of the index before others; and the rest that a batch must cut.
 
-    A window that repeats the very place of the first is of an equal row, and no repetition.
+    First is the smaller id, then the earlier start, then the smaller hash of the text. A window that repeats the very
+    place of the first is of an equal row, and no repetition.
     """
-    order, starts, sizes = groups(r["places"], r["docs"], 1 - r["flags"], r["checks"], r["keys"])
+    order, starts, sizes = groups(r["texts"], r["places"], r["docs"], 1 - r["flags"], r["checks"], r["keys"])
     first = order[starts]
     lead = np.repeat(first, sizes)
-    elsewhere = (r["docs"][order] != r["docs"][lead]) | (r["places"][order] != r["places"][lead])
+    elsewhere = np.logical_or.reduce([r[n][order] != r[n][lead] for n in ("docs", "texts", "places")])
     return first, order[elsewhere & (r["flags"][order] == 0)]
 
 
@@ -123,24 +128,24 @@ def fingerprints(docs: DataFrame, buckets: int) -> DataFrame:
 
     def flush(parts: list[Records]) -> Iterator[pd.DataFrame]:
         r = joined(parts)
-        order, starts, sizes = groups(r["keys"], r["keys"])
+        order, starts, sizes = groups(r["keys"], by=1)
         again = np.repeat(sizes > 1, sizes)
         hits = order[again]
-        yield packed("hit", {"docs": r["docs"][hits], "places": r["places"][hits]}, doc_hash(r["docs"][hits]), buckets)
+        yield packed("hit", {n: r[n][hits] for n in PLACE}, doc_hash(r["docs"][hits]), buckets)
         first = order[starts]
-        one = {n: r[n][first] for n in ("keys", "docs", "places")} | {"flags": (sizes > 1).astype(np.int8)}
+        one = {n: r[n][first] for n in ("keys", *PLACE)} | {"flags": (sizes > 1).astype(np.int8)}
         yield packed("print", one, one["keys"], buckets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for batch in batches:
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc, th, text in zip(batch["doc"], batch["th"], batch["text"], strict=True):
                 words = words_of(text)
                 if len(words) < WINDOW:
                     continue
                 gram, _, _, filed = hashes(words)
                 at = np.unique(filed)
-                parts.append({"keys": gram[at], "docs": np.full(len(at), NO_ID if pd.isna(doc) else int(doc)), "places": at.astype(np.int32)})
+                parts.append({"keys": gram[at], "docs": np.full(len(at), doc), "texts": np.full(len(at), th), "places": at.astype(np.int32)})
                 held += len(at)
                 if held >= FLUSH:
                     yield from flush(parts)
@@ -148,7 +153,7 @@ def fingerprints(docs: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield from flush(parts)
 
-    return docs.select("doc_id", "text").mapInPandas(run, ROW)
+    return docs.select("doc", "th", "text").mapInPandas(run, ROW)
 
 
 def merge_prints(buckets: int):
@@ -159,17 +164,17 @@ def merge_prints(buckets: int):
         out = [hits]
         mine, past = unpacked(new[new["kind"] == "print"]), unpacked(old)
         n = len(mine["keys"])
-        r = {k: np.concatenate([mine[k], past[k]]) for k in ("keys", "docs", "places", "flags")}
+        r = {k: np.concatenate([mine[k], past[k]]) for k in ("keys", *PLACE, "flags")}
         fresh = np.arange(len(r["keys"])) < n
-        order, starts, sizes = groups(r["keys"], r["keys"])
+        order, starts, sizes = groups(r["keys"], by=1)
         if len(order):
             many = (sizes > 1) | (np.maximum.reduceat(r["flags"][order], starts) > 0)
             met = np.add.reduceat(fresh[order].astype(np.int64), starts) > 0
             lone = (r["flags"] == 0)[order]
             told = order[np.repeat(many & met, sizes) & lone]
-            out.append(packed("hit", {"docs": r["docs"][told], "places": r["places"][told]}, doc_hash(r["docs"][told]), buckets))
+            out.append(packed("hit", {k: r[k][told] for k in PLACE}, doc_hash(r["docs"][told]), buckets))
             first = order[starts][met]
-            run = {k: r[k][first] for k in ("keys", "docs", "places")} | {"flags": many[met].astype(np.int8)}
+            run = {k: r[k][first] for k in ("keys", *PLACE)} | {"flags": many[met].astype(np.int8)}
             out.append(packed("print", run, run["keys"], buckets))
         return pd.concat(out, ignore_index=True)
 
@@ -177,34 +182,33 @@ def merge_prints(buckets: int):
 
 
 def places_by_doc(rows: DataFrame, name: str) -> DataFrame:
-    """Places of each document, ascending, as one binary: doc, ``name``. Rows are bucketed by document."""
+    """Places of each document, ascending, as one binary: doc, th, ``name``. Rows are bucketed by document."""
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
         r = unpacked(group)
-        order, starts, _ = groups(r["places"], r["docs"])
-        docs, places = r["docs"][order], r["places"][order]
-        _, first = np.unique(docs, return_index=True)
-        return pd.DataFrame({"doc": docs[first], name: [np.unique(p).tobytes() for p in np.split(places, first[1:])]})
+        order, starts, _ = groups(r["places"], r["texts"], r["docs"])
+        first = order[starts]
+        return pd.DataFrame({"doc": r["docs"][first], "th": r["texts"][first], name: [np.unique(p).tobytes() for p in np.split(r["places"][order], starts[1:])]})
 
-    return rows.groupBy("bucket").applyInPandas(gather, f"doc long, {name} binary")
+    return rows.groupBy("bucket").applyInPandas(gather, f"doc long, th long, {name} binary")
 
 
 def windows(docs: DataFrame, buckets: int) -> DataFrame:
     """Step 2 in each task: windows filed under hit places; all but the first of a task are removed already.
 
-    ``docs``: doc, text, hits, old (whether the document is in the index). Flags mark windows of the index.
+    ``docs``: doc, th, text, hits, old (whether the document is in the index). Flags mark windows of the index.
     """
 
     def flush(parts: list[Records]) -> Iterator[pd.DataFrame]:
         r = joined(parts)
         first, later = firsts(r)
-        yield packed("cut", {"docs": r["docs"][later], "places": r["places"][later]}, doc_hash(r["docs"][later]), buckets)
+        yield packed("cut", {n: r[n][later] for n in PLACE}, doc_hash(r["docs"][later]), buckets)
         yield packed("window", {n: r[n][first] for n in TYPES}, r["keys"][first], buckets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for batch in batches:
-            for doc, text, hits, old in zip(batch["doc"], batch["text"], batch["hits"], batch["old"], strict=True):
+            for doc, th, text, hits, old in zip(batch["doc"], batch["th"], batch["text"], batch["hits"], batch["old"], strict=True):
                 words = words_of(text)
                 if len(words) < WINDOW:
                     continue
@@ -213,7 +217,7 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
                 at = np.frombuffer(hits, np.int32)
                 hit[at[at < len(words)]] = True
                 w = np.flatnonzero(hit[filed])
-                parts.append({"keys": window[w], "checks": check[w], "docs": np.full(len(w), int(doc)), "places": w.astype(np.int32), "flags": np.full(len(w), old, np.int8)})
+                parts.append({"keys": window[w], "checks": check[w], "docs": np.full(len(w), doc), "texts": np.full(len(w), th), "places": w.astype(np.int32), "flags": np.full(len(w), old, np.int8)})
                 held += len(w)
                 if held >= FLUSH:
                     yield from flush(parts)
@@ -221,7 +225,7 @@ def windows(docs: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield from flush(parts)
 
-    return docs.select("doc", "text", "hits", "old").mapInPandas(run, ROW)
+    return docs.select("doc", "th", "text", "hits", "old").mapInPandas(run, ROW)
 
 
 def merge_windows(buckets: int):
@@ -229,11 +233,11 @@ def merge_windows(buckets: int):
 
     def merge(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
         mine, past = unpacked(new[new["kind"] == "window"]), unpacked(old)
-        past |= {"docs": np.full(len(past["keys"]), -1, np.int64), "places": np.full(len(past["keys"]), -1, np.int32), "flags": np.ones(len(past["keys"]), np.int8)}
+        past |= {k: np.full(len(past["keys"]), 1 if k == "flags" else -1, TYPES[k]) for k in (*PLACE, "flags")}
         r = {k: np.concatenate([mine[k], past[k]]) for k in TYPES}
         n = len(mine["keys"])
         first, later = firsts(r)
-        cut = packed("cut", {"docs": r["docs"][later], "places": r["places"][later]}, doc_hash(r["docs"][later]), buckets)
+        cut = packed("cut", {k: r[k][later] for k in PLACE}, doc_hash(r["docs"][later]), buckets)
         first = first[first < n]
         run = {k: r[k][first] for k in ("keys", "checks")}
         return pd.concat([new[new["kind"] == "cut"], cut, packed("window", run, run["keys"], buckets)], ignore_index=True)
@@ -247,7 +251,7 @@ class FingerprintIndex:
     The newest manifest names the runs that count; runs and manifests are never changed.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 4):
+    def __init__(self, spark: SparkSession, path: str, buckets: int, fanout: int = 2):
         self.spark, self.path, self.buckets, self.fanout = spark, path, buckets, fanout
         self.runs: dict[str, list[tuple[int, str]]] = {"print": [], "window": []}
         self.version = 0
@@ -299,10 +303,10 @@ def compacted(buckets: int):
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         kind, r = group["kind"].iloc[0], unpacked(group)
         if kind == "print":
-            order, starts, sizes = groups(r["places"], r["docs"], r["keys"], r["keys"])
+            order, starts, sizes = groups(r["places"], r["docs"], r["keys"], by=1)
             flags = ((sizes > 1) | (np.maximum.reduceat(r["flags"][order], starts) > 0)).astype(np.int8)
             first = order[starts]
-            return packed(kind, {k: r[k][first] for k in ("keys", "docs", "places")} | {"flags": flags}, r["keys"][first], buckets)
+            return packed(kind, {k: r[k][first] for k in ("keys", *PLACE)} | {"flags": flags}, r["keys"][first], buckets)
         order, starts, _ = groups(r["checks"], r["keys"])
         first = order[starts]
         return packed(kind, {k: r[k][first] for k in ("keys", "checks")}, r["keys"][first], buckets)
@@ -310,20 +314,30 @@ def compacted(buckets: int):
     return merge
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (the id, the largest number for null), th (hash of the text) and text of rows with a text."""
+    return docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("doc"), F.xxhash64("text").alias("th"), "text")
+
+
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` of the wanted documents (doc, th; stored), before any shuffle where these were counted to be few."""
+    ids = wanted.select("doc", "th")
+    return rows.join(F.broadcast(ids), ["doc", "th"], "left_semi") if ids.count() <= BROADCAST_ROWS else rows
+
+
 def find_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame | None) -> DataFrame:
-    """Index a batch; returns doc and cuts (starts of its removed windows, as one binary of int32).
+    """Index a batch; returns doc, th and cuts (starts of its removed windows, as one binary of int32).
 
     ``history``: the documents (doc_id, text) behind the index, re-read only where a lone fingerprint is met again.
     """
-    buckets = index.buckets
+    buckets, batch = index.buckets, keyed(batch)
     prints = fingerprints(batch, buckets).groupBy("bucket").cogroup(index.rows("print").groupBy("bucket")).applyInPandas(merge_prints(buckets), ROW)
     prints = index.add("print", prints)
-    hits = places_by_doc(prints.where("kind = 'hit'"), "hits")
-    texts = batch.select("doc_id", "text", F.lit(0).alias("old"))
+    hits = stored(places_by_doc(prints.where("kind = 'hit'"), "hits"), "hits")
+    texts = batch.withColumn("old", F.lit(0))
     if history is not None:
-        texts = texts.unionByName(history.select("doc_id", "text", F.lit(1).alias("old")))
-    texts = texts.select(F.coalesce(F.col("doc_id"), F.lit(int(NO_ID))).alias("doc"), "text", "old")
-    found = windows(texts.join(hits, "doc"), buckets)
+        texts = texts.unionByName(keyed(history).withColumn("old", F.lit(1)))
+    found = windows(only(texts, hits).join(hits, ["doc", "th"]), buckets)
     found = found.groupBy("bucket").cogroup(index.rows("window").groupBy("bucket")).applyInPandas(merge_windows(buckets), ROW)
     found = index.add("window", found)
     index.save()
@@ -345,7 +359,7 @@ def cut_words(text: str | None, cuts: bytes | None) -> tuple[int, int, str | Non
     return len(words), int(gone.sum()), b" ".join(kept).decode("utf-8", "surrogatepass")
 
 
-def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), bucket_docs: int = 1000, fanout: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), bucket_docs: int = 1000, fanout: int = 2) -> DataFrame:
     """Remove every word covered by a 20-word window whose words also start earlier.
 
     Earlier is a smaller doc_id, or the same document at an earlier start; windows are judged on the input. Documents
@@ -353,9 +367,10 @@ def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), bucket_docs: in
     shuffle partitions by default) bounds a group: about 13 bytes times the fingerprints of a batch over ``buckets``.
 
     Adds a struct ``passages``: n_words, n_removed, text (kept words joined by a space); a column of that name is
-    replaced. Null texts have no words and stay null. Null ids come last, as one document. Equal rows under one id get
-    equal results; unlike texts under one id count as one document and share their removed places. An empty table
-    gives no rows.
+    replaced. Null texts have no words and stay null. Null ids come last. Unlike texts under one id, or without an id,
+    are documents of their own: each loses its own windows only, and of windows that start at one place of both that of
+    the smaller text hash is first. Rows that repeat an id and its text are one document and get equal results. Ids
+    must be whole numbers (or cast to them). An empty table gives no rows.
     """
     spark = docs.sparkSession
     light_batches(spark)
@@ -373,15 +388,22 @@ def dedup(docs: DataFrame, batches: tuple[float, ...] = (0.25,), bucket_docs: in
         part = find_batch(index, rows.where(low & high), rows.where(F.col("doc_id") <= edges[n - 1]) if n else None)
         cuts = part if cuts is None else cuts.unionByName(part)
 
-    name = free_name(docs, "cuts")
-    key = free_name(docs, "doc")
+    cuts = stored(cuts, "cuts")
+    name, doc, th = (free_name(docs, n) for n in ("cuts", "doc", "th"))
 
     @F.pandas_udf("n_words long, n_removed long, text string")
     def cleaned(texts: pd.Series, starts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([cut_words(t, c) for t, c in zip(texts, starts, strict=True)], columns=["n_words", "n_removed", "text"])
 
-    both = docs.drop("passages").withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).join(cuts.toDF(key, name), key, "left")
-    return both.withColumn("passages", cleaned("text", name)).drop(key, name)
+    rows = docs.drop("passages").withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))).withColumn(th, F.xxhash64("text"))
+    keys = cuts.select(F.col("doc").alias(doc), F.col("th").alias(th))
+    cuts = cuts.toDF(doc, th, name)
+    if keys.count() <= BROADCAST_ROWS:  # only texts that are cut need to meet their cuts
+        whole = rows.join(F.broadcast(keys), [doc, th], "left_anti").withColumn(name, F.lit(None).cast("binary"))
+        both = rows.join(F.broadcast(keys), [doc, th], "left_semi").join(cuts, [doc, th]).unionByName(whole)
+    else:
+        both = rows.join(cuts, [doc, th], "left")
+    return both.withColumn("passages", cleaned("text", name)).drop(name, doc, th)
 
 
 def report(docs: DataFrame) -> DataFrame:
