@@ -3,8 +3,9 @@
 Read: ``spark.read.format("warc").load(folder)``; write: ``df.write.format("warc").mode("append").save(folder)``.
 Files are gzip members, one per record, so a record can be skipped without looking at the others. A file is a
 partition. Filters on record_type, record_id, target_uri and payload_digest are decided on the headers alone; a
-record that they refuse, or any record when the option ``payload`` is ``false``, is skipped without building its
-payload.
+record that they refuse, or any record when the option ``payload`` is ``false``, is skipped: files written here have
+the offsets of their records beside them, so its payload is neither read on nor inflated; in a plain file it is passed
+over; in a foreign compressed file, which tells no offsets, it is inflated piece by piece and not kept.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualNullSafe, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
-from tidemark.llm.common import shared_path
+from tidemark.llm.common import shared_path, small, stored
 
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, payload_digest string, content_length long, payload binary"
 HEADERS = {
@@ -36,10 +38,13 @@ HEADERS = {
     "WARC-Refers-To": "refers_to",
     "WARC-Payload-Digest": "payload_digest",
 }
+COLUMN_OF = {name.lower(): column for name, column in HEADERS.items()}
 PUSHED = ("record_id", "record_type", "target_uri", "refers_to", "payload_digest")
 CHUNK = 1 << 20
+PIECE = 1 << 16
 BATCH_BYTES = 8 << 20
 INDEX = "committed-"
+OFFSETS = ".offsets"
 
 
 class Folder:
@@ -79,53 +84,108 @@ class WarcFile(InputPartition):
     """One file of a plan."""
 
     name: str
+    indexed: bool = False
 
 
 class Members:
-    """Bytes of a file of gzip members (or of plain records), read and inflated step by step."""
+    """Bytes of a file of gzip members (or of plain records), read and inflated step by step.
+
+    At most ``CHUNK`` bytes are read and inflated at once, so what is held is the record that is asked for and little
+    more, however far a member would inflate.
+    """
 
     def __init__(self, stream: BinaryIO):
-        self.stream, self.raw, self.out = stream, b"", b""
-        self.raw = stream.read(2)
-        self.zipped = self.raw == b"\x1f\x8b"
+        self.stream, self.out, self.at = stream, bytearray(), 0
+        self.chunk, self.start, self.read = stream.read(CHUNK), 0, 0  # raw bytes, where they start in the file, how many are used
+        self.zipped = self.chunk[:2] == b"\x1f\x8b"
         self.inflate = zlib.decompressobj(31) if self.zipped else None
 
+    def _raw(self, n: int) -> bytes:
+        """Up to n raw bytes, not yet used."""
+        if self.read == len(self.chunk):
+            self.chunk, self.start, self.read = self.stream.read(CHUNK), self.start + len(self.chunk), 0
+        return self.chunk[self.read : self.read + n]
+
     def _more(self) -> bool:
-        data = self.raw or self.stream.read(CHUNK)
-        self.raw = b""
-        if not data:
-            return False
+        """Add to ``out``; False at the end of the file."""
+        if self.at > len(self.out) // 2:
+            del self.out[: self.at]
+            self.at = 0
         if not self.zipped:
+            data = self._raw(CHUNK)
+            self.read += len(data)
             self.out += data
-            return True
-        self.out += self.inflate.decompress(data)
+            return bool(data)
         if self.inflate.eof:
-            self.raw, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
-        return True
-
-    def until(self, mark: bytes) -> bytes | None:
-        """Bytes up to and without ``mark``; None at the end of the file."""
-        while (at := self.out.find(mark)) < 0:
+            self.inflate = zlib.decompressobj(31)
+        data = self._raw(PIECE)
+        made = self.inflate.decompress(data, CHUNK)
+        self.read += len(data) - len(self.inflate.unused_data if self.inflate.eof else self.inflate.unconsumed_tail)
+        self.out += made
+        return bool(data or made)
+
+    def until(self, mark: bytes, most: int = CHUNK) -> bytes | None:
+        """Bytes up to and without ``mark``, at most ``most``; None at the end of the file."""
+        begin = self.at
+        while (found := self.out.find(mark, begin)) < 0:
+            held = len(self.out) - self.at
+            if held > most:
+                raise ValueError(f"a header of more than {most} bytes")
             if not self._more():
+                if self.out[self.at :].strip(b"\x00\r\n\t "):
+                    raise ValueError("a header ends early")
                 return None
-        found, self.out = self.out[:at], self.out[at + len(mark) :]
-        return found
+            begin = self.at + max(0, held - len(mark) + 1)
+        head, self.at = bytes(self.out[self.at : found]), found + len(mark)
+        return head
 
     def take(self, n: int) -> bytes:
-        while len(self.out) < n and self._more():
+        while len(self.out) - self.at < n and self._more():
             pass
-        found, self.out = self.out[:n], self.out[n:]
+        found = bytes(memoryview(self.out)[self.at : self.at + n])
+        self.at += len(found)
         if len(found) < n:
             raise ValueError(f"a record ends after {len(found)} of {n} bytes")
         return found
 
     def skip(self, n: int) -> None:
-        """Pass over bytes without keeping them."""
+        """Pass over bytes without keeping them; those of a plain file aren't read either."""
         while n:
-            if not self.out and not self._more():
+            step = min(n, len(self.out) - self.at)
+            self.at, n = self.at + step, n - step
+            if n and not self.zipped and n > len(self.chunk) - self.read:
+                self.jump(self.start + self.read + n)
+                return
+            if n and not self._more():
                 raise ValueError(f"a record ends {n} bytes early")
-            step = min(n, len(self.out))
-            self.out, n = self.out[step:], n - step
+
+    def jump(self, offset: int) -> None:
+        """Go on with the member (or record) at an offset of the file."""
+        self.out, self.at = bytearray(), 0
+        if self.zipped:
+            self.inflate = zlib.decompressobj(31)
+        if self.start <= offset <= self.start + len(self.chunk):
+            self.read = offset - self.start
+        else:
+            self.stream.seek(offset)
+            self.chunk, self.start, self.read = b"", offset, 0
+
+
+def header_of(head: bytes) -> tuple[dict, int]:
+    """Columns of a record header, whose names may stand in any case, and the length of its payload."""
+    row: dict = {"payload": None}
+    length = None
+    for line in head.decode("utf-8", "replace").split("\r\n"):
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        if name in COLUMN_OF:
+            row[COLUMN_OF[name]] = value.strip()
+        elif name == "content-length":
+            length = int(value)
+    if length is None or length < 0:
+        raise ValueError("a record without a length")
+    row["content_length"] = length
+    return row, length
 
 
 class WarcReader(DataSourceReader):
@@ -150,7 +210,8 @@ class WarcReader(DataSourceReader):
         for name in (indexes := [n for n in names if n.startswith(INDEX)]):
             with folder.reading(name) as f:
                 listed |= set(json.loads(f.read()))
-        return [WarcFile(n) for n in names if n.endswith((".warc", ".warc.gz")) and (not indexes or n in listed)]
+        there = set(names)
+        return [WarcFile(n, n + OFFSETS in there) for n in names if n.endswith((".warc", ".warc.gz")) and (not indexes or n in listed)]
 
     def read(self, partition: WarcFile | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a plan without files
@@ -158,28 +219,31 @@ class WarcReader(DataSourceReader):
         schema = pa.schema([(f.name, {"long": pa.int64(), "bigint": pa.int64(), "binary": pa.binary()}.get(f.dataType.simpleString(), pa.string())) for f in self.schema.fields])
         rows: list[dict] = []
         held = 0
-        with Folder(self.path).reading(partition.name) as stream:
+        folder = Folder(self.path)
+        offsets: list[int] = []
+        if partition.indexed:
+            with folder.reading(partition.name + OFFSETS) as f:
+                offsets = array("q", f.read()).tolist()
+        with folder.reading(partition.name) as stream:
             source = Members(stream)
+            n = 0
             while (head := source.until(b"\r\n\r\n")) is not None:
-                row = {"payload": None}
-                length = 0
-                for line in head.decode("utf-8", "replace").split("\r\n"):
-                    name, _, value = line.partition(":")
-                    if name in HEADERS:
-                        row[HEADERS[name]] = value.strip()
-                    elif name == "Content-Length":
-                        length = int(value)
-                row["content_length"] = length
-                if all(row.get(c) in values for c, values in self.wanted):
+                row, length = header_of(head.lstrip(b"\r\n"))
+                n += 1
+                wanted = all(row.get(c) in values for c, values in self.wanted)
+                if wanted:
                     if self.payload:
                         row["payload"] = source.take(length)
-                    else:
-                        source.skip(length)
                     rows.append(row)
                     held += 500 + len(row["payload"] or b"")
+                if wanted and self.payload:
+                    source.skip(4)
+                elif n < len(offsets):
+                    source.jump(offsets[n])
+                elif offsets:
+                    break
                 else:
-                    source.skip(length)
-                source.skip(4)
+                    source.skip(length + 4)
                 if held > BATCH_BYTES:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows, held = [], 0
@@ -201,18 +265,23 @@ class WarcWriter(DataSourceWriter):
 
     def write(self, iterator: Iterator[Row]) -> Written:
         name = f"part-{uuid.uuid4().hex}.warc.gz"
-        rows = 0
-        with Folder(self.path).writing(name) as out:
+        offsets, at = array("q"), 0
+        folder = Folder(self.path)
+        with folder.writing(name) as out:
             for row in iterator:
-                rows += 1
+                offsets.append(at)
                 given = row.asDict()
                 payload = bytes(given.get("payload") or b"")
                 lines = ["WARC/1.1"]
                 lines += [f"{h}: {one_line(given[c])}" for h, c in HEADERS.items() if given.get(c) is not None]
                 lines += ["Content-Type: application/octet-stream", f"Content-Length: {len(payload)}"]
                 pack = zlib.compressobj(self.level, zlib.DEFLATED, 31)
-                out.write(pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n") + pack.flush())
-        return Written(name if rows else "")
+                for part in ("\r\n".join(lines).encode() + b"\r\n\r\n", payload, b"\r\n\r\n"):
+                    at += put(out, pack.compress(part))
+                at += put(out, pack.flush())
+        with folder.writing(name + OFFSETS) as out:
+            out.write(offsets.tobytes())
+        return Written(name if offsets else "")
 
     def commit(self, messages: list[Written | None]) -> None:
         with Folder(self.path).writing(f"{INDEX}{uuid.uuid4().hex}.json") as out:
@@ -222,6 +291,13 @@ class WarcWriter(DataSourceWriter):
         for m in messages:
             if m and m.name:
                 Folder(self.path).delete(m.name)
+                Folder(self.path).delete(m.name + OFFSETS)
+
+
+def put(out: BinaryIO, data: bytes) -> int:
+    """Write bytes; their number."""
+    out.write(data)
+    return len(data)
 
 
 def one_line(value: object) -> str:
@@ -250,7 +326,7 @@ class WarcSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     """Make the format known and let filters reach its reader."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # reads are planned later, so it stays set
     spark.dataSource.register(WarcSource)
 
 
@@ -258,15 +334,15 @@ def records_of(pages: DataFrame, least: int = 100, date: str = "2024-01-01T00:00
     """WARC records of pages: response, or revisit of the equal payload (``least`` bytes or more) of the smallest id.
 
     A null html is an empty payload. Of rows that repeat an id with an equal payload all are response if the id is the
-    smallest; each row stays a record. Digests decide equality (SHA-256). Digest counts are summed before they are
-    joined, and only repeated digests are.
+    smallest; each row stays a record. A row without an id is response, and nothing refers to it. Ids are whole numbers.
+    Digests decide equality (SHA-256). Digest counts are summed before they are joined, and only repeated digests are;
+    payloads are shuffled only where these were counted to be too many to broadcast.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    repeated = (
-        rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("same"), "first")
-    )
-    revisit = F.col("first").isNotNull() & (F.col("page_id") > F.col("first"))
-    return rows.join(repeated, F.col("digest") == F.col("same"), "left").select(
+    repeated = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = stored(repeated.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("same"), "first"), "repeated-payloads")
+    revisit = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
+    return rows.join(small(repeated), F.col("digest") == F.col("same"), "left").select(
         F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
@@ -293,17 +369,16 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     register(spark)
     path = shared_path(spark, "warc")
     records_of(pages, least).write.format("warc").mode("append").save(path)
-    response = (
-        spark.read.format("warc").load(path).where(F.col("record_type") == "response").select(
-            "record_id", page_of(F.col("record_id")).alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type"
-        )
-    )
+    response = spark.read.format("warc").load(path).where(F.col("record_type") == "response")
+    response = response.select("record_id", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type")
+    response = stored(response, "responses")
     revisit = spark.read.format("warc").option("payload", "false").load(path).where(F.col("record_type") == "revisit")
-    sizes = response.groupBy(F.col("record_id").alias("of")).agg(F.max("payload_bytes").alias("payload_bytes"))
-    revisit = revisit.join(sizes, F.col("refers_to") == F.col("of"), "left").select(
-        page_of(F.col("record_id")).alias("page_id"), "payload_bytes", F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type", page_of(F.col("refers_to")).alias("refers_to")
-    )
-    return response.withColumn("refers_to", F.lit(None).cast("long")).drop("record_id").unionByName(revisit)
+    revisit = stored(revisit.select("record_id", "refers_to", F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type"), "revisits")
+    of = response.join(small(stored(revisit.select(F.col("refers_to").alias("record_id")).distinct(), "referred")), "record_id", "left_semi")
+    of = stored(of.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes")), "referred-sizes")
+    revisit = revisit.join(small(of), "refers_to", "left")
+    columns = [page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to")]
+    return response.withColumn("refers_to", F.lit(None).cast("string")).select(*columns).unionByName(revisit.select(*columns))
 
 
 ROUND_TRIP_SQL = """
