@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored
+from tidemark.llm.common import shared_path, stored
 
 FOUND = "query_id long, vec_id long, score double"
+RANKED = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
@@ -75,16 +76,34 @@ def normal(x: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of vectors that take part: not null, finite, not zero, of the commonest length."""
+    """vec_id, embedding and size (number of components) of vectors that take part: not null, finite, not zero."""
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).select("vec_id", "embedding").where(finite & F.exists(e, lambda x: x != 0))
-    lengths = rows.groupBy(F.size(e).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size(e) == (lengths[0]["n"] if lengths else 0))
+    rows = vectors.where(F.col("vec_id").isNotNull() & e.isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding"))
+    return rows.where(finite & F.exists(e, lambda x: x != 0)).withColumn("size", F.size(e))
+
+
+def hashed(vectors: DataFrame, hashing: Hashing) -> DataFrame:
+    """Adds the key of each vector's cell in each table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys = np.zeros((len(batch), hashing.tables), np.uint64)
+            for size in batch["size"].unique():
+                at = np.flatnonzero(batch["size"] == size)
+                rows = np.array(batch["embedding"].iloc[at].tolist(), float)
+                keys[at] = hashing.keys(np.floor(hashing.places(rows / norm(rows)[:, None])))
+            yield batch.assign(keys=list(keys.view(np.int64)))
+
+    return vectors.mapInPandas(run, "vec_id long, embedding array<double>, size int, keys array<long>")
+
+
+def norm(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt((rows * rows).sum(axis=1))
 
 
 def blocks_of(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Queries in blocks of at most ``block``, streamed to the driver."""
+    """Queries in blocks of at most ``block``; no more than one block and one task's rows are held at a time."""
     ids, rows = [], []
     for row in queries.toLocalIterator():
         ids.append(row["vec_id"])
@@ -96,57 +115,85 @@ def blocks_of(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.n
         yield np.array(ids, np.int64), np.array(rows, float)
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best different ids: largest score, then smallest id."""
-    order = np.lexsort((ids, -scores))
-    _, first = np.unique(ids[order], return_index=True)
-    return order[np.sort(first)[:k]]
-
-
-def search_block(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, hashing: Hashing | None, distances: dict[int, float], k: int) -> DataFrame:
-    """The k best candidates of each query in every part of ``vectors``; without a hashing all vectors are candidates.
-
-    ``distances``: how far the k-th neighbour of a query is at most, where that is known.
-    """
-    norms = np.sqrt((queries * queries).sum(axis=1))
-    probed: list[dict[int, np.ndarray]] = []
-    if hashing:
-        askers: list[dict[int, list[int]]] = [{} for _ in range(hashing.tables)]
-        for q, place in enumerate(hashing.places(queries / norms[:, None])):
-            for table, keys in zip(askers, hashing.visits(place, distances.get(int(query_ids[q]))), strict=True):
-                for key in keys.tolist():
-                    table.setdefault(key, []).append(q)
-        probed = [{key: np.array(q, np.int32) for key, q in table.items()} for table in askers]
-    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, queries, norms, probed, hashing))
+class Probes:
+    """Which queries of a block ask for which cells: for each table its cells, ascending, and the queries of each."""
+
+    def __init__(self, hashing: Hashing, units: np.ndarray, distances: np.ndarray | None):
+        places = hashing.places(units)
+        visits = [hashing.visits(p, None if distances is None else float(d)) for p, d in zip(places, np.zeros(len(places)) if distances is None else distances, strict=True)]
+        askers = np.repeat(np.arange(len(visits), dtype=np.int32), [v.shape[1] for v in visits])
+        self.tables = []
+        for t in range(hashing.tables):
+            keys = np.concatenate([v[t] for v in visits])
+            order = np.argsort(keys, kind="stable")
+            cells, first = np.unique(keys[order], return_index=True)
+            self.tables.append((cells, np.append(first, len(keys)), askers[order]))
+
+    def candidates(self, keys: np.ndarray, queries: int) -> np.ndarray:
+        """Matrix (query, vector): whether a vector with ``keys`` lies in a cell that the query visits in some table."""
+        near = np.zeros((queries, len(keys)), bool)
+        for (cells, first, askers), key in zip(self.tables, keys.T, strict=True):
+            at = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
+            there = np.flatnonzero(cells[at] == key)
+            starts, counts = first[at[there]], first[at[there] + 1] - first[at[there]]
+            flat = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+            near[askers[flat], np.repeat(there, counts)] = True
+        return near
+
+
+def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best different ids of each query: largest score, then smallest id."""
+    order = np.lexsort((-scores, ids, q))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (q[order][1:] != q[order][:-1]) | (ids[order][1:] != ids[order][:-1])
+    order = order[fresh]
+    order = order[np.lexsort((ids[order], -scores[order], q[order]))]
+    _, start, count = np.unique(q[order], return_index=True, return_counts=True)
+    return order[np.arange(len(order)) - np.repeat(start, count) < k]
+
+
+#: Vectors that are scored against a block of queries at a time.
+CHUNK = 1024
+#: Scores by matrix product may differ by this from the exact ones, which decide.
+SLACK = 1e-9
+
+
+def search_block(vectors: DataFrame, query_ids: np.ndarray, queries: np.ndarray, probes: Probes | None, k: int, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The k best candidates of each query of a block, read by ``read``; without probes all vectors are candidates."""
+    norms = norm(queries)
+    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, queries, norms, probes))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_rows, q_norms, tables, scheme = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(q_ids)
+        q_ids, q_rows, q_norms, cells = shared.value
+        units = q_rows / q_norms[:, None]
+        held_q, held_ids, held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(q_ids), -np.inf)
         for batch in batches:
-            for start in range(0, len(batch), 4096):
-                part = batch.iloc[start : start + 4096]
+            for start in range(0, len(batch), CHUNK):
+                part = batch.iloc[start : start + CHUNK]
                 ids, rows = part["vec_id"].to_numpy(np.int64), np.array(part["embedding"].tolist(), float)
-                sizes = np.sqrt((rows * rows).sum(axis=1))
-                near = np.full((len(q_ids), len(ids)), scheme is None)
-                if scheme:
-                    keys = scheme.keys(np.floor(scheme.places(rows / sizes[:, None])))
-                    for t, wanted in enumerate(tables):
-                        order = np.argsort(keys[:, t], kind="stable")
-                        cells, first = np.unique(keys[order, t], return_index=True)
-                        for key, members in zip(cells.tolist(), np.split(order, first[1:]), strict=True):
-                            if key in wanted:
-                                near[np.ix_(wanted[key], members)] = True
-                for q in range(len(q_ids)):
-                    at = np.flatnonzero(near[q] & (ids != q_ids[q]))
-                    if len(at):
-                        scores = (rows[at] * q_rows[q]).sum(axis=1) / (sizes[at] * q_norms[q])
-                        all_ids, all_scores = np.concatenate([held[q][0], ids[at]]), np.concatenate([held[q][1], scores])
-                        kept = best(all_ids, all_scores, k)
-                        held[q] = all_ids[kept], all_scores[kept]
-        counts = [len(x) for x, _ in held]
-        yield pd.DataFrame({"query_id": np.repeat(q_ids, counts), "vec_id": np.concatenate([x for x, _ in held]), "score": np.concatenate([x for _, x in held])})
-
-    return vectors.select("vec_id", "embedding").mapInPandas(find, FOUND)
+                sizes = norm(rows)
+                scores = units @ (rows / sizes[:, None]).T
+                out = q_ids[:, None] == ids[None, :]
+                if cells:
+                    out |= ~cells.candidates(np.array(part["keys"].tolist(), np.int64).view(np.uint64), len(q_ids))
+                scores[out] = -np.inf
+                at_least = np.maximum(least, np.partition(scores, -k, axis=1)[:, -k]) if len(ids) >= k else least
+                q, v = np.nonzero((scores >= at_least[:, None] - SLACK) & ~out)
+                exact = (rows[v] * q_rows[q]).sum(axis=1) / (sizes[v] * q_norms[q])
+                held_q, held_ids, held = np.concatenate([held_q, q]), np.concatenate([held_ids, ids[v]]), np.concatenate([held, exact])
+                kept = best(held_q, held_ids, held, k)
+                held_q, held_ids, held = held_q[kept], held_ids[kept], held[kept]
+                full = np.bincount(held_q, minlength=len(q_ids)) == k
+                least = np.full(len(q_ids), np.inf)
+                np.minimum.at(least, held_q, held)
+                least[~full] = -np.inf
+        yield pd.DataFrame({"query_id": q_ids[held_q], "vec_id": held_ids, "score": held})
+
+    columns = ["vec_id", "embedding", "keys"] if probes else ["vec_id", "embedding"]
+    out = read(ranked(vectors.select(*columns).mapInPandas(find, FOUND), k))
+    shared.destroy()
+    return out
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -156,41 +203,45 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, hashing: Hashing | None = None, block: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, hashing: Hashing | None = None, block: int = 4096) -> DataFrame:
     """The k nearest found of each query by cosine, in double precision on the original vectors.
 
-    Queries go to the tasks in blocks of at most ``block`` (some tens of MB with their probes); each task keys its own
-    vectors, gathers the union of what the probed cells hold over all tables, scores that exactly and keeps k a query,
-    so vectors are never shuffled and a crowded cell stays spread over the tasks. A first round of a few probes bounds
-    how far the k-th neighbour is; the second visits as many cells as find a neighbour at that distance with the
-    wanted probability, however many vectors there are. A query that ends with fewer than k (or all) neighbours is
-    searched again over all vectors.
-
-    Returns query_id, rank, vec_id, score; ties go to the smaller vec_id. Vectors that are null, zero, not finite or
-    of another length than most take no part. Rows that repeat a vec_id count once with their best score, as a query
-    with the smallest by hash. No vectors, no rows.
+    Vectors are hashed once and stored with their keys. The stated queries go to the tasks in blocks of at most
+    ``block``, one block at a time (some tens of MB with its probes, freed when the block is done); each task gathers
+    the union of what the probed cells hold over all tables, scores that exactly and keeps k a query, so vectors are
+    never shuffled and a crowded cell stays spread over the tasks. A first round of a few probes bounds how far the
+    k-th neighbour is; the second visits as many cells as find a neighbour at that distance with the wanted
+    probability, however many vectors there are. A query that ends with fewer than k (or all) neighbours is searched
+    again over all vectors.
+
+    Returns query_id, rank, vec_id, score; ties go to the smaller vec_id. Vectors that are null, zero or not finite
+    take no part; vectors of different lengths are searched apart, each query among those of its own length. Rows that
+    repeat a vec_id count once with their best score, as a query with the smallest by hash. No vectors, no rows.
     """
     hashing = hashing or Hashing()
-    rows = usable(vectors)
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding"))
-    spark = vectors.sparkSession
-
-    def over(asked: DataFrame, scheme: Hashing | None, rounds: int) -> DataFrame:
-        out = spark.createDataFrame([], FOUND)
-        for ids, matrix in blocks_of(asked, block):
-            distances: dict[int, float] = {}
-            for _ in range(rounds - 1):
-                near = ranked(search_block(rows, ids, matrix, scheme, distances, k), k).where(F.col("rank") == k).select("query_id", "score")
-                distances = {r["query_id"]: float(np.sqrt(max(0.0, 2 - 2 * r["score"]))) for r in near.collect()}
-                distances |= {int(i): 2.0 for i in ids if int(i) not in distances}
-            out = out.unionByName(search_block(rows, ids, matrix, scheme, distances, k))
-        return ranked(out, k)
-
-    found = stored(over(queries, hashing, 2), "neighbours")
-    there = rows.select("vec_id").distinct().limit(k + 1).count() - 1
-    full = found.groupBy("query_id").count().where(F.col("count") >= min(k, there)).withColumnRenamed("query_id", "vec_id")
-    short = queries.join(full, "vec_id", "left_anti")
-    if there > 0 and not short.isEmpty():
-        again = over(short, None, 1)
-        found = found.join(full.withColumnRenamed("vec_id", "query_id"), "query_id", "left_semi").unionByName(again)
-    return found
+    every = stored(hashed(usable(vectors), hashing), "hashed-vectors")
+    counts = every.groupBy("size").agg(F.count_distinct("vec_id").alias("n")).orderBy("size").collect()  # a row a length
+    path = shared_path(vectors.sparkSession, "neighbours")
+    out = vectors.sparkSession.createDataFrame([], RANKED)
+    out.write.parquet(path)
+    keep = lambda df: df.write.mode("append").parquet(path)
+    for size, n in counts:
+        rows = every.where(F.col("size") == size)
+        queries = stored(rows.where(is_query).groupBy("vec_id").agg(F.min_by("embedding", F.xxhash64("embedding")).alias("embedding")), "queries")
+        for ids, matrix in blocks_of(queries, block):
+            units = matrix / norm(matrix)[:, None]
+            near = search_block(rows, ids, matrix, Probes(hashing, units, None), k, lambda df: df.where(F.col("rank") == k).select("query_id", "score").collect())
+            distances = np.full(len(ids), 2.0)
+            place = {int(q): i for i, q in enumerate(ids)}
+            for r in near:
+                distances[place[r["query_id"]]] = np.sqrt(max(0.0, 2 - 2 * r["score"]))
+            found = search_block(rows, ids, matrix, Probes(hashing, units, distances), k, lambda df: stored(df, "block"))
+            wanted = min(k, n - 1)
+            full = {r["query_id"] for r in found.groupBy("query_id").count().where(F.col("count") >= wanted).collect()}  # ids of one block
+            short = np.array([int(q) not in full for q in ids]) & (wanted > 0)
+            keep(found)
+            if short.any():
+                more = search_block(rows, ids[short], matrix[short], None, k, lambda df: stored(df, "block"))
+                keep(more.join(found, ["query_id", "vec_id"], "left_anti"))
+    found = vectors.sparkSession.read.schema(RANKED).parquet(path)
+    return ranked(found, k)
