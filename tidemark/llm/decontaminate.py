@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, light_batches
+from tidemark.llm.common import free_name, light_batches, stored
 
 WORD_CHARS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: ASCII outside digits and letters parts words; A-Z are lower-cased; bytes of other characters stay.
@@ -22,18 +23,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
+NONE, SEVERAL = -1, -2
+
+
 class Automaton:
     """Generalised suffix automaton of word sequences.
 
     Every state stands for the substrings that end at the same places; ``longest`` is the longest of them and ``link``
     the state of the longest suffix that ends at more places. Items of at least ``window`` words mark, for states whose
     strings span ``window`` words, which items hold them; shorter items mark the state of their whole sequence.
+
+    It is built over dictionaries and then packed: nearly all states have one way on and one item at most, which stand
+    in arrays of 32-bit numbers, so what is broadcast takes about 20 bytes a state and dictionaries where ways part.
     """
 
     def __init__(self, items: list[tuple[object, list[bytes]]], window: int):
         self.window, self.vocabulary = window, {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.longest = [-1], [0]
+        self.link, self.longest = array("i", [-1]), array("i", [0])
         coded = [(key, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]) for key, words in items if words]
         for _, codes in coded:
             state = 0
@@ -41,8 +48,14 @@ class Automaton:
                 state = self._extend(state, code)
         self.least = min([window, *(len(codes) for _, codes in coded)])
         self.whole: dict[int, list[tuple[int, object]]] = {}
-        self.items: dict[int, set] = {}
+        self.keys = list(dict.fromkeys(key for key, _ in coded))
+        self.item = array("i", [NONE]) * len(self.link)
+        self.more_items: dict[int, set[int]] = {}
         self._mark(coded)
+        self.more_next = {state: ways for state, ways in enumerate(self.next) if len(ways) > 1}
+        self.code = array("i", (NONE if not ways else SEVERAL if len(ways) > 1 else next(iter(ways)) for ways in self.next))
+        self.to = array("i", (next(iter(ways.values()), NONE) for ways in self.next))
+        del self.next
 
     def _extend(self, last: int, code: int) -> int:
         if (known := self.next[last].get(code)) is not None:
@@ -83,15 +96,32 @@ class Automaton:
         return state
 
     def _mark(self, coded: list[tuple[object, list[int]]]) -> None:
+        number = {key: i for i, key in enumerate(self.keys)}
         for key, codes in coded:
             state = 0
             for n, code in enumerate(codes, 1):
                 state = self.next[state][code]
                 if n >= self.window:
-                    self.items.setdefault(self.cut(state, self.window), set()).add(key)
+                    self._add_item(self.cut(state, self.window), number[key])
             if len(codes) < self.window:
                 self.whole.setdefault(self.cut(state, len(codes)), []).append((len(codes), key))
 
+    def _add_item(self, state: int, item: int) -> None:
+        held = self.item[state]
+        if held == NONE:
+            self.item[state] = item
+        elif held == SEVERAL:
+            self.more_items[state].add(item)
+        elif held != item:
+            self.item[state], self.more_items[state] = SEVERAL, {held, item}
+
+    def step(self, state: int, code: int | None) -> int:
+        """The state after one more word, ``NONE`` if no item goes on so."""
+        way = self.code[state]
+        if way == code:
+            return self.to[state]
+        return self.more_next[state].get(code, NONE) if way == SEVERAL else NONE
+
     def matches(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged spans of words inside windows that occur, and the items of these windows.
 
@@ -118,17 +148,22 @@ class Automaton:
         state = length = 0
         for i in range(start, end):
             code = codes[i]
-            while state and code not in self.next[state]:
+            while (following := self.step(state, code)) < 0 and state:
                 state = self.link[state]
                 length = self.longest[state]
-            if code not in self.next[state]:
+            if following < 0:
                 continue
-            state, length = self.next[state][code], length + 1
+            state, length = following, length + 1
             if length < self.least:
                 continue
             hit = length if length >= self.window else 0
             if hit:
-                found |= self.items.get(self.cut(state, self.window), set())
+                at = self.cut(state, self.window)
+                item = self.item[at]
+                if item >= 0:
+                    found.add(self.keys[item])
+                elif item == SEVERAL:
+                    found |= {self.keys[x] for x in self.more_items[at]}
             if self.whole:
                 at = state
                 while at > 0:
@@ -197,9 +232,9 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10, id_
     consecutive words of an item, or a whole shorter item. Items are ids as sorted strings. With ``clean`` the struct
     also has the text without hit spans (null without a hit).
 
-    The benchmark reaches the tasks as automata of at most ``block_words`` words each, a few hundred bytes a word, so
-    what is broadcast is bounded; a larger benchmark is taken in blocks, each another column function over the same
-    pass. No shuffle. Null or empty texts have no words; null items and items without words are never found, an item
+    The benchmark reaches the tasks as automata of at most ``block_words`` words each. A larger benchmark is taken in
+    blocks: a pass over the texts for each, whose result is written to the shared folder before the next begins, so a
+    worker holds one automaton at a time and what is broadcast is bounded. No shuffle. Null or empty texts have no words; null items and items without words are never found, an item
     without an id hits words but isn't listed, and an empty benchmark hits nothing.
     """
     spark = docs.sparkSession
@@ -209,6 +244,7 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str, window: int = 10, id_
     found = finder(spark.sparkContext.broadcast(Automaton(block, window)), clean and following is None)(F.col("text"))
     out = docs.withColumn(name, found)
     while following is not None:
+        out = stored(out, "found")
         more = finder(spark.sparkContext.broadcast(Automaton(following, window)))(F.col("text"))
         out, following = out.withColumn(name, together(F.col(name), more)), next(source, None)
     if clean and "clean" not in out.schema[name].dataType.names:
