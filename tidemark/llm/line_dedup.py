@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import free_name, small, stored
 
 NO_ID = (1 << 63) - 1
+#: An array that a fold makes grows by parts of this many elements, so a long line isn't copied at each of its words.
+PART = 128
 VISIBLE = r"[^\x20\x09-\x0D]"
 #: Runs of white space within a line, but for a single space.
 UNEVEN = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*|\x20[\x20\x09\x0B-\x0D]+"
@@ -41,15 +43,20 @@ def variants(words: Column, n: Column, replaced: Column, longer: Column, shorter
     spots = F.transform(words, lambda w, i: F.struct(F.xxhash64(w, i).alias("own"), F.xxhash64(w, i - 1).alias("early")))
     whole = F.aggregate(spots, F.lit(0).cast("long"), lambda a, s: a.bitwiseXOR(s["own"]))
     early = F.aggregate(spots, F.lit(0).cast("long"), lambda a, s: a.bitwiseXOR(s["early"]))
-    start = F.struct(F.lit(0).cast("long").alias("before"), early.alias("after"), F.array().cast("array<bigint>").alias("out"))
+    longs = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("long").alias("before"), early.alias("after"), longs.alias("part"), F.array().cast("array<array<bigint>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         after = acc["after"].bitwiseXOR(s["early"])
+        part, full = F.concat(acc["part"], F.array(acc["before"].bitwiseXOR(after))), F.size(acc["part"]) >= PART - 1
         return F.struct(
-            acc["before"].bitwiseXOR(s["own"]).alias("before"), after.alias("after"), F.concat(acc["out"], F.array(acc["before"].bitwiseXOR(after))).alias("out")
+            acc["before"].bitwiseXOR(s["own"]).alias("before"),
+            after.alias("after"),
+            F.when(full, longs).otherwise(part).alias("part"),
+            F.when(full, F.concat(acc["out"], F.array(part))).otherwise(acc["out"]).alias("out"),
         )
 
-    without = F.aggregate(spots, start, step, lambda acc: acc["out"])
+    without = F.aggregate(spots, start, step, lambda acc: F.flatten(F.concat(acc["out"], F.array(acc["part"]))))
     key = lambda role, k: F.struct(F.lit(role).alias("role"), k.alias("key"))
     none = F.array().cast("array<struct<role:int,key:bigint>>")
     return F.concat(
@@ -127,23 +134,32 @@ def repeated_lines(docs: DataFrame, least: int = 8) -> DataFrame:
     return equal.unionByName(near)
 
 
+def flags(places: str) -> Column:
+    """An array that is true at the given places (ascending, from 0), up to the last of them."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.size(places) - 1))
+    return F.flatten(F.zip_with(places, before, lambda x, b: F.concat(F.array_repeat(F.lit(False), x - b - 1), F.array(F.lit(True)))))
+
+
 def dedup_lines(docs: DataFrame, least: int = 8) -> DataFrame:
     """Keep the earliest of equal and near lines.
 
     Adds a struct ``lines`` (a column of that name is replaced): n_lines (lines of the text with a visible character),
     n_removed, text (the lines that stay, joined as they were). Blank lines always stay. Null texts have no line and
-    stay null; null ids come last, as one document; a text that repeats under one id keeps the same lines each time.
-    An empty table gives no rows.
+    stay null; null ids come last, as one document; unlike texts under one id are ordered by line number, and a text that
+    repeats under one id keeps the same lines each time. Ids must be whole numbers (or cast to them). An empty table
+    gives no rows.
     """
     d, th, gone = free_name(docs, "d"), free_name(docs, "th"), free_name(docs, "gone")
-    removed = repeated_lines(docs.select("doc_id", "text"), least).groupBy("d", "th").agg(F.collect_set("ln").alias("gone")).toDF(d, th, gone)
+    removed = repeated_lines(docs.select("doc_id", "text"), least).groupBy("d", "th").agg(F.array_sort(F.collect_set("ln")).alias("gone"))
+    removed = removed.select("d", "th", flags("gone").alias("gone")).toDF(d, th, gone)
     rows = docs.drop("lines").withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(th, F.xxhash64("text"))
     rows = rows.join(removed, [d, th], "left")
     lines = F.split("text", "\n")
     n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(VISIBLE))), F.lit(0)).cast("long")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i))
+    kept = F.filter(lines, lambda x, i: ~F.coalesce(F.get(F.col(gone), i), F.lit(False)))
+    n_removed = F.coalesce(F.size(F.filter(gone, lambda x: x)), F.lit(0)).cast("long")
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.withColumn("lines", F.struct(F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), text.alias("text"))).drop(d, th, gone)
+    return rows.withColumn("lines", F.struct(F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), n_removed.alias("n_removed"), text.alias("text"))).drop(d, th, gone)
 
 
 def report(docs: DataFrame, least: int = 8) -> DataFrame:
