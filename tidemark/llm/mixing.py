@@ -57,7 +57,8 @@ def mix(
     A source with target t and s words takes floor(t / s) complete epochs, then t - s * floor(t / s) more words from
     documents in Efraimidis-Spirakis order: by u ** (1 / quality weight) descending, ties to the smaller id. The last
     document may be taken in part, so every source meets its target to a word, and no document is taken more often
-    than its source's epochs plus one. ``quality`` has doc_id (each once) and weight, above 0.
+    than its source's epochs plus one. ``quality`` has doc_id (each once) and weight; documents of weight 0 or less
+    come last of all.
 
     Words are counted before anything is joined, so no text is shuffled. The order is never held by one task: keys
     fall into ``bins`` bins per source, sums of bins place each bin in the source's prefix sum, and only the bin that
@@ -65,8 +66,8 @@ def mix(
     source: 65536). The plan has a row per source; it is broadcast when it was counted to have at most
     ``broadcast_sources`` rows, else joined by shuffle.
 
-    Returns doc_id, source, the columns ``carry``, size, source_size, target, taken. Null text counts 0 words; ids without a weight count as
-    1; repeated rows count each; no rows give none.
+    Returns doc_id, source, the columns ``carry``, size, source_size, target, taken. Null text counts 0 words; ids
+    without a weight count as 1; a null source is a source, the last; repeated rows count each; no rows give none.
     """
     rows = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     if quality is not None:
@@ -74,7 +75,8 @@ def mix(
         rows = rows.join(known, F.col("doc_id") == F.col("weighed"), "left").drop("weighed").fillna(1.0, ["w"])
     else:
         rows = rows.withColumn("w", F.lit(1.0))
-    rows = rows.withColumn("v", F.pow(uniform(F.col("doc_id"), seed), 1.0 / F.col("w"))).drop("w")
+    key = F.pow(uniform(F.col("doc_id"), seed), F.try_divide(F.lit(1.0), F.col("w")))
+    rows = rows.withColumn("v", F.when(F.col("w") > 0, key).otherwise(F.lit(0.0))).drop("w")
     rows = stored(rows.withColumn("bin", F.floor((1.0 - F.col("v")) * bins).cast("int")), "mix-sizes")
     summed = rows.groupBy("source", "bin").agg(F.sum("size").alias("size"))
     targets = source_targets(summed, weights, share, most)
