@@ -178,13 +178,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality
     """Fit on labelled documents where ``train`` (a condition on doc_id) holds.
 
     At most ``sample`` ids are learned from, the first by hash of the id, so reruns agree and what reaches the driver
-    is bounded: a row of statistics an id. An id with several labels counts as its largest. Null labels teach nothing;
-    without two classes the model is a constant.
+    is bounded: a row of statistics an id. An id with several labels counts as its largest, an id with several texts
+    teaches by the one with the smallest statistics. Null labels and ids teach nothing; without two classes the model
+    is a constant.
     """
     known = labels.where(F.col(label).isNotNull() & train).groupBy("doc_id").agg(F.max(label).alias("y"))
     chosen = known.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    ordered = with_statistics(rows, "stats").select("doc_id", "y", "stats.*").limit(4 * sample).toPandas().sort_values(["doc_id", *STATS])
+    once = with_statistics(rows, "stats").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("stats").alias("stats"))
+    ordered = once.select("doc_id", "y", "stats.*").toPandas().sort_values("doc_id")
     return fit_rules(ordered[list(STATS)].to_numpy(float), (ordered["y"] == 1).to_numpy(float))
 
 
