@@ -34,7 +34,7 @@ WINDOW, GRAM = 20, 8
 FLUSH = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-ROW = "kind string, bucket int, keys binary, checks binary, docs binary, texts binary, places binary, flags binary"
+ROW = "kind string, bucket int, keys binary, checks binary, docs binary, texts binary, owners binary, places binary, flags binary"
 TYPES = {"keys": np.uint64, "checks": np.uint32, "docs": np.int64, "texts": np.int64, "places": np.int32, "flags": np.int8}
 PLACE = ("docs", "texts", "places")
 Records = dict[str, np.ndarray]
@@ -71,9 +71,13 @@ def hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def packed(kind: str, records: Records, by: np.ndarray, buckets: int) -> pd.DataFrame:
-    """A row for each bucket of ``by`` with its records, in the order given."""
+    """A row for each bucket of ``by`` with its records, in the order given.
+
+    Documents (docs, texts) stand once a row; records name them by place (owners), as a bucket holds many of each.
+    """
+    columns = ["kind", "bucket", *TYPES, "owners"]
     if not len(by):
-        return pd.DataFrame([], columns=["kind", "bucket", *TYPES])
+        return pd.DataFrame([], columns=columns)
     bucket = (by % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     there, first = np.unique(bucket[order], return_index=True)
@@ -81,12 +85,26 @@ def packed(kind: str, records: Records, by: np.ndarray, buckets: int) -> pd.Data
     for name in TYPES:
         whole = records.get(name)
         out[name] = [None] * len(there) if whole is None else [x.tobytes() for x in np.split(whole[order], first[1:])]
-    return pd.DataFrame(out, columns=["kind", "bucket", *TYPES])
+    out["owners"] = [None] * len(there)
+    if "docs" in records:
+        sort, starts, sizes = groups(records["texts"], records["docs"])
+        number = np.empty(len(by), np.int64)
+        number[sort] = np.repeat(np.arange(len(starts)), sizes)
+        heads = sort[starts]
+        for i, part in enumerate(np.split(number[order], first[1:])):
+            held, owners = np.unique(part, return_inverse=True)
+            out["owners"][i] = owners.astype(np.int32).tobytes()
+            out["docs"][i], out["texts"][i] = (records[n][heads[held]].tobytes() for n in ("docs", "texts"))
+    return pd.DataFrame(out, columns=columns)
 
 
 def unpacked(rows: pd.DataFrame) -> Records:
     """All records of some rows."""
-    return {n: np.concatenate([np.frombuffer(x, t) for x in rows[n] if x is not None] or [np.zeros(0, t)]) for n, t in TYPES.items()}
+    parts = {n: [np.frombuffer(x, t) for x in rows[n] if x is not None] for n, t in TYPES.items()}
+    owners = [np.frombuffer(x, np.int32) for x in rows["owners"] if x is not None]
+    for n in ("docs", "texts"):
+        parts[n] = [x[o] for x, o in zip(parts[n], owners, strict=True)]
+    return {n: np.concatenate(parts[n] or [np.zeros(0, t)]) for n, t in TYPES.items()}
 
 
 def doc_hash(docs: np.ndarray) -> np.ndarray:
