@@ -249,7 +249,7 @@ def tick_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
         F.lit(None).cast("long").alias("submitted_at"), F.lit(None).cast("long").alias("updated_at"), F.lit(None).cast("string").alias("fail_reason"),
     )
     signals = o.where("o_orderkey % 9 <> 0").select(F.concat(F.lit("s"), key).alias("signal_id"))
-    fills = line_fills(spark, sf_dir).where(F.col("seq.l_linenumber") <= 2).withColumn("exchange_order_id", F.concat(F.lit("cb_"), "order_id")).drop("order_id")
+    fills = line_fills(spark, sf_dir).withColumn("exchange_order_id", F.concat(F.lit("cb_"), "order_id")).drop("order_id")
     remote = o.where("o_orderkey % 5 <= 1").select(F.concat(F.lit("cb_"), key).alias("exchange_order_id"), F.when(F.col("o_orderkey") % 5 == 0, "CANCELLED").otherwise("OPEN").alias("remote_status"))
     return orders, signals, fills, remote
 
@@ -258,7 +258,7 @@ def tick_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     "reconcile_tick",
     f"""WITH RECURSIVE o AS (SELECT o_orderkey, {TARGET}::DOUBLE AS target, 0.0::DOUBLE AS done, {STATUS_SQL} AS status, o_orderkey % 4 <> 0 AS has_id, epoch(o_orderdate)::BIGINT AS created FROM orders),
 f AS (SELECT l_orderkey, l_orderkey || '-' || l_linenumber AS execution_id, l_quantity::DOUBLE AS size,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k FROM lineitem WHERE l_linenumber <= 2),
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k FROM lineitem),
 run AS (
   SELECT o_orderkey, target, 0::BIGINT AS k, done, status, []::VARCHAR[] AS seen FROM o WHERE status = 'PENDING' AND has_id
   UNION ALL
@@ -326,3 +326,92 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key and value state: the last document of each key."""
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("props").alias("value"), F.col("event_id").alias("seq"))
     return M.merged(rows, "runtime_state")
+
+
+def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as changes of their order, in order of ship date and then of all their columns."""
+    return table(spark, sf_dir, "lineitem").withColumn("seq", F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"))
+
+
+CHANGES_SQL = """c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS k,
+  count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
+a AS (SELECT * FROM c WHERE k = 1), z AS (SELECT * FROM c WHERE k = n)"""
+
+
+@query(
+    "merged_orders",
+    f"""WITH {CHANGES_SQL}
+SELECT a.l_orderkey::VARCHAR AS order_id, 's' || a.l_partkey AS signal_id, 'C' || a.l_suppkey AS symbol, a.l_returnflag AS side, a.l_extendedprice AS price, a.l_quantity AS size, epoch(a.l_shipdate)::BIGINT AS created_at,
+  z.l_linestatus AS status, z.l_discount AS executed_size, CASE WHEN z.l_linenumber % 2 = 0 THEN 'cb_' || z.l_partkey END AS exchange_order_id, epoch(z.l_shipdate)::BIGINT AS submitted_at,
+  CASE WHEN z.l_linenumber % 3 = 0 THEN epoch(z.l_shipdate)::BIGINT END AS updated_at, NULL::VARCHAR AS fail_reason FROM a JOIN z USING (l_orderkey)""",
+)
+def merged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders keep what they were made with and take the last status, nulls too."""
+    rows = line_changes(spark, sf_dir).select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.concat(F.lit("s"), F.col("l_partkey")).alias("signal_id"), F.concat(F.lit("C"), F.col("l_suppkey")).alias("symbol"), F.col("l_returnflag").alias("side"),
+        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size"), F.unix_timestamp("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("status"), F.col("l_discount").alias("executed_size"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("cb_"), F.col("l_partkey"))).alias("exchange_order_id"), F.unix_timestamp("l_shipdate").alias("submitted_at"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.unix_timestamp("l_shipdate")).alias("updated_at"), F.lit(None).cast("string").alias("fail_reason"), "seq",
+    )
+    return M.merged(rows, "orders")
+
+
+@query(
+    "merged_legacy_orders",
+    f"""WITH {CHANGES_SQL}
+SELECT a.l_orderkey::VARCHAR AS order_id, 's' || a.l_partkey AS signal_id, 'C' || a.l_suppkey AS symbol, a.l_returnflag AS side, a.l_extendedprice AS price, a.l_quantity AS size,
+  CASE WHEN z.l_linenumber % 2 = 0 THEN 'cb_' || z.l_partkey END AS exchange_order_id, z.l_linestatus AS status FROM a JOIN z USING (l_orderkey)""",
+)
+def merged_legacy_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of the older table, whose upserts replace the exchange id and the status only."""
+    rows = line_changes(spark, sf_dir).select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.concat(F.lit("s"), F.col("l_partkey")).alias("signal_id"), F.concat(F.lit("C"), F.col("l_suppkey")).alias("symbol"), F.col("l_returnflag").alias("side"),
+        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("cb_"), F.col("l_partkey"))).alias("exchange_order_id"), F.col("l_linestatus").alias("status"), "seq",
+    )
+    return M.merged(rows, "legacy_orders")
+
+
+@query(
+    "merged_signals",
+    f"""WITH {CHANGES_SQL}
+SELECT 's' || a.l_orderkey AS signal_id, 'C' || a.l_suppkey AS symbol, 'LONG' AS signal_type, a.l_returnflag AS regime_snapshot, a.l_extendedprice AS breakout_level, a.l_extendedprice * 0.98::DOUBLE AS retest_level,
+  a.l_tax AS atr, a.l_discount AS rsi, a.l_quantity AS execution_price, z.l_linestatus AS status FROM a JOIN z USING (l_orderkey)""",
+)
+def merged_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals that are told again keep their first row but for the status."""
+    rows = line_changes(spark, sf_dir).select(
+        F.concat(F.lit("s"), F.col("l_orderkey")).alias("signal_id"), F.concat(F.lit("C"), F.col("l_suppkey")).alias("symbol"), F.lit("LONG").alias("signal_type"), F.col("l_returnflag").alias("regime_snapshot"),
+        F.col("l_extendedprice").alias("breakout_level"), (F.col("l_extendedprice") * 0.98).alias("retest_level"), F.col("l_tax").alias("atr"), F.col("l_discount").alias("rsi"), F.col("l_quantity").alias("execution_price"),
+        F.col("l_linestatus").alias("status"), "seq",
+    )
+    return M.merged(rows, "signals")
+
+
+@query(
+    "merged_positions",
+    f"""WITH {CHANGES_SQL.replace('PARTITION BY l_orderkey', 'PARTITION BY l_suppkey').replace('l_shipdate, l_linenumber', 'l_shipdate, l_orderkey, l_linenumber')}
+SELECT 'C' || l_suppkey AS symbol, epoch(l_shipdate)::BIGINT AS entry_ts, l_extendedprice AS avg_entry, l_quantity AS current_size, 0.0::DOUBLE AS realized_pnl, CASE WHEN l_linenumber % 2 = 0 THEN l_tax END AS unrealized_pnl,
+  l_discount AS stop_price, l_linestatus AS state, l_returnflag = 'R' AS stop_active FROM z""",
+)
+def merged_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions are replaced whole by their last row, nulls too."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("C"), F.col("l_suppkey")).alias("symbol"), F.unix_timestamp("l_shipdate").alias("entry_ts"), F.col("l_extendedprice").alias("avg_entry"), F.col("l_quantity").alias("current_size"), F.lit(0.0).alias("realized_pnl"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")).alias("unrealized_pnl"), F.col("l_discount").alias("stop_price"), F.col("l_linestatus").alias("state"), (F.col("l_returnflag") == "R").alias("stop_active"),
+        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax").alias("seq"),
+    )
+    return M.merged(rows, "positions")
+
+
+@query(
+    "merged_executions",
+    """WITH c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS k FROM lineitem)
+SELECT l_orderkey || '-' || l_linenumber AS execution_id, l_partkey::VARCHAR AS order_id, l_extendedprice AS price, l_quantity AS size, l_tax AS fee, epoch(l_shipdate)::BIGINT AS ts FROM c WHERE k = 1""",
+)
+def merged_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executions never change: an id that comes again is ignored."""
+    rows = line_changes(spark, sf_dir).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("execution_id"), F.col("l_partkey").cast("string").alias("order_id"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size"), F.col("l_tax").alias("fee"),
+        F.unix_timestamp("l_shipdate").alias("ts"), "seq",
+    )
+    return M.merged(rows, "executions")
