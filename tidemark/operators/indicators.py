@@ -83,18 +83,23 @@ def close_position() -> Column:
     return F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low"))
 
 
-def ema_series(df: DataFrame, period: int, name: str = "ema") -> DataFrame:
-    """The exponential mean of whole series from their first bar on: a fold over each series (bounded by its bars)."""
-    rows = df.groupBy("symbol", "timeframe").agg(F.array_sort(F.collect_list(F.struct("ts_open", "close"))).alias("s"))
-    rows = rows.withColumn("e", folds.running_ema(F.transform("s", lambda x: x["close"]), period))
-    return rows.select("symbol", "timeframe", F.explode(F.arrays_zip("s", "e")).alias("x")).select("symbol", "timeframe", "x.s.ts_open", "x.s.close", F.col("x.e").alias(name))
-
-
-def last_of(window: Column) -> Column:
-    """Latest element of a window array."""
-    return F.element_at(window, -1)
+def ema_series(df: DataFrame, period: int, name: str = "ema", block: int = 512) -> DataFrame:
+    """The exponential mean of whole series from their first bar on, null before its seed.
 
-
-def history(size: int) -> Window:
-    """Frame of the last ``size`` bars."""
-    return series().rowsBetween(1 - size, 0)
+    A step is affine in the mean before it, so a block of bars is too: each block's factor and offset come from its own
+    bars, the mean at its start from the few blocks before it, and the means inside from a fold over the block. No
+    array is longer than ``block`` or the number of blocks of a series.
+    """
+    size, rate = max(block, period), 2.0 / (period + 1)
+    rows = df.select("symbol", "timeframe", "ts_open", "close").withColumn("block", F.floor((F.row_number().over(series()) - 1) / size))
+    rows = rows.groupBy("symbol", "timeframe", "block").agg(F.array_sort(F.collect_list(F.struct("ts_open", "close"))).alias("s"))
+    closes = F.transform("s", lambda x: x["close"])
+    fold = F.aggregate(closes, F.lit(0.0), lambda a, x: (x - a) * rate + a)
+    first = F.element_at(folds.running_ema(closes, period), -1)
+    rows = rows.withColumn("step", F.struct("block", F.pow(F.lit(1 - rate), F.size("s")).alias("factor"), F.when(F.col("block") == 0, first).otherwise(fold).alias("offset")))
+    before = F.collect_list("step").over(Window.partitionBy("symbol", "timeframe").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    start = F.aggregate(F.slice("before", F.lit(2), F.greatest(F.size("before") - 1, F.lit(0))), F.get("before", F.lit(0))["offset"], lambda a, x: a * x["factor"] + x["offset"])
+    going = F.slice(F.aggregate(closes, F.array(F.col("start")), lambda a, x: F.array_append(a, (x - F.element_at(a, -1)) * rate + F.element_at(a, -1))), F.lit(2), F.size("s"))
+    rows = rows.withColumn("before", before).withColumn("start", start)
+    rows = rows.withColumn("e", F.when(F.col("block") == 0, folds.running_ema(closes, period)).otherwise(going))
+    return rows.select("symbol", "timeframe", F.explode(F.arrays_zip("s", "e")).alias("x")).select("symbol", "timeframe", "x.s.ts_open", "x.s.close", F.col("x.e").alias(name))

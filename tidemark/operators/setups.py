@@ -40,6 +40,10 @@ class SetupParams:
     stop_at_gaps: bool = True
 
 
+#: Bars of a run that are looked at one by one; longer runs are passed over by the highest closes of such blocks.
+NEAR = 256
+
+
 def by_symbol() -> Window:
     return Window.partitionBy("symbol").orderBy("ts_open")
 
@@ -104,12 +108,22 @@ def retests(candidates: DataFrame, p: SetupParams = SetupParams()) -> DataFrame:
 
 
 def continuations(found: DataFrame, bars: DataFrame) -> DataFrame:
-    """Adds next_bar: the first later bar of the same bullish run that closes above the retest's high."""
+    """Adds next_bar: the first later bar of the same bullish run that closes above the retest's high.
+
+    Bars of a run are filed in blocks of ``NEAR``. A setup meets the highest close of each later block, then only the
+    bars of the retest's own block and of the first block that has such a close, so a long run isn't joined bar by bar.
+    """
     so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
     after = bars.withColumn("run", F.sum((~F.col("bullish")).cast("long")).over(so_far)).where("bullish")
     after = after.select("symbol", "run", F.struct("idx", "ts_open", "close", "atr", "rsi").alias("bar"))
+    after = after.withColumn("block", F.floor(F.col("bar.idx") / NEAR))
     open_setups = found.where("retest IS NOT NULL").select("symbol", "run", "idx", F.col("retest.idx").alias("r"), F.col("retest.high").alias("top"))
-    hit = open_setups.join(after, ["symbol", "run"]).where((F.col("bar.idx") > F.col("r")) & (F.col("bar.close") > F.col("top")))
+    highs = after.groupBy("symbol", "run", "block").agg(F.max("bar.close").alias("high"))
+    own = F.floor(F.col("r") / NEAR)
+    later = open_setups.join(highs, ["symbol", "run"]).where((F.col("block") > own) & (F.col("high") > F.col("top")))
+    later = later.groupBy("symbol", "run", "idx", "r", "top").agg(F.min("block").alias("block"))
+    near = open_setups.withColumn("block", own).unionByName(later)
+    hit = near.join(after, ["symbol", "run", "block"]).where((F.col("bar.idx") > F.col("r")) & (F.col("bar.close") > F.col("top")))
     first = hit.groupBy("symbol", "idx").agg(F.min("bar").alias("next_bar"))
     return found.join(first, ["symbol", "idx"], "left")
 
