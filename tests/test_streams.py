@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.operators import setups as S
+from tidemark.plans.live import LIVE
 from tidemark.streaming import bars as SB
-from tidemark.streaming import monitors, sinks
+from tidemark.streaming import detector, monitors, sinks
 
 SCHEMA = "symbol string, price double, size double, sec bigint, seq bigint"
 
@@ -56,3 +59,48 @@ def test_pending_orders_expire(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert [tuple(r) for r in seen] == [("o1", "EXPIRED", "TIMEOUT")]
+
+
+def test_orders_that_become_pending_later_expire_too(spark, tmp_path):
+    src, schema = f"file://{tmp_path}/src", "order_id string, status string, seq bigint"
+    feed_of = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    feed_of([("o1", "NEW", 1), ("o2", "FILLED", 2)])
+    seen = []
+    q = sinks.on_batch(monitors.pending_timeouts(spark.readStream.schema(schema).parquet(src), 1500), lambda df, _: seen.extend(df.collect()), f"file://{tmp_path}/c3", seconds=1)
+    deadline = time.time() + 60
+    while not any(p["numInputRows"] for p in q.recentProgress) and time.time() < deadline:
+        time.sleep(0.2)
+    feed_of([("o1", "PENDING", 2), ("o2", "PENDING", 1)])
+    deadline = time.time() + 60
+    while not seen and time.time() < deadline:
+        time.sleep(0.5)
+    q.stop()
+    assert [tuple(r) for r in seen] == [("o1", "EXPIRED", "TIMEOUT")]
+
+
+def test_detector_over_random_batches_and_restarts_equals_one_pass(spark, tmp_path):
+    rng = random.Random(3)
+    level, rows = 100.0, []
+    for i in range(9000):
+        level = max(20.0, level + rng.gauss(0.02, 0.6))
+        rows.append((rng.choice("AB"), round(level, 3), float(rng.randrange(1, 5)), i * 200 - (rng.randrange(3000) if rng.random() < 0.05 else 0), i))
+    tape = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("sec")).withColumn("block", F.lit(0))
+    made = S.setup_bars(B.bars(tape, {"1h": 3600, "4h": 14400}, keep_later=True), LIVE)
+    batch = S.signals(made, LIVE).select("symbol", "signal_ts", "breakout_level", "retest_level", "atr", "rsi", "execution_price").collect()
+    src, out, check = (f"file://{tmp_path}/{n}" for n in ("src", "out", "check"))
+    cuts = [0, *sorted(rng.sample(range(1, 9000), 5)), 9000]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        feed(spark, src, rows[a:b])
+        sinks.run_to_end(detector.detect(stream(spark, src), LIVE), out, check)
+    got = spark.read.parquet(out).select("symbol", "signal_ts", "breakout_level", "retest_level", "atr", "rsi", "execution_price").collect()
+    key = lambda r: (r[0], r[1], *(round(x, 6) for x in r[2:]))
+    assert len(batch) > 3 and sorted(map(key, got)) == sorted(map(key, batch))
+
+
+def test_detector_starts_warm(spark, tmp_path):
+    past = [("A", f, k * s, 10.0, 12.0 + k % 3, 9.0, 11.0 + k % 2, 5.0) for f, s in (("1h", 3600), ("4h", 14400)) for k in range(12)]
+    stored = spark.createDataFrame(past, "symbol string, timeframe string, ts_open bigint, open double, high double, low double, close double, volume double")
+    src = f"file://{tmp_path}/src"
+    feed(spark, src, [("A", 10.0 + k, 1.0, 200_000 + k * 3600, k) for k in range(6)])
+    sinks.run_to_end(detector.detect(stream(spark, src), LIVE, stored), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
+    assert spark.read.parquet(f"file://{tmp_path}/out").columns[0] == "symbol"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +13,8 @@ from tidemark.operators import bars as B
 from tidemark.operators import setups as S
 from tidemark.plans import market, setups
 from tidemark.plans.audit import ORACLE_SQL as AUDIT_SQL
-from tidemark.sources.tapes import TAPE_TYPE_SQL, tape_type
-from tidemark.streaming import bars, history, monitors, sinks
+from tidemark.sources.tapes import TAPE_TYPE_SQL, scratch, tape_type
+from tidemark.streaming import bars, detector, history, monitors, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,12 +29,6 @@ def query(name: str, sql: str):
     return keep
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tidemark-shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def finished(stream: DataFrame, name: str) -> DataFrame:
     """The results of a stream that has run to its end."""
     spark = stream.sparkSession
@@ -92,6 +86,55 @@ def stream_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.rounded(out.drop("atr", "rsi"), "breakout_level", "retest_level", "execution_price")
 
 
+#: Hours and four hours, with limits that noise passes.
+LIVE = replace(setups.P, signal="1h", regime="4h", signal_sec=3600, regime_sec=14400, least_signal=10, least_regime=12, fast=4, slow=10)
+
+
+@query(
+    "stream_signals",
+    f"""WITH RECURSIVE {setups.stages_sql(TAPE_TYPE_SQL, LIVE)}, {setups.CHAIN_STEP}
+SELECT oc.symbol, c_ts AS signal_ts, oc.ts_open AS breakout_ts, round(level, 8) AS breakout_level, round(r_low, 8) AS retest_level, round(c_atr, 6) AS atr, round(c_rsi, 6) AS rsi, round(c_close, 8) AS execution_price
+FROM oc JOIN ch3 USING (symbol, idx) WHERE outcome = 'signal'""",
+)
+def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals straight from a stream of trades."""
+    sinks.use_rocksdb(spark)
+    out = finished(detector.detect(trade_stream(spark, sf_dir), LIVE), "signals")
+    return market.rounded(market.rounded(out, "breakout_level", "retest_level", "execution_price"), "atr", "rsi", places=6)
+
+
+THIRDS = 3
+
+
+@query("stream_bars_resumed", ORACLE_SQL["stream_bars"])
+def stream_bars_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars from a stream that ends and goes on from its checkpoint twice, as trades arrive in three parts."""
+    sinks.use_rocksdb(spark)
+    path = scratch(spark, "resumed")
+    tape = tape_type(spark, sf_dir).drop("block")
+    edges = tape.agg(F.percentile_approx("seq", [k / THIRDS for k in range(1, THIRDS)], 10_000).alias("e")).collect()[0]["e"] or []
+    for k in range(len(edges) + 1):
+        part = tape.where((F.col("seq") > edges[k - 1]) if k else F.lit(True)).where((F.col("seq") <= edges[k]) if k < len(edges) else F.lit(True))
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(tape.schema).parquet(f"{path}/in")
+        sinks.run_to_end(bars.arrival_bars(stream, {"1h": 3600, "4h": 14400}), f"{path}/out", f"{path}/checkpoint")
+    return market.rounded(spark.read.parquet(f"{path}/out"), *market.BAR_COLUMNS)
+
+
+@query("closed_bar_callbacks", f"WITH {market.bars_sql(TAPE_TYPE_SQL, {'4h': 14400})} SELECT symbol, ts_open, round(close, 8) AS close FROM bars")
+def closed_bar_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a callback on closed bars was given, micro-batch by micro-batch; a repeated batch replaces itself."""
+    sinks.use_rocksdb(spark)
+    path = scratch(spark, "callbacks")
+    stream = bars.arrival_bars(trade_stream(spark, sf_dir), {"4h": 14400})
+    told = sinks.on_batch(stream, lambda closed, batch: closed.write.mode("overwrite").parquet(f"{path}/out/batch={batch}"), f"{path}/checkpoint", seconds=1)
+    try:
+        told.processAllAvailable()
+    finally:
+        told.stop()
+    return market.rounded(spark.read.parquet(f"{path}/out").select("symbol", "ts_open", "close"), "close")
+
+
 @query(
     "stream_ema",
     f"""WITH {market.bars_sql(TAPE_TYPE_SQL, {'1h': 3600})}, a AS (SELECT *, list(close) OVER {market.frame_sql(60)} AS w FROM bars)

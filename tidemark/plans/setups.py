@@ -24,15 +24,17 @@ RELAXED = S.SetupParams(
 )
 P = RELAXED
 
-STAGES = f"""{market.bars_sql(T.TAPE_LINE_SQL, FRAMES)}, {market.regime_sql(P.regime_window, P.fast, P.slow, P.least_range)},
+def stages_sql(tape: str, P: S.SetupParams) -> str:
+    """CTEs from a tape to the outcomes of candidates (oc), in the detector's parameters."""
+    return f"""{market.bars_sql(tape, {P.signal: P.signal_sec, P.regime: P.regime_sec})}, {market.regime_sql(P.regime_window, P.fast, P.slow, P.least_range)},
 x AS (SELECT *, count(*) OVER w AS n_seen, max(high) OVER b AS prior_high, sum(volume) OVER b / {P.lookback} AS prior_volume,
     list(true_range) OVER h AS wt, list(gain) OVER h AS wg, list(loss) OVER h AS wl
-  FROM ch2 WHERE timeframe = '1d'
+  FROM ch2 WHERE timeframe = '{P.signal}'
   WINDOW w AS (PARTITION BY symbol ORDER BY ts_open ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY symbol ORDER BY ts_open ROWS BETWEEN {P.lookback} PRECEDING AND 1 PRECEDING),
     h AS (PARTITION BY symbol ORDER BY ts_open ROWS {P.signal_window - 1} PRECEDING)),
 y AS (SELECT *, {market.wilder_sql('wt', 14)} AS atr, {market.wilder_sql('wg', 14)} AS ag, {market.wilder_sql('wl', 14)} AS al FROM x),
 z AS (SELECT *, CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END AS rsi, later - later % {P.regime_sec} AS visible FROM y),
-rg AS (SELECT symbol, ts_open AS regime_ts, n_window AS n_regime, bullish FROM regime WHERE timeframe = '12d'),
+rg AS (SELECT symbol, ts_open AS regime_ts, n_window AS n_regime, bullish FROM regime WHERE timeframe = '{P.regime}'),
 sb AS (SELECT z.* EXCLUDE (wt, wg, wl), rg.regime_ts, rg.n_regime, rg.bullish, row_number() OVER (PARTITION BY z.symbol ORDER BY z.ts_open) AS idx
   FROM z ASOF JOIN rg ON z.symbol = rg.symbol AND rg.regime_ts < z.visible WHERE n_seen >= {P.least_signal} AND n_regime >= {P.least_regime}),
 nb AS (SELECT *, min(CASE WHEN NOT bullish THEN idx END) OVER (PARTITION BY symbol ORDER BY ts_open ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS bear FROM sb),
@@ -48,6 +50,9 @@ oc AS (SELECT *, CASE WHEN r IS NULL THEN CASE WHEN bear <= idx + {P.retest_bars
   CASE WHEN r IS NULL THEN least(bear, idx + {P.retest_bars + 1}) + 1 WHEN c IS NOT NULL THEN c + 1 ELSE bear + 1 END AS release FROM c2)"""
 
 
+STAGES = stages_sql(T.TAPE_LINE_SQL, P)
+
+
 def query(name: str, sql: str):
     def keep(f):
         QUERIES[name] = f
@@ -87,13 +92,13 @@ def setup_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.outcomes(bars(spark, sf_dir), P).select("symbol", F.col("idx").cast("long").alias("idx"), "outcome", F.col("release").cast("long").alias("release"))
 
 
-CHAIN = f"""WITH RECURSIVE {STAGES},
-ch3 AS (
+CHAIN_STEP = """ch3 AS (
   SELECT symbol, min(idx) AS idx FROM oc GROUP BY symbol
   UNION ALL
   SELECT n.symbol, n.idx FROM (
     SELECT o.symbol, o.idx, row_number() OVER (PARTITION BY o.symbol ORDER BY o.idx) AS k
     FROM ch3 JOIN oc AS t ON t.symbol = ch3.symbol AND t.idx = ch3.idx JOIN oc AS o ON o.symbol = ch3.symbol AND o.idx >= t.release) AS n WHERE n.k = 1)"""
+CHAIN = f"WITH RECURSIVE {STAGES},\n{CHAIN_STEP}"
 
 
 @query(
@@ -106,3 +111,16 @@ FROM oc JOIN ch3 USING (symbol, idx) WHERE outcome = 'signal'""",
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = S.signals(bars(spark, sf_dir), P).drop("snapshot", "regime_snapshot")
     return rounded(rounded(out, "breakout_level", "retest_level", "execution_price"), "atr", "rsi", places=6)
+
+
+@query(
+    "signal_snapshots",
+    f"""{CHAIN}
+SELECT sha256(oc.symbol || '|' || oc.ts_open::VARCHAR) AS signal_id, round(c_atr, 6) AS atr, round(level, 6) AS level FROM oc JOIN ch3 USING (symbol, idx) WHERE outcome = 'signal'""",
+)
+def signal_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the snapshots of signals say, read back from their text."""
+    number = r"(-?[0-9.]+(?:E-?[0-9]+)?)"
+    said = lambda name: F.regexp_extract("regime_snapshot", f"{name}:{number}", 1).cast("double")
+    out = S.signals(bars(spark, sf_dir), P).select("signal_id", said("ATR").alias("atr"), said("_LEVEL").alias("level"))
+    return rounded(out, "atr", "level", places=6)

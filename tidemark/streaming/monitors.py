@@ -56,28 +56,32 @@ def stale_feed(trades: DataFrame, limit_ms: int, timers: bool = True) -> DataFra
 
 
 class PendingOrders(StatefulProcessor):
-    """Expires an order that is still pending when its time is over."""
+    """Expires an order that is still pending when its time is over, counted from when it became pending.
+
+    Changes that aren't later (by seq) than the last one are ignored.
+    """
 
     def __init__(self, limit_ms: int):
         self.limit = limit_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "status string")
+        self.status = handle.getValueState("status", "status string, seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        feed = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-        status, known = feed["status"].iloc[-1], self.status.exists()
-        self.status.update((status,))
-        if status != "PENDING":
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-        elif not known:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limit)
+        last = max((row for part in rows for row in zip(part["seq"].tolist(), part["status"].tolist(), strict=True)), key=lambda x: x[0])
+        was = self.status.get() if self.status.exists() else (None, None)
+        if was[1] is None or last[0] > was[1]:
+            self.status.update((last[1], last[0]))
+            if last[1] != "PENDING":
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+            elif was[0] != "PENDING":
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.limit)
         yield pd.DataFrame([], columns=["order_id", "status", "fail_reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.status.update(("EXPIRED",))
+        self.status.update(("EXPIRED", self.status.get()[1]))
         yield pd.DataFrame([(key[0], "EXPIRED", "TIMEOUT")], columns=["order_id", "status", "fail_reason"])
 
     def close(self) -> None:
