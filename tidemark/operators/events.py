@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as R
+from tidemark.operators import blocks
 
 KINDS = ("SIGNAL_EMITTED", "ORDER_PENDING", "ORDER_SUBMITTED", "ORDER_FILLED", "ORDER_FAILED_EXCHANGE", "ORDER_TIMEOUT", "POSITION_OPENED", "STOP_REQUIRED", "TRADING_DISABLED")
 
@@ -17,16 +19,23 @@ def event(kind: str, ts: Column, **fields: Column) -> list[Column]:
     return [ts.cast("long").alias("ts"), F.lit(kind).alias("event_type"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]), {"ignoreNullFields": "false"}).alias("message")]
 
 
-def transitions(changes: DataFrame, key: str, seq: str, state: Sequence[str]) -> DataFrame:
-    """Changes of state of a key along a changelog: each row whose state differs from the key's row before, with that state."""
+def keyed(kind: str, ts: Column, subject: Column, **fields: Column) -> list[Column]:
+    """Columns of :func:`event` behind a key that is the same whenever the same thing is told of the same subject."""
+    return [F.sha2(F.concat_ws("|", F.lit(kind), subject).cast("binary"), 256).alias("event_key"), *event(kind, ts, **fields)]
+
+
+def transitions(changes: DataFrame, key: str, seq: str, state: Sequence[str], block: Column | None = None) -> DataFrame:
+    """Changes of state of a key along a changelog: each row whose state differs from the key's row before, with that state.
+
+    ``block``, which rises with ``seq``, spreads a key over its blocks.
+    """
     now = F.struct(*state)
-    before = F.lag(now).over(Window.partitionBy(key).orderBy(seq))
-    rows = changes.withColumn("before", before)
+    rows = blocks.lagged(changes, [key], [seq], F.lit(0) if block is None else block, now, "before")
     return rows.where(F.col("before").isNotNull() & ~F.col("before").eqNullSafe(now)).select(key, seq, *[F.col(f"before.{c}").alias(f"{c}_before") for c in state], *state)
 
 
 def order_events(before: DataFrame, after: DataFrame, positions: DataFrame, now: Column) -> DataFrame:
-    """Events of a reconcile tick from orders before and after it (order_id, status, exchange_order_id, ...).
+    """Events of a reconcile tick from orders before and after it (order_id, status, exchange_order_id, ...), with their keys.
 
     The first rule that fits gives the event of an order: an exchange id appeared while pending; it became filled; it
     failed; it expired. A filled order whose symbol has an open position also gives POSITION_OPENED. The fill price is the order's limit price.
@@ -43,16 +52,40 @@ def order_events(before: DataFrame, after: DataFrame, positions: DataFrame, now:
     rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
     of = lambda k: rows.where(F.col("kind") == k)
     filled = of("ORDER_FILLED")
-    opened = filled.select("symbol").join(positions.where("state = 'OPEN'"), "symbol")
+    opened = filled.select("symbol", F.col("order_id").alias("opener")).join(positions.where("state = 'OPEN'"), "symbol")
     return (
-        of("ORDER_SUBMITTED").select(*event("ORDER_SUBMITTED", now, order_id=F.col("order_id"), exchange_order_id=F.col("exchange_order_id")))
-        .unionByName(filled.select(*event("ORDER_FILLED", now, order_id=F.col("order_id"), signal_id=F.col("signal_id"), fill_price=F.col("price"), fill_size=F.col("executed_size"))))
-        .unionByName(opened.select(*event("POSITION_OPENED", now, symbol=F.col("symbol"), avg_entry=F.col("avg_entry"), size=F.col("current_size"), stop_price=F.col("stop_price"))))
-        .unionByName(of("ORDER_FAILED_EXCHANGE").select(*event("ORDER_FAILED_EXCHANGE", now, order_id=F.col("order_id"), remote_status=F.col("fail_reason"))))
-        .unionByName(of("ORDER_TIMEOUT").select(*event("ORDER_TIMEOUT", now, order_id=F.col("order_id"), age_seconds=R.age(now, F.col("created_at")))))
+        of("ORDER_SUBMITTED").select(*keyed("ORDER_SUBMITTED", now, F.col("order_id"), order_id=F.col("order_id"), exchange_order_id=F.col("exchange_order_id")))
+        .unionByName(filled.select(*keyed("ORDER_FILLED", now, F.col("order_id"), order_id=F.col("order_id"), signal_id=F.col("signal_id"), fill_price=F.col("price"), fill_size=F.col("executed_size"))))
+        .unionByName(opened.select(*keyed("POSITION_OPENED", now, F.col("opener"), symbol=F.col("symbol"), avg_entry=F.col("avg_entry"), size=F.col("current_size"), stop_price=F.col("stop_price"))))
+        .unionByName(of("ORDER_FAILED_EXCHANGE").select(*keyed("ORDER_FAILED_EXCHANGE", now, F.col("order_id"), order_id=F.col("order_id"), remote_status=F.col("fail_reason"))))
+        .unionByName(of("ORDER_TIMEOUT").select(*keyed("ORDER_TIMEOUT", now, F.col("order_id"), order_id=F.col("order_id"), age_seconds=R.age(now, F.col("created_at")))))
     )
 
 
+def signal_events(signals: DataFrame, now: Column) -> DataFrame:
+    """SIGNAL_EMITTED of signals that are new."""
+    fields = {c: F.col(c) for c in ("signal_id", "symbol", "execution_price")}
+    return signals.where(F.col("status") == "NEW").select(*keyed("SIGNAL_EMITTED", now, F.col("signal_id"), **fields))
+
+
+def intent_events(intents: DataFrame, now: Column) -> DataFrame:
+    """ORDER_PENDING of admitted intents (as :func:`tidemark.operators.orders.admit` gives them)."""
+    fields = {c: F.col(c) for c in ("order_id", "signal_id", "symbol", "size", "price")}
+    return intents.where(F.col("status") == "PENDING").select(*keyed("ORDER_PENDING", now, F.col("order_id"), **fields))
+
+
+def stop_events(positions: DataFrame, now: Column) -> DataFrame:
+    """STOP_REQUIRED of each open position without an active stop, once a tick."""
+    fields = {c: F.col(c) for c in ("symbol", "stop_price", "stop_active")}
+    return stop_violations(positions).select(*keyed("STOP_REQUIRED", now, F.concat_ws("|", "symbol", now.cast("string")), **fields))
+
+
+def disabled_events(edges: DataFrame, now: Column, subject: Column) -> DataFrame:
+    """TRADING_DISABLED of ticks that disabled trading, with the guards that tripped (``tripped``, an array of names)."""
+    names = F.concat(F.lit("["), F.array_join(F.transform("tripped", lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
+    return edges.select(*keyed("TRADING_DISABLED", now, subject, reason=F.lit("safeguard_tripped"), guard_name=names))
+
+
 def stop_violations(positions: DataFrame) -> DataFrame:
     """Open positions without an active stop above 0."""
     return positions.where((F.col("state") == "OPEN") & ~R.stop_holds(F.col("stop_active"), F.col("stop_price")))
@@ -66,3 +99,29 @@ def kind_counts(log: DataFrame, since: Column, kinds: Sequence[str] = KINDS) ->
 def append_log(events: DataFrame, path: str) -> None:
     """Append events to a log partitioned by date."""
     events.withColumn("date", F.to_date(F.timestamp_seconds("ts"))).write.mode("append").partitionBy("date").parquet(path)
+
+
+def append_once(events: DataFrame, path: str) -> None:
+    """Append keyed events that the log doesn't have yet, so a batch that is told again adds nothing.
+
+    Only the dates of the batch are read; one writer at a time. A key that a batch repeats is written once, with its
+    earliest time.
+    """
+    spark = events.sparkSession
+    rows = events.groupBy("event_key").agg(F.min_by(F.struct("ts", "event_type", "message"), F.struct("ts", "message")).alias("e")).select("event_key", "e.*")
+    rows = rows.withColumn("date", F.to_date(F.timestamp_seconds("ts")))
+    schema = "event_key string, ts bigint, event_type string, message string, date date"
+    try:
+        known = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = spark.createDataFrame([], schema)
+    known = known.join(F.broadcast(rows.select("date").distinct()), "date", "left_semi").select("event_key")
+    rows.join(known, "event_key", "left_anti").write.mode("append").partitionBy("date").parquet(path)
+
+
+def log_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a stream of keyed events to its end into a log: the checkpoint skips finished batches, the keys a repeated one."""
+    run = stream.writeStream.foreachBatch(lambda batch, _: append_once(batch, path)).option("checkpointLocation", checkpoint)
+    run.trigger(availableNow=True).start().awaitTermination()

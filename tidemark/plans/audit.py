@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions import scalar as R
+from tidemark.operators import blocks
 from tidemark.operators import events as E
 from tidemark.operators import guards as G
+from tidemark.operators import orders as O
 from tidemark.operators import reconcile as C
 from tidemark.plans import ledger as L
 from tidemark.sources import messages as M
 from tidemark.sources import store
-from tidemark.sources.tapes import table
+from tidemark.sources.tapes import BLOCK_ROWS, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -30,6 +34,11 @@ def query(name: str, sql: str):
     return keep
 
 
+def block() -> Column:
+    """Blocks of events in order of their ids."""
+    return F.floor(F.col("event_id") / BLOCK_ROWS)
+
+
 @query(
     "order_transitions",
     """SELECT user_id, event_id, event_type_before, event_type FROM (
@@ -37,7 +46,7 @@ def query(name: str, sql: str):
 )
 def order_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as states of their user: every change of state with the state before."""
-    return E.transitions(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
+    return E.transitions(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"], block())
 
 
 TYPES = ("click", "error", "login", "purchase", "view")
@@ -63,7 +72,7 @@ def reconcile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, signals, fills, remote = L.tick_inputs(spark, sf_dir)
     after = C.tick(orders, signals, F.lit(L.NOW), fills, remote, limit=L.LIMIT).withColumn("symbol", F.col("order_id"))
     none = spark.createDataFrame([], schemas.SCHEMAS["positions"])
-    return E.order_events(orders, after, none, F.lit(L.NOW)).where("event_type <> 'ORDER_FILLED'")
+    return E.order_events(orders, after, none, F.lit(L.NOW)).where("event_type <> 'ORDER_FILLED'").drop("event_key")
 
 
 @query(
@@ -82,6 +91,74 @@ def filled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select(F.coalesce(m["order_id"], m["symbol"]).alias("order_id"), m["signal_id"].alias("signal_id"), F.coalesce(m["fill_size"], m["size"]).alias("fill_size"), "event_type")
 
 
+def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nine kinds: signals and their intents, a reconcile tick, stops, and guards that tripped."""
+    now = F.lit(L.NOW)
+    signals, held = L.given_signals(spark, sf_dir), L.given_positions(spark, sf_dir)
+    intents = O.admit(signals, L.given_orders(spark, sf_dir), held, now)
+    orders, known, fills, remote = L.tick_inputs(spark, sf_dir)
+    after = C.tick(orders, known, now, fills, remote, limit=L.LIMIT).withColumn("symbol", F.col("order_id"))
+    opened = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("symbol"), F.lit("OPEN").alias("state"), F.lit(1.0).alias("avg_entry"), F.lit(60.0).alias("current_size"), F.lit(0.5).alias("stop_price"))
+    edges = G.disabled_edges(guard_states(spark, sf_dir), ["user_id"], "event_id", block()).withColumn("tripped", F.split("tripped", ","))
+    parts = [E.signal_events(signals, now), E.intent_events(intents, now), E.order_events(orders, after, opened, now), E.stop_events(held, now), E.disabled_events(edges, now, F.concat_ws("|", "user_id", "event_id"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "lifecycle_log",
+    f"""WITH adm AS ({L.ORACLE_SQL["order_admission"]}), after AS ({L.ORACLE_SQL["reconcile_tick"]}), stops AS ({{stops}}), edges AS ({{edges}}),
+j AS (SELECT a.*, {L.STATUS_SQL} AS was, o_orderkey % 4 <> 0 AS had, o_orderkey FROM after AS a JOIN orders ON o_orderkey::VARCHAR = a.order_id),
+k AS (SELECT order_id, o_orderkey, CASE WHEN was = 'PENDING' AND status = 'PENDING' AND NOT had AND exchange_order_id IS NOT NULL THEN 'ORDER_SUBMITTED' WHEN was IN ('PENDING', 'PARTIAL') AND status = 'FILLED' THEN 'ORDER_FILLED'
+    WHEN was = 'PENDING' AND status = 'FAILED' THEN 'ORDER_FAILED_EXCHANGE' WHEN was = 'PENDING' AND status = 'EXPIRED' THEN 'ORDER_TIMEOUT' END AS kind FROM j),
+e AS (
+  SELECT 'SIGNAL_EMITTED' AS event_type, o_orderkey::VARCHAR AS subject FROM orders WHERE o_orderkey % 11 <> 0
+  UNION ALL SELECT 'ORDER_PENDING', order_id FROM adm WHERE status = 'PENDING'
+  UNION ALL SELECT kind, order_id FROM k WHERE kind IS NOT NULL
+  UNION ALL SELECT 'POSITION_OPENED', order_id FROM k WHERE kind = 'ORDER_FILLED' AND o_orderkey % 2 = 0
+  UNION ALL SELECT 'STOP_REQUIRED', symbol || '|{L.NOW}' FROM stops
+  UNION ALL SELECT 'TRADING_DISABLED', user_id || '|' || event_id FROM edges)
+SELECT sha256(event_type || '|' || subject) AS event_key, event_type, {L.NOW}::BIGINT AS ts FROM e""",
+)
+def lifecycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all events after a checkpointed stream has written them, and after a second stream has told them again."""
+    path = scratch(spark, "lifecycle")
+    lifecycle_events(spark, sf_dir).write.parquet(f"{path}/events")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/events").schema).parquet(f"{path}/events")
+    for run in ("first", "again"):
+        E.log_stream(stream, f"{path}/log", f"{path}/{run}")
+    return spark.read.parquet(f"{path}/log").select("event_key", "event_type", "ts")
+
+
+@query("audit_log", "SELECT epoch(ts)::BIGINT AS ts, event_type, '{\"user_id\":' || user_id || '}' AS message, ts::DATE::VARCHAR AS date FROM (SELECT * REPLACE (date_trunc('second', ts) AS ts) FROM events)")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended to a log by date in two batches and read back."""
+    path = scratch(spark, "audit-log")
+    rows = table(spark, sf_dir, "events")
+    made = rows.select(*E.event("x", F.unix_timestamp("ts"), user_id=F.col("user_id")), F.col("event_type").alias("kind"), "event_id").drop("event_type").withColumnRenamed("kind", "event_type")
+    for odd in (0, 1):
+        E.append_log(made.where(F.col("event_id") % 2 == odd).select("ts", "event_type", "message"), path)
+    return spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
+
+
+@query("risk_log", "SELECT epoch(date_trunc('second', ts))::BIGINT AS ts, event_type, 'U' || user_id AS symbol, props AS message, NULL::VARCHAR AS action_taken, value FROM events WHERE event_type = 'error'")
+def risk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors appended as risk events; the column that they lack is null, the one of their own stays."""
+    path = scratch(spark, "risk-log")
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'")
+    store.append_risk_events(rows.select(F.unix_timestamp("ts").alias("ts"), "event_type", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"), F.col("props").alias("message"), "value"), path)
+    return spark.read.parquet(path)
+
+
+@query("created_table", "SELECT 'C' || c_custkey AS symbol, NULL::BIGINT AS entry_ts, c_acctbal AS stop_price, 'OPEN' AS state, c_custkey % 2 = 0 AS stop_active FROM customer WHERE c_acctbal < 0")
+def created_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A declared table that is created twice (once in effect) and filled."""
+    name = f"positions_{uuid.uuid4().hex}"
+    for _ in range(2):
+        schemas.create_table(spark, name, "positions")
+    schemas.align_schema(L.given_positions(spark, sf_dir), schemas.SCHEMAS["positions"]).write.insertInto(name)
+    return spark.table(name).select("symbol", "entry_ts", "stop_price", "state", "stop_active")
+
+
 @query("stop_violations", "SELECT 'C' || c_custkey AS symbol, c_acctbal AS stop_price, c_custkey % 2 = 0 AS stop_active FROM customer WHERE c_acctbal < 0 AND NOT (c_custkey % 2 = 0 AND c_acctbal > 0)")
 def stop_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stop_violations(L.given_positions(spark, sf_dir)).select("symbol", "stop_price", "stop_active")
@@ -120,12 +197,10 @@ g AS (SELECT user_id, event_id, NOT stale AND NOT ever_violated AND (enabled OR
 
 def guard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as guard ticks of their user: stale after ten hours of silence, violated by large errors."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "events")
-    step = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = blocks.lagged(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], block(), F.col("ts"), "before")
+    step = F.unix_micros("ts") - F.unix_micros("before")
     ticks = rows.select("user_id", "event_id", F.coalesce(step > 36_000_000_000, F.lit(False)).alias("stale"), ((F.col("event_type") == "error") & (F.col("value") > 60)).alias("violated"))
-    return G.latch(ticks, ["user_id"], "event_id", F.col("user_id") % 2 == 0).select("user_id", "event_id", "can_trade", F.array_join("tripped", ",").alias("tripped"))
+    return G.latch(ticks, ["user_id"], "event_id", F.col("user_id") % 2 == 0, block()).select("user_id", "event_id", "can_trade", F.array_join("tripped", ",").alias("tripped"))
 
 
 @query("guard_latch", f"WITH {LATCH_SQL} SELECT * FROM g")
@@ -138,7 +213,7 @@ def guard_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {LATCH_SQL} SELECT user_id, event_id, tripped FROM (SELECT *, lag(can_trade) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM g) WHERE b AND NOT can_trade",
 )
 def guard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.disabled_edges(guard_states(spark, sf_dir), ["user_id"], "event_id").select("user_id", "event_id", "tripped")
+    return G.disabled_edges(guard_states(spark, sf_dir), ["user_id"], "event_id", block()).select("user_id", "event_id", "tripped")
 
 
 @query("last_seen", "SELECT event_type AS product, epoch_us(max(ts)) AS last_seen FROM events GROUP BY event_type")
@@ -244,3 +319,7 @@ def remote_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     value = F.when(F.col("o_orderkey") % 3 == 0, F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("order")))).when(F.col("o_orderkey") % 3 == 1, F.to_json(F.struct(F.col("o_orderstatus").alias("status")))).otherwise("{}")
     return M.remote_status(o.select(F.concat(F.lit("cb_"), F.col("o_orderkey").cast("string")).alias("exchange_order_id"), value.alias("value")))
+
+
+# These use oracles that are defined after them.
+ORACLE_SQL["lifecycle_log"] = ORACLE_SQL["lifecycle_log"].replace("{stops}", ORACLE_SQL["stop_violations"]).replace("{edges}", ORACLE_SQL["guard_edges"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import bars as B
 from tidemark.operators import indicators as I
 from tidemark.operators.asof import as_of
+from tidemark.sources import store
 from tidemark.sources import tapes as T
 
 DAYS = {"1d": 86400, "4d": 345600}
@@ -276,3 +277,36 @@ def regime_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     context = I.with_regime(made.where("timeframe = '4d'")).select("symbol", F.col("ts_open").alias("regime_ts"), "bullish", "ema_slow")
     out = as_of(days, context, ["symbol"], F.col("following") - F.pmod(F.col("following"), F.lit(345600)), F.col("regime_ts"), ["regime_ts", "bullish", "ema_slow"])
     return rounded(out.drop("following"), "ema_slow", places=6)
+
+
+@query(
+    "bar_store",
+    f"""WITH {bars_sql(T.TAPE_TYPE_SQL, {'1h': 3600, '4h': 14400})}
+SELECT symbol, timeframe, ts_open, round(open, 8) AS open, round(CASE WHEN timeframe = '4h' THEN high + 1 ELSE high END, 8) AS high, round(low, 8) AS low,
+  round(CASE WHEN timeframe = '4h' THEN close - 1 ELSE close END, 8) AS close, round(volume, 8) AS volume FROM bars""",
+)
+def bar_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars appended to a changelog, those of four hours twice: the second row changes all but the open."""
+    return rounded(store.latest_bars(spark, stored_bars(spark, sf_dir)), *BAR_COLUMNS)
+
+
+def stored_bars(spark: SparkSession, sf_dir: str) -> str:
+    """Path of a changelog of bars."""
+    path = T.scratch(spark, "bar-store")
+    made = B.bars(T.tape_type(spark, sf_dir), {"1h": 3600, "4h": 14400})
+    store.append_bars(made.withColumn("seq", F.lit(1)), path)
+    again = made.where("timeframe = '4h'").withColumns({"open": F.col("open") + 1, "high": F.col("high") + 1, "close": F.col("close") - 1, "seq": F.lit(2)})
+    store.append_bars(again, path)
+    return path
+
+
+@query(
+    "bar_history",
+    f"""WITH {bars_sql(T.TAPE_TYPE_SQL, {'4h': 14400})},
+k AS (SELECT *, row_number() OVER (ORDER BY ts_open DESC) AS back FROM bars WHERE symbol = 'click')
+SELECT symbol, timeframe, ts_open, round(open, 8) AS open, round(high + 1, 8) AS high, round(low, 8) AS low, round(close - 1, 8) AS close, round(volume, 8) AS volume,
+  row_number() OVER (ORDER BY ts_open)::INTEGER AS place FROM k WHERE back <= 30""",
+)
+def bar_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 30 bars of one stored series, whose partition alone is read."""
+    return rounded(store.history(spark, stored_bars(spark, sf_dir), "click", "4h", 30), *BAR_COLUMNS)
