@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import folds
 from tidemark.operators import bars as B
+from tidemark.operators import blocks
 from tidemark.operators import indicators as I
 from tidemark.operators.asof import as_of
 
@@ -124,3 +125,31 @@ def test_gap_disables_for_good_and_older_bars_are_ignored(spark):
     fresh = B.fresh_bars(rows)
     assert [r.ts_open // 3600 for r in fresh.orderBy("seq").collect()] == [0, 1, 3, 4]
     assert [r.disabled for r in B.gaps(fresh).orderBy("ts_open").collect()] == [False, False, True, True]
+
+
+def test_blocks_give_what_whole_windows_give(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, rng.randrange(9)]), rng.random() < 0.03) for i in range(400) if rng.random() < 0.8]
+    df = spark.createDataFrame(rows, "k string, i bigint, v bigint, f boolean")
+    blk = F.floor(F.col("i") / 23)
+    before, known, ever = {}, {}, {}
+    wanted = {}
+    for k, i, v, f in rows:
+        ever[k] = ever.get(k, False) or f
+        known[k] = v if v is not None else known.get(k)
+        wanted[i] = (before.get(k), known[k], ever[k])
+        before[k] = v
+    out = blocks.running_any(blocks.last_known(blocks.lagged(df, ["k"], ["i"], blk, F.col("v"), "lag"), ["k"], ["i"], blk, "v", "known"), ["k"], ["i"], blk, {"ever": F.col("f")})
+    assert {r.i: (r.lag, r.known, r.ever) for r in out.collect()} == wanted and len(out.columns) == 7
+
+
+def test_means_of_whole_series_in_blocks(spark):
+    rng = random.Random(2)
+    closes = {("A", "x"): [rng.uniform(50, 60) for _ in range(137)], ("B", "x"): [1.0, 2.0], ("C", "x"): [rng.uniform(1, 2) for _ in range(20)]}
+    df = spark.createDataFrame([(*k, i * 60, c) for k, v in closes.items() for i, c in enumerate(v)], "symbol string, timeframe string, ts_open bigint, close double")
+    got = {(r.symbol, r.ts_open): r.ema for r in I.ema_series(df, 5, block=16).collect()}
+    for (symbol, _), v in closes.items():
+        e = None
+        for i, c in enumerate(v):
+            e = None if i < 4 else sum(v[:5]) / 5 if i == 4 else (c - e) * (2 / 6) + e
+            assert got[symbol, i * 60] == (None if e is None else pytest.approx(e, abs=1e-9))

@@ -247,6 +247,22 @@ def schema_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("symbol", "entry_ts", "avg_entry", "stop_price", "stop_active", "name")
 
 
+@query("schema_misfits", "SELECT event_id, 'value' || CASE WHEN event_id % 5 = 0 THEN ',ts' ELSE '' END AS misfit FROM events WHERE event_id % 3 = 0 UNION ALL SELECT event_id, 'ts' FROM events WHERE event_id % 3 <> 0 AND event_id % 5 = 0")
+def schema_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose time or value is no number, kept apart before alignment would make these null."""
+    target = schemas.schema_of("value double, ts bigint")
+    said = lambda bad, good: F.when(F.col("event_id") % bad == 0, "none").otherwise(good.cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", said(3, F.col("value")).alias("value"), said(5, F.unix_timestamp("ts")).alias("ts"))
+    return schemas.misfits(rows, target).select("event_id", F.array_join("misfit", ",").alias("misfit"))
+
+
+@query("iso_times", "SELECT event_id, round(epoch_us(ts) / 1e6, 6) AS sec FROM events WHERE event_id % 10 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 10 = 0")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times in text back to seconds; what is no time is null."""
+    text = F.when(F.col("event_id") % 10 == 0, "no time").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(R.epoch_seconds(text), 6).alias("sec"))
+
+
 @query("orders_by_status", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_totalprice >= 400000")
 def orders_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyed statement with parameters; its predicates reach the scan."""

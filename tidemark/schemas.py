@@ -51,12 +51,19 @@ def missing_columns(df: DataFrame, target: StructType) -> list[str]:
 def align_schema(df: DataFrame, target: StructType) -> DataFrame:
     """``df`` with the target's columns and types, missing ones null; columns of its own come last.
 
-    Applied twice it changes nothing, and values that can't be cast become null.
+    Applied twice it changes nothing, and values that can't be cast become null; :func:`misfits` gives their rows.
     """
     out = [F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in target]
     return df.select(*out, *[c for c in df.columns if c not in target.names])
 
 
+def misfits(df: DataFrame, target: StructType) -> DataFrame:
+    """Rows of ``df`` that alignment would change: columns of ``df`` with misfit, the names of those that can't be cast."""
+    lost = [F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f.name)) for f in target if f.name in df.columns]
+    rows = df.withColumn("misfit", F.array_compact(F.array(*lost)) if lost else F.array().cast("array<string>"))
+    return rows.where(F.size("misfit") > 0)
+
+
 def create_table(spark: SparkSession, name: str, schema: str) -> None:
     """A managed parquet table with a declared schema."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[schema])
