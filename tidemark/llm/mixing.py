@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, word_count
+from tidemark.llm.common import small, stored, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -60,7 +60,8 @@ def mix(
     than its source's epochs plus one. ``quality`` has doc_id (each once) and weight; documents of weight 0 or less
     come last of all.
 
-    Words are counted before anything is joined, so no text is shuffled. The order is never held by one task: keys
+    Words are counted before anything is joined, so no text is shuffled; ``carry`` columns are, but only where there are
+    too many weights to broadcast (they are counted). The order is never held by one task: keys
     fall into ``bins`` bins per source, sums of bins place each bin in the source's prefix sum, and only the bin that
     straddles the budget is ordered row by row. ``bins`` should grow with the rows of a source (a billion rows in one
     source: 65536). The plan has a row per source; it is broadcast when it was counted to have at most
@@ -71,8 +72,8 @@ def mix(
     """
     rows = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     if quality is not None:
-        known = quality.select(F.col("doc_id").alias("weighed"), F.col("weight").cast("double").alias("w"))
-        rows = rows.join(known, F.col("doc_id") == F.col("weighed"), "left").drop("weighed").fillna(1.0, ["w"])
+        known = stored(quality.select(F.col("doc_id").alias("weighed"), F.col("weight").cast("double").alias("w")), "mix-weights")
+        rows = rows.join(small(known), F.col("doc_id") == F.col("weighed"), "left").drop("weighed").fillna(1.0, ["w"])
     else:
         rows = rows.withColumn("w", F.lit(1.0))
     key = F.pow(uniform(F.col("doc_id"), seed), F.try_divide(F.lit(1.0), F.col("w")))
