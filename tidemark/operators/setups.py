@@ -120,9 +120,10 @@ def continuations(found: DataFrame, bars: DataFrame) -> DataFrame:
     open_setups = found.where("retest IS NOT NULL").select("symbol", "run", "idx", F.col("retest.idx").alias("r"), F.col("retest.high").alias("top"))
     highs = after.groupBy("symbol", "run", "block").agg(F.max("bar.close").alias("high"))
     own = F.floor(F.col("r") / NEAR)
-    later = open_setups.join(highs, ["symbol", "run"]).where((F.col("block") > own) & (F.col("high") > F.col("top")))
-    later = later.groupBy("symbol", "run", "idx", "r", "top").agg(F.min("block").alias("block"))
-    near = open_setups.withColumn("block", own).unionByName(later)
+    near = open_setups.join(highs, ["symbol", "run"]).where((F.col("block") == own) | (F.col("block") > own) & (F.col("high") > F.col("top")))
+    next_block = F.min(F.when(F.col("block") > own, F.col("block")))
+    near = near.groupBy("symbol", "run", "idx", "r", "top").agg(F.array_compact(F.array(F.min("block"), next_block)).alias("blocks"))
+    near = near.withColumn("block", F.explode(F.array_distinct("blocks"))).drop("blocks")
     hit = near.join(after, ["symbol", "run", "block"]).where((F.col("bar.idx") > F.col("r")) & (F.col("bar.close") > F.col("top")))
     first = hit.groupBy("symbol", "idx").agg(F.min("bar").alias("next_bar"))
     return found.join(first, ["symbol", "idx"], "left")

@@ -63,7 +63,11 @@ def query(name: str, sql: str):
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.setup_bars(B.bars(T.tape_line(spark, sf_dir), FRAMES, keep_later=True), P)
+    """Bars that the detector would process, written once: setups look at them several times."""
+    made = S.setup_bars(B.bars(T.tape_line(spark, sf_dir), FRAMES, keep_later=True), P)
+    path = T.scratch(spark, "setup-bars")
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 @query("breakouts", f"WITH {STAGES} SELECT symbol, idx, ts_open, round(level, 8) AS level, round(midpoint, 8) AS midpoint, bear FROM bo")
