@@ -14,6 +14,8 @@ always leaves.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +83,11 @@ def within_one(a: Column, b: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """A row per line with a visible character: d (id, the largest number for null), th (hash of the text), ln, line (its words with single spaces between), h, chk."""
+    text = F.col("text")
+    uneven = reduce(Column.__or__, [text.contains(x) for x in ("\t", "\x0b", "\x0c", "\r", "  ")])  # where UNEVEN has a match
+    text = F.when(uneven, F.regexp_replace(text, UNEVEN, " ")).otherwise(text)
     rows = docs.where(F.col("text").isNotNull()).select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split(F.regexp_replace("text", UNEVEN, " "), "\n")).alias("ln", "line")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split(text, "\n")).alias("ln", "line")
     )
     rows = rows.withColumn("line", F.trim("line"))
     return rows.where(F.col("line").rlike(VISIBLE)).select("*", F.xxhash64("line").alias("h"), F.hash("line").alias("chk"))
