@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, neighbours, quality, secret_scan, substring_dedup, warc
+from tidemark.llm import decontaminate, language_id, line_dedup, mixing, near_dedup, neighbours, quality, secret_scan, spelling, substring_dedup, warc
 from tidemark.llm.common import is_held_out, table
 
 
@@ -64,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.MIX_SQL,
     "op8_near_dedup": near_dedup.GROUPS_SQL,
     "op9_warc": warc.ROUND_TRIP_SQL,
+    "op13_spelling": spelling.REPORT_SQL,
 }
