@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import light_batches, small, stored
+from tidemark.llm.common import CRC_SQL, crc_sql, light_batches, small, stored
 
 LEAST_LETTERS, LEAST_COUNT, LEADS = 6, 5, 5
 TYPOS = 199
@@ -210,17 +210,6 @@ def report(docs: DataFrame) -> DataFrame:
     return group(stored(counted(docs).where(F.col("n") >= LEAST_COUNT), "vocabulary"))
 
 
-#: CRC-32 of text in SQL, a half byte at a time; the table is computed from the polynomial.
-CRC_SQL = """crc_t AS MATERIALIZED (
-  SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(range(4), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k) AS v FROM range(16) AS r(k)))"""
-
-
-def crc_sql(text: str) -> str:
-    """SQL for the unsigned CRC-32 of a text column's UTF-8; needs the row of crc_t as ``t``."""
-    halves = f"list_transform(range(2 * octet_length(encode({text}))), lambda i: strpos('0123456789ABCDEF', hex(encode({text}))[i + 2 - 2 * (i % 2)]) - 1)"
-    return f"xor(list_reduce({halves}, lambda c, b: xor(c // 16, t[xor(c, b) % 16 + 1]), 4294967295), 4294967295)"
-
-
 REPORT_SQL = f"""WITH RECURSIVE {CRC_SQL},
 runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents WHERE text IS NOT NULL),
 lowered AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs WHERE length(run) >= {LEAST_LETTERS} GROUP BY ALL),
