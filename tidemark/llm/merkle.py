@@ -147,24 +147,29 @@ def tiers_of(nodes: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
         out.append(stored(pages_of(above.select("tree", F.col("block").alias("idx"), many.alias("n"), F.col("top").alias("digest")), height), "pages"))
 
 
+def listed(tier: int, height: int):
+    """Rows of the log for pages of a tier; nodes that a lower tier has as well are left out."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p in batch.itertuples(index=False):
+                out = []
+                for level in range(1 if tier else 0, p.levels + 1):
+                    for i in range(-(-p.leaves >> level)):
+                        at = 32 * position(level, i, p.leaves)
+                        index = (p.block << (height - level)) + i
+                        out.append((p.tree, position(tier * height + level, index, p.leaves_of_tree), tier * height + level, index, p.log[at : at + 32].hex()))
+                yield pd.DataFrame(out, columns=["tree", "position", "level", "idx", "digest"])
+
+    return rows
+
+
 def log(tiers: list[DataFrame], height: int = HEIGHT) -> DataFrame:
     """tree, position, level, idx, digest: the whole log, a row a node."""
-    sizes = tiers[0].select("tree", F.col("n").alias("leaves_of_tree")).distinct()
+    sizes = tiers[0].groupBy("tree").agg(F.max("n").alias("leaves_of_tree"))
     out = None
     for tier, pages in enumerate(tiers):
-
-        def nodes(batches: Iterator[pd.DataFrame], tier: int = tier) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for p in batch.itertuples(index=False):
-                    rows = []
-                    for level in range(1 if tier else 0, p.levels + 1):
-                        for i in range(-(-p.leaves >> level)):
-                            at = 32 * position(level, i, p.leaves)
-                            index = (p.block << (height - level)) + i if level <= height else i
-                            rows.append((p.tree, position(tier * height + level, index, p.leaves_of_tree), tier * height + level, index, p.log[at : at + 32].hex()))
-                    yield pd.DataFrame(rows, columns=["tree", "position", "level", "idx", "digest"])
-
-        part = pages.join(F.broadcast(sizes), "tree").mapInPandas(nodes, "tree string, position long, level int, idx long, digest string")
+        part = pages.join(sizes, "tree").mapInPandas(listed(tier, height), "tree string, position long, level int, idx long, digest string")
         out = part if out is None else out.unionByName(part)
     return out
 

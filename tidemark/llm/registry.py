@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, language_id, line_dedup, merkle, mixing, near_dedup, neighbours, quality, secret_scan, spelling, substring_dedup, warc
+from tidemark.llm import decontaminate, language_id, language_model, line_dedup, merkle, mixing, near_dedup, neighbours, quality, secret_scan, spelling, substring_dedup, warc
 from tidemark.llm.common import is_held_out, table
 
 
@@ -64,6 +64,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_warc": op9_warc,
     "op10_secret_scan": op10_secret_scan,
+    "op11_lm_scores": op11_lm_scores,
     "op12_manifest": op12_manifest,
     "op13_spelling": op13_spelling,
 }
