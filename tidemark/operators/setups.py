@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import indicators as I
+from tidemark.operators import search
 from tidemark.operators.asof import as_of
 
 
@@ -40,10 +41,6 @@ class SetupParams:
     stop_at_gaps: bool = True
 
 
-#: Bars of a run that are looked at one by one; longer runs are passed over by the highest closes of such blocks.
-NEAR = 256
-
-
 def by_symbol() -> Window:
     return Window.partitionBy("symbol").orderBy("ts_open")
 
@@ -88,17 +85,14 @@ def is_retest(bar: Column, level: Column, midpoint: Column, p: SetupParams) -> C
 
 
 def breakouts(bars: DataFrame, p: SetupParams = SetupParams()) -> DataFrame:
-    """Breakout candidates: symbol, idx, ts_open, level, midpoint, run (of bullish bars), bear (idx of the next bearish bar), ahead (next bars)."""
-    later = by_symbol().rowsBetween(1, Window.unboundedFollowing)
-    so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    """Breakout candidates: symbol, idx, ts_open, level, midpoint, bear (idx of the next bearish bar), ahead (next bars)."""
     rows = bars.withColumns(
         {
-            "run": F.sum((~F.col("bullish")).cast("long")).over(so_far),
-            "bear": F.min(F.when(~F.col("bullish"), F.col("idx"))).over(later),
+            "bear": search.next_place(["symbol"], "ts_open", ~F.col("bullish"), F.col("idx")),
             "ahead": F.collect_list(F.struct("idx", "low", "high", "close", "atr")).over(by_symbol().rowsBetween(1, p.retest_bars)),
         }
     )
-    return rows.where(is_breakout(p)).select("symbol", "idx", "ts_open", F.col("prior_high").alias("level"), ((F.col("high") + F.col("low")) / 2).alias("midpoint"), "run", "bear", "ahead")
+    return rows.where(is_breakout(p)).select("symbol", "idx", "ts_open", F.col("prior_high").alias("level"), ((F.col("high") + F.col("low")) / 2).alias("midpoint"), "bear", "ahead")
 
 
 def retests(candidates: DataFrame, p: SetupParams = SetupParams()) -> DataFrame:
@@ -108,25 +102,17 @@ def retests(candidates: DataFrame, p: SetupParams = SetupParams()) -> DataFrame:
 
 
 def continuations(found: DataFrame, bars: DataFrame) -> DataFrame:
-    """Adds next_bar: the first later bar of the same bullish run that closes above the retest's high.
+    """Adds next_bar: the first bar after the retest that closes above the retest's high, if no bearish bar comes before it.
 
-    Bars of a run are filed in blocks of ``NEAR``. A setup meets the highest close of each later block, then only the
-    bars of the retest's own block and of the first block that has such a close, so a long run isn't joined bar by bar.
+    The bar is looked up by block maxima (:func:`tidemark.operators.search.first_above`), so a setup costs the same however
+    long it waits.
     """
-    so_far = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
-    after = bars.withColumn("run", F.sum((~F.col("bullish")).cast("long")).over(so_far)).where("bullish")
-    after = after.select("symbol", "run", F.struct("idx", "ts_open", "close", "atr", "rsi").alias("bar"))
-    after = after.withColumn("block", F.floor(F.col("bar.idx") / NEAR))
-    open_setups = found.where("retest IS NOT NULL").select("symbol", "run", "idx", F.col("retest.idx").alias("r"), F.col("retest.high").alias("top"))
-    highs = after.groupBy("symbol", "run", "block").agg(F.max("bar.close").alias("high"))
-    own = F.floor(F.col("r") / NEAR)
-    near = open_setups.join(highs, ["symbol", "run"]).where((F.col("block") == own) | (F.col("block") > own) & (F.col("high") > F.col("top")))
-    next_block = F.min(F.when(F.col("block") > own, F.col("block")))
-    near = near.groupBy("symbol", "run", "idx", "r", "top").agg(F.array_compact(F.array(F.min("block"), next_block)).alias("blocks"))
-    near = near.withColumn("block", F.explode(F.array_distinct("blocks"))).drop("blocks")
-    hit = near.join(after, ["symbol", "run", "block"]).where((F.col("bar.idx") > F.col("r")) & (F.col("bar.close") > F.col("top")))
-    first = hit.groupBy("symbol", "idx").agg(F.min("bar").alias("next_bar"))
-    return found.join(first, ["symbol", "idx"], "left")
+    waiting = found.where("retest IS NOT NULL").select("symbol", "idx", F.col("retest.idx").alias("at"), F.col("retest.high").alias("above"))
+    hits = search.first_above(waiting, bars, ["symbol"], "idx", "idx", "close")
+    after = bars.select("symbol", F.col("idx").cast("long").alias("found"), F.struct("idx", "ts_open", "close", "atr", "rsi").alias("next_bar"))
+    first = hits.join(after, ["symbol", "found"]).select("symbol", "idx", "next_bar")
+    rows = found.join(first, ["symbol", "idx"], "left")
+    return rows.withColumn("next_bar", F.when(F.col("bear").isNull() | (F.col("next_bar.idx") < F.col("bear")), F.col("next_bar")))
 
 
 def outcomes(bars: DataFrame, p: SetupParams = SetupParams()) -> DataFrame:
