@@ -333,6 +333,16 @@ def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").withColumn("seq", F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"))
 
 
+def order_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of orders with all columns of the table."""
+    return line_changes(spark, sf_dir).select(
+        F.col("l_orderkey").cast("string").alias("order_id"), F.concat(F.lit("s"), F.col("l_partkey")).alias("signal_id"), F.concat(F.lit("C"), F.col("l_suppkey")).alias("symbol"), F.col("l_returnflag").alias("side"),
+        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size"), F.unix_timestamp("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("status"), F.col("l_discount").alias("executed_size"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("cb_"), F.col("l_partkey"))).alias("exchange_order_id"), F.unix_timestamp("l_shipdate").alias("submitted_at"),
+        F.when(F.col("l_linenumber") % 3 == 0, F.unix_timestamp("l_shipdate")).alias("updated_at"), F.lit(None).cast("string").alias("fail_reason"), "seq",
+    )
+
+
 CHANGES_SQL = """c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS k,
   count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
 a AS (SELECT * FROM c WHERE k = 1), z AS (SELECT * FROM c WHERE k = n)"""
@@ -347,13 +357,7 @@ SELECT a.l_orderkey::VARCHAR AS order_id, 's' || a.l_partkey AS signal_id, 'C' |
 )
 def merged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders keep what they were made with and take the last status, nulls too."""
-    rows = line_changes(spark, sf_dir).select(
-        F.col("l_orderkey").cast("string").alias("order_id"), F.concat(F.lit("s"), F.col("l_partkey")).alias("signal_id"), F.concat(F.lit("C"), F.col("l_suppkey")).alias("symbol"), F.col("l_returnflag").alias("side"),
-        F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("size"), F.unix_timestamp("l_shipdate").alias("created_at"), F.col("l_linestatus").alias("status"), F.col("l_discount").alias("executed_size"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("cb_"), F.col("l_partkey"))).alias("exchange_order_id"), F.unix_timestamp("l_shipdate").alias("submitted_at"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.unix_timestamp("l_shipdate")).alias("updated_at"), F.lit(None).cast("string").alias("fail_reason"), "seq",
-    )
-    return M.merged(rows, "orders")
+    return M.merged(order_changes(spark, sf_dir), "orders")
 
 
 @query(
