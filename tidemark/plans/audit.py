@@ -195,12 +195,15 @@ g AS (SELECT user_id, event_id, NOT stale AND NOT ever_violated AND (enabled OR
   CASE WHEN stale AND ever_violated THEN 'stale_stream,stop_required' WHEN stale THEN 'stale_stream' WHEN ever_violated THEN 'stop_required' ELSE '' END AS tripped FROM s)"""
 
 
-def guard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def guard_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as guard ticks of their user: stale after ten hours of silence, violated by large errors."""
     rows = blocks.lagged(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], block(), F.col("ts"), "before")
     step = F.unix_micros("ts") - F.unix_micros("before")
-    ticks = rows.select("user_id", "event_id", F.coalesce(step > 36_000_000_000, F.lit(False)).alias("stale"), ((F.col("event_type") == "error") & (F.col("value") > 60)).alias("violated"))
-    return G.latch(ticks, ["user_id"], "event_id", F.col("user_id") % 2 == 0, block()).select("user_id", "event_id", "can_trade", F.array_join("tripped", ",").alias("tripped"))
+    return rows.select("user_id", "event_id", F.coalesce(step > 36_000_000_000, F.lit(False)).alias("stale"), ((F.col("event_type") == "error") & (F.col("value") > 60)).alias("violated"))
+
+
+def guard_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.latch(guard_ticks(spark, sf_dir), ["user_id"], "event_id", F.col("user_id") % 2 == 0, block()).select("user_id", "event_id", "can_trade", F.array_join("tripped", ",").alias("tripped"))
 
 
 @query("guard_latch", f"WITH {LATCH_SQL} SELECT * FROM g")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import POLICIES
+from tidemark.plans import audit
 from tidemark.plans import ledger as L
 from tidemark.plans import market
 from tidemark.plans.live import trade_stream
 from tidemark.sources.changelog import Changelog, sink
 from tidemark.sources.tapes import scratch
-from tidemark.streaming import bars, sinks
+from tidemark.streaming import bars, guards, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,3 +77,40 @@ def stored_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = bars.arrival_bars(trade_stream(spark, sf_dir), {"1h": 3600, "4h": 14400})
     stream.writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
     return market.rounded(log.latest().select("symbol", "timeframe", "ts_open", "open", "high", "low", "close", "volume"), *market.BAR_COLUMNS)
+
+
+PARTS = 3
+
+
+def in_parts(rows: DataFrame, seq: str, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream gives that ends and goes on from its checkpoint as its rows arrive in parts, in order of ``seq``."""
+    spark = rows.sparkSession
+    path = scratch(spark, name)
+    edges = rows.agg(F.percentile_approx(seq, [k / PARTS for k in range(1, PARTS)], 10_000).alias("e")).first()["e"] or []
+    schema = None
+    for k in range(len(edges) + 1):
+        part = rows.where((F.col(seq) > edges[k - 1]) if k else F.lit(True)).where((F.col(seq) <= edges[k]) if k < len(edges) else F.lit(True))
+        part.write.mode("append").parquet(f"{path}/in")
+        made = make(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        schema = made.schema
+        sinks.run_to_end(made, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
+def streamed_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guards' states from ticks that arrive in three parts."""
+    sinks.use_rocksdb(spark)
+    make = lambda ticks: guards.guard_stream(ticks, "user_id", "event_id", F.col("user_id") % 2 == 0)
+    return in_parts(audit.guard_ticks(spark, sf_dir), "event_id", "guards", make).withColumnRenamed("seq", "event_id")
+
+
+@query("stream_guard_latch", audit.ORACLE_SQL["guard_latch"])
+def stream_guard_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guards with kept trips, over two restarts."""
+    return streamed_guards(spark, sf_dir).drop("disabled")
+
+
+@query("stream_guard_edges", audit.ORACLE_SQL["guard_edges"])
+def stream_guard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks that disabled trading, each told once, over two restarts."""
+    return streamed_guards(spark, sf_dir).where("disabled").select("user_id", "event_id", "tripped")
