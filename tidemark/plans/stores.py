@@ -13,8 +13,9 @@ from tidemark.plans import ledger as L
 from tidemark.plans import market
 from tidemark.plans.live import trade_stream
 from tidemark.sources.changelog import Changelog, sink
-from tidemark.sources.tapes import scratch
+from tidemark.sources.tapes import scratch, table
 from tidemark.streaming import bars, guards, sinks
+from tidemark.streaming.ticks import Book, run_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -114,3 +115,43 @@ def stream_guard_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_guard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks that disabled trading, each told once, over two restarts."""
     return streamed_guards(spark, sf_dir).where("disabled").select("user_id", "event_id", "tripped")
+
+
+TICKS, TICK_LIMIT = 4, 300 * 86_400
+
+
+def tick_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as signals of their customer, line items as fills of their size or a part of it, and failures, by date."""
+    told = lambda kind, at, seq, **fields: [F.lit(kind).alias("kind"), F.unix_timestamp(at).alias("at"), seq.alias("seq"), F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("body")]
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key, entry = F.col("o_orderkey"), F.col("o_totalprice") / 1000
+    signal = told(
+        "signal", "o_orderdate", key * 10, signal_id=key.cast("string"), symbol=F.concat(F.lit("C"), "o_custkey"), breakout_level=entry, retest_level=entry * 0.9, atr=entry * 0.05,
+        rsi=F.lit(60.0), execution_price=entry, signal_ts=F.unix_timestamp("o_orderdate"),
+    )
+    remote = told("remote", "o_orderdate", key * 10 + 9, exchange_order_id=F.concat(F.lit("cb_ord_"), key), remote_status=F.when(key % 5 == 0, "FAILED").otherwise("OPEN"))
+    size = F.round(10_000 * 0.002 / (entry - (entry * 0.9 - entry * 0.05)), 5)
+    part = F.when(F.col("l_linenumber") == 1, 0.5).when(F.col("l_linenumber") == 2, F.when(key % 2 == 0, 0.5).otherwise(0.75)).otherwise(0.01)
+    paid = lines.where("l_orderkey % 3 <> 0").join(orders, key == F.col("l_orderkey"))
+    fill = told(
+        "fill", "l_shipdate", key * 10 + F.col("l_linenumber"), exchange_order_id=F.concat(F.lit("cb_ord_"), key), execution_id=F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
+        price=entry, size=size * part, fee=F.col("l_tax"),
+    )
+    return orders.select(*signal).unionByName(orders.select(*remote)).unionByName(paid.select(*fill))
+
+
+def many_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders after ticks over all messages, with a restart before each: a tick takes the next part by time."""
+    path = scratch(spark, "ticks")
+    messages = tick_messages(spark, sf_dir)
+    edges = [-1, *(messages.agg(F.percentile_approx("at", [k / TICKS for k in range(1, TICKS)], 10_000).alias("e")).first()["e"] or []), 1 << 62]
+    for a, b in zip(edges, edges[1:], strict=False):
+        messages.where((F.col("at") > a) & (F.col("at") <= b)).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(messages.schema).parquet(f"{path}/in")
+        book = Book(spark, f"{path}/book", limit=TICK_LIMIT)
+        run_book(stream, book, f"{path}/checkpoint").awaitTermination()
+    return book.table("orders")
+
+
+# Ticks carry state in a way that SQL doesn't follow; tests hold them against a loop.
+QUERIES["many_ticks"] = many_ticks

@@ -107,6 +107,14 @@ class Changelog:
             return found
         return next((v for n in reversed(self._numbers()) if (v := self._manifest(n)) is not None), Version(0))
 
+    def before(self, writer: str, batch: int) -> Version:
+        """The latest version without a batch of a writer or any later one: what a batch that is tried again started from."""
+        for n in reversed(self._numbers()):
+            found = self._manifest(n)
+            if found is not None and dict(found.batches).get(writer, -1) < batch:
+                return found
+        return Version(0)
+
     def _publish(self, runs: Sequence[Run], batches: dict[str, int], schema: str, after: int) -> Version:
         number = after + 1
         fs, where = self._hadoop(f"{self.path}/manifest/{number:012d}.json")
