@@ -363,7 +363,8 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     """Write pages as archives in the shared folder, read these back, and report each record.
 
     Responses are read with payloads, from which size and digest are taken anew; revisits are read from headers only
-    and take their size from the response that they refer to. An empty table gives no rows.
+    and take their size from the response that they refer to, the one of equal digest where an id repeats with unlike
+    payloads. An empty table gives no rows.
     """
     spark = pages.sparkSession
     register(spark)
@@ -374,9 +375,9 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     response = stored(response, "responses")
     revisit = spark.read.format("warc").option("payload", "false").load(path).where(F.col("record_type") == "revisit")
     revisit = stored(revisit.select("record_id", "refers_to", F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"), "record_type"), "revisits")
-    of = response.join(small(stored(revisit.select(F.col("refers_to").alias("record_id")).distinct(), "referred")), "record_id", "left_semi")
-    of = stored(of.groupBy(F.col("record_id").alias("refers_to")).agg(F.max("payload_bytes").alias("payload_bytes")), "referred-sizes")
-    revisit = revisit.join(small(of), "refers_to", "left")
+    meant = stored(revisit.select(F.col("refers_to").alias("record_id"), "payload_digest").distinct(), "referred")
+    of = response.join(small(meant), ["record_id", "payload_digest"], "left_semi").groupBy(F.col("record_id").alias("refers_to"), "payload_digest")
+    revisit = revisit.join(small(stored(of.agg(F.max("payload_bytes").alias("payload_bytes")), "referred-sizes")), ["refers_to", "payload_digest"], "left")
     columns = [page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to")]
     return response.withColumn("refers_to", F.lit(None).cast("string")).select(*columns).unionByName(revisit.select(*columns))
 
