@@ -23,19 +23,22 @@ BLOB = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za
 ENDPOINT = r"""[a-z][a-z0-9+.-]*://[^\x00-\x20"'<>]+|[hH]ost(?:[nN]ame)?["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+"""
 KINDS = ("assign", "access", "hex", "identity", "blob", "endpoint")
 SPANS = "array<struct<kind:int,start:int,end:int>>"
+#: Matches that are folded at once.
+PART = 256
 
 
 def spans_of(text: Column, pattern: str, kind: int, keep: Column | None = None, group: int = 0, least: int = 0) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches, in code points.
 
     The text between matches comes from ``split`` and the matches from ``regexp_extract_all``; both are found by the
-    same scan, so lengths alternate and a fold over them gives the places.
+    same scan, so lengths alternate and a fold over them gives the places. A fold copies what it has gathered at each
+    step, so it goes by parts of ``PART`` matches and gathers the parts. One-element arrays hold what is used twice.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.char_length(x) >= least)
     gaps = F.transform(F.split(text, pattern, -1), F.char_length)
     pieces = F.arrays_zip(gaps.alias("gap"), F.transform(found, F.char_length).alias("size"), held.alias("held"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+    none = F.array().cast(SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.coalesce(x["gap"], F.lit(0))
@@ -43,7 +46,15 @@ def spans_of(text: Column, pattern: str, kind: int, keep: Column | None = None,
         one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.coalesce(x["held"], F.lit(False)), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
-    spans = F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    def part(pieces: Column, acc: Column, k: Column) -> Column:
+        inner = F.aggregate(F.slice(pieces, k * PART + 1, PART), F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))[0]
+
+    def folded(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / PART).cast("int")), zero, lambda acc, k: part(pieces, acc, k), lambda acc: F.flatten(acc["out"]))
+
+    spans = F.transform(F.array(pieces), folded)[0]
     return F.when(text.rlike(pattern) if keep is None else keep, spans).otherwise(F.array().cast(SPANS))
 
 
@@ -55,7 +66,8 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
     both. A blob that overlaps a base span or an endpoint is part of that and no candidate.
 
     The interval join is a sweep: parts are ordered by place within a text, and the nearest end before and start after
-    of each role come from running windows, so no pairs are made. Only places travel, never texts.
+    of each role come from running windows, one in either order, so no pairs are made and a part costs the same in a
+    text of any length. Only places travel, never texts.
     Returns doc_id and spans (array of kind, start, end in order of start, then kind). Null text is empty; repeated
     rows each return a row; equal rows under one doc_id give equal results.
     """
@@ -69,10 +81,13 @@ def scan(docs: DataFrame, scope: int = 200) -> DataFrame:
         spans_of(text, ENDPOINT, 5),
     )
     head = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(-1).alias("start"), F.lit(-1).alias("end")))
-    parts = docs.select("doc_id", F.xxhash64(text, F.length(text)).alias("th"), F.explode(F.concat(head, every)).alias("p")).select("doc_id", "th", "p.*")
+    # The hash is bound to a variable, or it would be taken anew for each part of a text.
+    named = lambda h: F.transform(F.concat(head, every), lambda p: F.struct(h.alias("th"), p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
+    parts = docs.select("doc_id", F.explode(F.transform(F.array(F.xxhash64(text, F.length(text))), named)[0]).alias("p")).select("doc_id", "p.*")
     parts = parts.groupBy("doc_id", "th", "kind", "start", "end").agg(F.count(F.lit(1)).alias("copies"))
     text_key = Window.partitionBy("doc_id", "th").orderBy("start", "kind", "end")
-    before, after = text_key.rowsBetween(Window.unboundedPreceding, -1), text_key.rowsBetween(1, Window.unboundedFollowing)
+    backwards = Window.partitionBy("doc_id", "th").orderBy(F.desc("start"), F.desc("kind"), F.desc("end"))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (text_key, backwards))
 
     def near(*kinds: int) -> Column:
         of = F.col("kind").isin(*kinds)
