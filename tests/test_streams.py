@@ -104,3 +104,73 @@ def test_detector_starts_warm(spark, tmp_path):
     feed(spark, src, [("A", 10.0 + k, 1.0, 200_000 + k * 3600, k) for k in range(6)])
     sinks.run_to_end(detector.detect(stream(spark, src), LIVE, stored), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
     assert spark.read.parquet(f"file://{tmp_path}/out").columns[0] == "symbol"
+
+
+BAD = [(None, 1.0, 1.0, 400, 1000), ("A", None, 1.0, 400, 1001), ("A", 5.0, None, 400, 1002), ("A", 5.0, 1.0, None, 1003)]
+
+
+def test_trades_that_lack_something_are_left_out_of_streams_as_of_batches(spark, tmp_path):
+    rows = [("A" if i % 3 else "B", float(i % 7), 1.0, i * 200, i) for i in range(40)] + BAD
+    tape = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("sec")).withColumn("block", F.lit(0))
+    src = f"file://{tmp_path}/src"
+    feed(spark, src, rows)
+    read = lambda name: spark.read.parquet(f"file://{tmp_path}/{name}")
+    run = lambda made, name: sinks.run_to_end(made, f"file://{tmp_path}/{name}", f"file://{tmp_path}/{name}-check")
+    columns = ["symbol", "timeframe", "ts_open", "open", "high", "low", "close", "volume"]
+    run(SB.arrival_bars(stream(spark, src), {"x": 600}), "arrival")
+    assert sorted(map(tuple, read("arrival").select(columns).collect())) == sorted(map(tuple, B.bars(tape, {"x": 600}).collect()))
+    run(SB.windowed_bars(stream(spark, src), {"x": 600}, "1 second"), "windowed")
+    whole = {tuple(r) for r in B.event_time_bars(tape, {"x": 600}).select(columns).collect()}
+    got = {tuple(r) for r in read("windowed").select(columns).collect()}
+    assert got and got <= whole and all(None not in r for r in whole) and len(whole) - len(got) <= 4
+    run(monitors.stale_feed(stream(spark, src), 300_000, timers=False), "stale")
+    assert {r.symbol for r in read("stale").collect()} <= {"A", "B"}
+
+
+def test_blocked_bars_over_random_batches_and_repeats(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [("A" if rng.random() < 0.8 else "B", round(rng.uniform(1, 9), 2), 1.0, i * 61 - (rng.randrange(2000) if rng.random() < 0.1 else 0), i) for i in range(600)] + BAD[1:]
+    src, check = f"file://{tmp_path}/src", f"file://{tmp_path}/check"
+    cuts = [0, *sorted(rng.sample(range(1, 600), 3)), len(rows)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        feed(spark, src, rows[a:b])
+        made = SB.BlockedBars(spark, f"file://{tmp_path}/bars", {"x": 600, "y": 1800}, block_rows=50, buckets=2, fanout=2)
+
+        def twice(batch, number, made=made):
+            made.take(batch, number)
+            made.take(batch, number)
+
+        stream(spark, src).writeStream.foreachBatch(twice).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    tape = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.timestamp_seconds("sec")).withColumn("block", F.lit(0))
+    key = lambda r: (*r[:7], round(r[7], 6))
+    got = made.closed.latest().select("symbol", "timeframe", "ts_open", "open", "high", "low", "close", "volume").collect()
+    assert sorted(map(key, got)) == sorted(map(key, B.bars(tape, {"x": 600, "y": 1800}).collect()))
+
+
+def test_silences_and_expiries_follow_from_the_data(spark, tmp_path):
+    rng = random.Random(4)
+    at, rows = 0, []
+    for i in range(80):
+        at += rng.choice([50, 100, 900])
+        rows.append((rng.choice("AB"), 1.0, 1.0, at, i))
+    src = f"file://{tmp_path}/src"
+    cuts = [0, 20, 21, 60, 80]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        feed(spark, src, rows[a:b])
+        sinks.run_to_end(monitors.silences(stream(spark, src), 500_000, "10 seconds"), f"file://{tmp_path}/out", f"file://{tmp_path}/check")
+    wanted = set()
+    for k in "AB":
+        times = [r[3] for r in rows if r[0] == k]
+        wanted |= {(k, kind, x * 10**6, y * 10**6 if kind == "recovered" else None) for x, y in zip(times, times[1:], strict=False) if y - x > 500 for kind in ("stale", "recovered")}
+        wanted |= {(k, "stale", times[-1] * 10**6, None)} if times[-1] + 500 < at - 10 else set()
+    got = [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").select("symbol", "kind", "outage_start", "outage_end").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+
+    changes = [("o1", "PENDING", 0, 1), ("o2", "PENDING", 0, 1), ("o2", "FILLED", 59, 2), ("o3", "PENDING", 0, 1), ("o3", "FILLED", 60, 2), ("o4", "NEW", 0, 1), ("o4", "PENDING", 30, 2), ("o5", "PENDING", 500, 1), (None, "PENDING", 0, 1)]
+    schema, path = "order_id string, status string, sec bigint, seq bigint", f"file://{tmp_path}/orders"
+    for part in (changes[:4], changes[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        orders = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.timestamp_seconds(F.col("sec") + 1000))
+        sinks.run_to_end(monitors.expiries(orders, 60_000, "100 seconds"), f"file://{tmp_path}/o-out", f"file://{tmp_path}/o-check")
+    got = {r.order_id: r.expired_at for r in spark.read.parquet(f"file://{tmp_path}/o-out").collect()}
+    assert got == {"o1": 1060 * 10**6, "o3": 1060 * 10**6, "o4": 1090 * 10**6}

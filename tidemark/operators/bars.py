@@ -31,6 +31,28 @@ def running_max(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
     return df.withColumn(out, F.max(value).over(inside)).join(base, [*keys, "block"]).withColumn(out, F.greatest(out, "base")).drop("base")
 
 
+#: Columns that a trade must have.
+WHOLE = ["symbol", "ts", "price", "size"]
+
+
+def framed(timeframes: Mapping[str, int]) -> Column:
+    """A row for each timeframe: timeframe, sec."""
+    return F.explode(F.array(*[F.struct(F.lit(name).alias("timeframe"), F.lit(sec).alias("sec")) for name, sec in timeframes.items()]))
+
+
+def placed(tape: DataFrame, timeframes: Mapping[str, int]) -> DataFrame:
+    """Trades of each timeframe with the bar that they join in order of arrival (ts_open)."""
+    rows = tape.dropna(subset=WHOLE).select("*", framed(timeframes).alias("f")).select("symbol", "price", "size", "seq", "block", "f.timeframe", bucket(F.col("ts"), F.col("f.sec")).alias("b"))
+    return running_max(rows, ["symbol", "timeframe"], "b", "ts_open")
+
+
+def summed(rows: DataFrame) -> DataFrame:
+    """Bars of placed trades, the last of each series too."""
+    return rows.groupBy("symbol", "timeframe", "ts_open").agg(
+        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("size").alias("volume")
+    )
+
+
 def bars(tape: DataFrame, timeframes: Mapping[str, int] = TIMEFRAMES, keep_later: bool = False) -> DataFrame:
     """Completed bars of each symbol and timeframe: symbol, timeframe, ts_open, open, high, low, close, volume.
 
@@ -39,13 +61,7 @@ def bars(tape: DataFrame, timeframes: Mapping[str, int] = TIMEFRAMES, keep_later
     left out. ``keep_later`` keeps where the next bar opens, which is when a bar is seen to close. There are no bars
     without trades. Trades without symbol, time, price or size are left out.
     """
-    frames = F.array(*[F.struct(F.lit(name).alias("timeframe"), F.lit(sec).alias("sec")) for name, sec in timeframes.items()])
-    rows = tape.dropna(subset=["symbol", "ts", "price", "size"]).select("*", F.explode(frames).alias("f")).select("symbol", "price", "size", "seq", "block", "f.timeframe", bucket(F.col("ts"), F.col("f.sec")).alias("b"))
-    placed = running_max(rows, ["symbol", "timeframe"], "b", "ts_open")
-    made = placed.groupBy("symbol", "timeframe", "ts_open").agg(
-        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("size").alias("volume")
-    )
-    closed = completed(made)
+    closed = completed(summed(placed(tape, timeframes)))
     return closed if keep_later else closed.drop("later")
 
 
@@ -60,12 +76,11 @@ def completed(made: DataFrame) -> DataFrame:
 
 
 def event_time_bars(tape: DataFrame, timeframes: Mapping[str, int] = TIMEFRAMES) -> DataFrame:
-    """Bars by event time: each trade in the bucket of its own time, the last bar too (works on streams with a watermark)."""
-    frames = F.array(*[F.struct(F.lit(name).alias("timeframe"), F.lit(sec).alias("sec")) for name, sec in timeframes.items()])
-    rows = tape.select("*", F.explode(frames).alias("f")).withColumn("ts_open", bucket(F.col("ts"), F.col("f.sec")))
-    return rows.groupBy("symbol", F.col("f.timeframe").alias("timeframe"), "ts_open").agg(
-        F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"), F.sum("size").alias("volume")
-    )
+    """Bars by event time: each trade in the bucket of its own time, the last bar too (works on streams with a watermark).
+
+    Trades without symbol, time, price or size are left out.
+    """
+    return summed(tape.dropna(subset=WHOLE).select("*", framed(timeframes).alias("f")).select("*", "f.timeframe", bucket(F.col("ts"), F.col("f.sec")).alias("ts_open")))
 
 
 def last_bars(df: DataFrame, n: int) -> DataFrame:

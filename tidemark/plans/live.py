@@ -13,7 +13,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import setups as S
 from tidemark.plans import market, setups
 from tidemark.plans.audit import ORACLE_SQL as AUDIT_SQL
-from tidemark.sources.tapes import TAPE_TYPE_SQL, scratch, tape_type
+from tidemark.sources.tapes import TAPE_TYPE_SQL, scratch, table, tape_type
 from tidemark.streaming import bars, detector, history, monitors, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,15 +138,57 @@ def closed_bar_callbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_ema",
     f"""WITH {market.bars_sql(TAPE_TYPE_SQL, {'1h': 3600})}, a AS (SELECT *, list(close) OVER {market.frame_sql(60)} AS w FROM bars)
-SELECT symbol, timeframe, ts_open, len(w)::INTEGER AS n_window, round({market.ema_sql('w', 20)}, 6) AS ema FROM a WHERE ts_open >= 1705276800""",
+SELECT symbol, timeframe, ts_open, len(w)::INTEGER AS n_window, round({market.ema_sql('w', 20)}, 6) AS ema FROM a, (SELECT (min(ts_open) + max(ts_open)) // 2 AS half FROM bars) WHERE ts_open >= half""",
 )
 def stream_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over bounded windows of a stream of bars; bars of the first two weeks are stored and warm it up."""
+    """Means over bounded windows of a stream of bars; bars of the first half of the time are stored and warm it up."""
     sinks.use_rocksdb(spark)
     path = scratch(spark, "bars")
     made = B.bars(tape_type(spark, sf_dir), {"1h": 3600})
     made.write.parquet(path)
-    past = spark.read.parquet(path).where("ts_open < 1705276800")
-    stream = spark.readStream.schema(made.schema).parquet(path).where("ts_open >= 1705276800")
+    half = spark.read.parquet(path).agg(F.floor((F.min("ts_open") + F.max("ts_open")) / 2)).first()[0]
+    later = F.coalesce(F.col("ts_open") >= F.lit(half), F.lit(False))
+    past = spark.read.parquet(path).where(~later)
+    stream = spark.readStream.schema(made.schema).parquet(path).where(later)
     out = finished(history.rolling_windows(stream, 60, past), "windows")
     return market.rounded(out.select("symbol", "timeframe", "ts_open", "n_window", folds.ema(F.col("closes"), 20).alias("ema")), "ema", places=6)
+
+
+SILENT_MS, LATE = 3_600_000, "10 minutes"
+
+
+@query(
+    "stream_silences",
+    f"""WITH t AS (SELECT event_type AS symbol, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) AS next FROM events),
+m AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM events)
+SELECT symbol, 'stale' AS kind, us AS outage_start, 0::BIGINT AS outage_end FROM t, m WHERE next - us > {SILENT_MS}000 OR next IS NULL AND us / 1000.0 + {SILENT_MS} < mark
+UNION ALL SELECT symbol, 'recovered', us, next FROM t WHERE next - us > {SILENT_MS}000""",
+)
+def stream_silences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silences of each type by timers in event time: their starts (with no end yet, 0), also of those that go on, and their ends."""
+    sinks.use_rocksdb(spark)
+    out = finished(monitors.silences(trade_stream(spark, sf_dir), SILENT_MS, LATE), "silences")
+    return out.withColumn("outage_end", F.coalesce("outage_end", F.lit(0)))
+
+
+EXPIRE_MS = 90 * 86_400_000
+
+
+@query(
+    "stream_expiries",
+    f"""WITH f AS (SELECT l_orderkey, min(l_shipdate) AS paid FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey),
+o AS (SELECT o_orderkey, epoch_us(o_orderdate) AS since, epoch_us(paid) AS paid FROM orders LEFT JOIN f ON l_orderkey = o_orderkey),
+m AS (SELECT max(greatest(since, coalesce(paid, since))) // 1000 - 600000 AS mark FROM o)
+SELECT o_orderkey::VARCHAR AS order_id, 'EXPIRED' AS status, since + {EXPIRE_MS}000 AS expired_at FROM o, m
+WHERE CASE WHEN paid IS NULL OR paid < since THEN since // 1000 + {EXPIRE_MS} < mark ELSE paid - since >= {EXPIRE_MS}000 END""",
+)
+def stream_expiries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that no shipment reached in ninety days, by timers in event time."""
+    sinks.use_rocksdb(spark)
+    path = scratch(spark, "order-changes")
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    told = orders.select(F.col("o_orderkey").cast("string").alias("order_id"), F.lit("PENDING").alias("status"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.lit(1).cast("long").alias("seq"))
+    first = lines.where("l_orderkey % 3 <> 0").groupBy("l_orderkey").agg(F.min("l_shipdate").cast("timestamp").alias("ts"))
+    told.unionByName(first.select(F.col("l_orderkey").cast("string").alias("order_id"), F.lit("FILLED").alias("status"), "ts", F.lit(2).cast("long").alias("seq"))).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return finished(monitors.expiries(stream, EXPIRE_MS, LATE), "expiries")

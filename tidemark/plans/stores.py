@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import POLICIES
-from tidemark.plans import audit
+from tidemark.plans import audit, live
 from tidemark.plans import ledger as L
 from tidemark.plans import market
 from tidemark.plans.live import trade_stream
 from tidemark.sources.changelog import Changelog, sink
-from tidemark.sources.tapes import scratch, table
+from tidemark.sources.tapes import scratch, table, tape_type
 from tidemark.streaming import bars, guards, sinks
+from tidemark.streaming.bars import BlockedBars
 from tidemark.streaming.ticks import Book, run_book
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,5 +154,24 @@ def many_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.table("orders")
 
 
+@query("stream_blocked_bars", live.ORACLE_SQL["stream_bars"])
+def stream_blocked_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of a stream in arrival order, its trades ordered by blocks, over two restarts."""
+    path = scratch(spark, "blocked-bars")
+    tape = tape_type(spark, sf_dir).drop("block")
+
+    def run() -> BlockedBars:
+        made = BlockedBars(spark, f"{path}/bars", {"1h": 3600, "4h": 14400}, block_rows=1000)
+        stream = spark.readStream.schema(tape.schema).parquet(f"{path}/in")
+        stream.writeStream.foreachBatch(made.take).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return made
+
+    edges = [-1, *(tape.agg(F.percentile_approx("seq", [k / PARTS for k in range(1, PARTS)], 10_000).alias("e")).first()["e"] or []), 1 << 62]
+    for a, b in zip(edges, edges[1:], strict=False):
+        tape.where((F.col("seq") > a) & (F.col("seq") <= b)).write.mode("append").parquet(f"{path}/in")
+        made = run()
+    return market.rounded(made.closed.latest().select("symbol", "timeframe", "ts_open", *BlockedBars.COLUMNS), *market.BAR_COLUMNS)
+
+
 # Ticks carry state in a way that SQL doesn't follow; tests hold them against a loop.
 QUERIES["many_ticks"] = many_ticks

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,12 +50,112 @@ def stale_feed(trades: DataFrame, limit_ms: int, timers: bool = True) -> DataFra
     """Stale and recovered events of each symbol: symbol, kind, outage_start, outage_end (microseconds).
 
     With ``timers`` a silence is told when it has lasted ``limit_ms`` of processing time; without, only once it ends.
+    Trades without symbol or time are left out.
     """
-    rows = trades.select("symbol", F.unix_micros("ts").alias("us"))
+    rows = trades.dropna(subset=["symbol", "ts"]).select("symbol", F.unix_micros("ts").alias("us"))
     schema = "symbol string, kind string, outage_start bigint, outage_end bigint"
     return rows.groupBy("symbol").transformWithStateInPandas(StaleFeed(limit_ms, timers), schema, "append", "processingTime" if timers else "none")
 
 
+class Silences(StatefulProcessor):
+    """Tells each silence once, when the watermark has passed its limit, and its end when a later trade comes."""
+
+    def __init__(self, limit_ms: int):
+        self.limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us bigint, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        times = np.sort(np.concatenate([part["us"].to_numpy(np.int64) for part in rows]))
+        last, told = self.last.get() if self.last.exists() else (None, False)
+        out = []
+        line = times if last is None else np.concatenate([[last], times[times > last]])
+        for at in np.nonzero(np.diff(line) > self.limit * 1000)[0].tolist():
+            if at or last is None or not told:
+                out.append((key[0], "stale", int(line[at]), None))
+            out.append((key[0], "recovered", int(line[at]), int(line[at + 1])))
+        if last is None or line[-1] > last:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(-(-int(line[-1]) // 1000) + self.limit)
+            self.last.update((int(line[-1]), False))
+        yield pd.DataFrame(out, columns=["symbol", "kind", "outage_start", "outage_end"]).astype({"outage_start": "Int64", "outage_end": "Int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last, told = self.last.get()
+        self.last.update((last, True))
+        out = [] if told else [(key[0], "stale", last, None)]
+        yield pd.DataFrame(out, columns=["symbol", "kind", "outage_start", "outage_end"]).astype({"outage_start": "Int64", "outage_end": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def silences(trades: DataFrame, limit_ms: int, lateness: str = "10 minutes") -> DataFrame:
+    """Starts (``stale``) and ends (``recovered``) of silences longer than ``limit_ms`` of event time: symbol, kind, outage_start, outage_end (microseconds).
+
+    A start is told once, when the watermark passes its limit without a trade or, at the latest, with the trade that ends
+    it; so what is told follows from the data, whenever they come. Trades behind the watermark are dropped, and those
+    without symbol or time are left out.
+    """
+    rows = trades.dropna(subset=["symbol", "ts"]).withWatermark("ts", lateness).select("symbol", "ts", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("symbol").transformWithStateInPandas(Silences(limit_ms), "symbol string, kind string, outage_start bigint, outage_end bigint", "append", "eventTime")
+
+
+class Expiries(StatefulProcessor):
+    """The status of an order in event time; it expires ``limit_ms`` after it became pending unless it changed before."""
+
+    def __init__(self, limit_ms: int):
+        self.limit = limit_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("order", "status string, since bigint, us bigint, seq bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        status, since, us, seq = self.kept.get() if self.kept.exists() else (None, None, None, None)
+        out = []
+        for at, n, new in sorted(x for part in rows for x in zip(part["us"].tolist(), part["seq"].tolist(), part["status"].tolist(), strict=True)):
+            if status == "EXPIRED" or us is not None and (at, n) <= (us, seq):
+                continue
+            us, seq = at, n
+            if status == "PENDING" and at - since >= self.limit * 1000:
+                status = "EXPIRED"
+                out.append((key[0], status, since + self.limit * 1000))
+                break
+            if new == "PENDING" and status != "PENDING":
+                since = at
+            status = new
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if status == "PENDING":
+            self.handle.registerTimer(-(-since // 1000) + self.limit)
+        self.kept.update((status, since, us, seq))
+        yield pd.DataFrame(out, columns=["order_id", "status", "expired_at"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        status, since, us, seq = self.kept.get()
+        out = [(key[0], "EXPIRED", since + self.limit * 1000)] if status == "PENDING" else []
+        if out:
+            self.kept.update(("EXPIRED", since, us, seq))
+        yield pd.DataFrame(out, columns=["order_id", "status", "expired_at"])
+
+    def close(self) -> None:
+        pass
+
+
+def expiries(orders: DataFrame, limit_ms: int = 60_000, lateness: str = "10 minutes") -> DataFrame:
+    """Expiries of a stream of order changes (order_id, status, ts, seq) in event time: order_id, status, expired_at (microseconds).
+
+    An order expires when it has been pending for ``limit_ms`` before its next change, or before the watermark. Changes of
+    equal time are taken by seq; those behind the watermark, of expired orders and without id, time or seq are left out.
+    """
+    rows = orders.dropna(subset=["order_id", "ts", "seq"]).withWatermark("ts", lateness).select("order_id", "status", "ts", "seq", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("order_id").transformWithStateInPandas(Expiries(limit_ms), "order_id string, status string, expired_at bigint", "append", "eventTime")
+
+
 class PendingOrders(StatefulProcessor):
     """Expires an order that is still pending when its time is over, counted from when it became pending.
 
