@@ -12,6 +12,7 @@ from tidemark.plans import audit, live
 from tidemark.plans import ledger as L
 from tidemark.plans import market
 from tidemark.plans.live import trade_stream
+from tidemark.sources import messages as M
 from tidemark.sources.changelog import Changelog, sink
 from tidemark.sources.tapes import scratch, table, tape_type
 from tidemark.streaming import bars, guards, sinks
@@ -118,6 +119,29 @@ def stream_guard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed_guards(spark, sf_dir).where("disabled").select("user_id", "event_id", "tripped")
 
 
+def streamed_feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A part of a feed that is written as files of messages and read two at a time."""
+    path = scratch(spark, "feed")
+    messages = audit.given_messages(spark, sf_dir)
+    messages.repartitionByRange(8, "seq").sortWithinPartitions("seq").select("value").write.text(f"{path}/in")
+    feed = M.message_files(spark, f"{path}/in", maxFilesPerTrigger="2")
+    feed.writeStream.foreachBatch(M.feed_sink(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out/{name}")
+
+
+@query("stream_trade_messages", f"SELECT symbol, price, size, ts, place FROM ({audit.ORACLE_SQL['trade_messages']})")
+def stream_trade_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades of a streamed feed, up to the first bad one of each message."""
+    out = streamed_feed(spark, sf_dir, "trades")
+    return out.select("symbol", "price", "size", F.unix_micros("ts").alias("ts"), F.col("seq.place").cast("long").alias("place"))
+
+
+@query("stream_quarantine", f"SELECT bad, count(*) AS n FROM ({audit.ORACLE_SQL['quarantined_messages']}) GROUP BY bad")
+def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the first bad trade in messages that a streamed feed set aside."""
+    return streamed_feed(spark, sf_dir, "quarantine").groupBy("bad").agg(F.count(F.lit(1)).alias("n"))
+
+
 TICKS, TICK_LIMIT = 4, 300 * 86_400
 
 

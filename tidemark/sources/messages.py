@@ -2,17 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as R
 
-ENVELOPE = (
-    "channel string, events array<struct<trades:array<struct<product_id:string,price:string,size:string,time:string>>,heartbeats:array<struct<product_id:string,time:string>>>>"
-)
+TRADES = "array<struct<product_id:string,price:string,size:string,time:string>>"
+EVENTS = f"array<struct<trades:{TRADES},heartbeats:array<struct<product_id:string,time:string>>>>"
+ENVELOPE = f"channel string, events {EVENTS}"
 FILL = "struct<trade_id:string,price:string,size:string,commission:string>"
 
 
+#: A file of a feed has fewer lines than two to this power.
+LINE_BITS = 24
+
+
+def message_files(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A feed of files with a message a line, as a stream: value, seq (rises with the number in a file's name, then with the line).
+
+    Files are whole when they appear, are numbered in order of arrival and hold one task's work each. ``options`` such as
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bound a micro-batch. Blank lines are none.
+    """
+    files = spark.readStream.format("text").option("wholetext", "true").options(**options).load(path)
+    number = F.regexp_extract("_metadata.file_name", r"(\d+)", 1).try_cast("long")
+    lines = files.select(number.alias("number"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    return lines.where(F.trim("value") != "").select("value", (F.shiftleft("number", LINE_BITS) + F.col("line")).alias("seq"))
+
+
+def log_messages(records: DataFrame, partitions: int = 1 << 12) -> DataFrame:
+    """A feed from records of a partitioned log (value, partition, offset): value, seq. Order holds within a partition."""
+    return records.select(F.col("value").cast("string").alias("value"), (F.col("offset") * partitions + F.col("partition")).alias("seq"))
+
+
+def feed_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A callback for ``foreachBatch`` that files trades, heartbeats and quarantined messages of a micro-batch, read once.
+
+    Each lands in a folder of the batch that a repeated batch replaces, so what is told again counts once.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        try:
+            for name, part in (("trades", trades), ("heartbeats", heartbeats), ("quarantine", quarantined)):
+                part(batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return take
+
+
 def channel(messages: DataFrame, name: str) -> DataFrame:
     """Messages (value, seq) of a channel, parsed as ``m``; values that are no JSON belong to none."""
     return messages.withColumn("m", F.from_json("value", ENVELOPE)).where(F.col("m.channel") == name)
@@ -23,7 +63,8 @@ def _trades(messages: DataFrame) -> DataFrame:
 
     A trade is bad without product or with a price, size or time that is none. Each message is judged in its own row.
     """
-    every = F.flatten(F.transform(F.coalesce("m.events", F.array().cast("array<struct<trades:array<struct<product_id:string,price:string,size:string,time:string>>,heartbeats:array<struct<product_id:string,time:string>>>>")), lambda e: F.coalesce(e["trades"], F.array().cast("array<struct<product_id:string,price:string,size:string,time:string>>"))))
+    none = lambda kind: F.array().cast(kind)
+    every = F.flatten(F.transform(F.coalesce("m.events", none(EVENTS)), lambda e: F.coalesce(e["trades"], none(TRADES))))
     is_bad = lambda t: t["product_id"].isNull() | R.number(t["price"]).isNull() | R.number(t["size"]).isNull() | t["time"].try_cast("timestamp").isNull()
     rows = channel(messages, "market_trades").withColumn("all", every)
     bad = F.array_position(F.transform("all", is_bad), True)
