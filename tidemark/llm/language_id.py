@@ -14,34 +14,62 @@ from tidemark.llm.common import light_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
+PARTING = re.compile(r"[\W\d_]")
+#: Characters that are looked up at once, for eight languages or fewer.
 BLOCK_CHARS = 1 << 20
 
 
-def letters_of(text: str | None) -> str:
-    """Lower-case words of letters with a space before, between and after; empty without a letter."""
-    words = LETTERS.findall(text.lower()) if text else []
-    joined = " ".join(words)
-    return f" {joined} " if any(map(str.isalpha, joined[:64])) or any(map(str.isalpha, joined)) else ""
+def letter_stream(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
+    """Lower-case words of letters with a space before each, by parts of a text of about ``size`` that end between words."""
+    start = 0
+    while start < len(text):
+        end = start + size
+        if end < len(text):
+            parting = PARTING.search(text, end)
+            end = parting.start() if parting else len(text)
+        words = LETTERS.findall(text[start:end].lower())
+        if words:
+            yield " " + " ".join(words)
+        start = end
 
 
-def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``BLOCK_CHARS`` characters together, one text at least."""
+def parts(text: str | None, longest: int, size: int = BLOCK_CHARS) -> list[tuple[str, int]]:
+    """The words of a text (with spaces before, between and after) in pieces, and at how many of its characters n-grams start.
+
+    Pieces overlap by the longest n-gram less one character, so each n-gram is in one of them whole. A text without a
+    letter has none.
+    """
+    out, held, lettered = [], "", False
+    for chunk in letter_stream(text or "", size):
+        lettered = lettered or any(map(str.isalpha, chunk))
+        held += chunk
+        at = 0
+        while len(held) - at > size + longest:
+            out.append((held[at : at + size + longest - 1], size))
+            at += size
+        held = held[at:]
+    return [*out, (held + " ", len(held) + 1)] if lettered else []
+
+
+def blocks(pieces: list[tuple[str, int]], size: int = BLOCK_CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of pieces of about ``size`` characters together, one piece at least."""
     start = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > BLOCK_CHARS:
+    for i, (t, _) in enumerate(pieces):
+        if held and held + len(t) > size:
             yield start, i
             start, held = i, 0
         held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(pieces):
+        yield start, len(pieces)
 
 
-def grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of the n-gram that starts at each character, for each order (``buckets`` where none does); text starts."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(t) for t in texts])
+def grams(pieces: list[tuple[str, int]], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of the n-gram that starts at each character, for each order (``buckets`` where none does); where pieces start."""
+    codes = np.frombuffer("".join(t for t, _ in pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.array([len(t) for t, _ in pieces])
     ends = np.cumsum(lengths)
     left = np.repeat(ends, lengths) - np.arange(len(codes))
+    counted = left > np.repeat(lengths - np.array([n for _, n in pieces]), lengths)
     out = np.full((len(orders), len(codes)), buckets, np.int32)
     for row, n in enumerate(orders):
         if len(codes) < n:
@@ -50,7 +78,7 @@ def grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.n
         for k in range(n):
             h = (h ^ codes[k : len(codes) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-        out[row, : len(h)] = np.where(left[: len(h)] >= n, (h % np.uint64(buckets)).astype(np.int32), buckets)
+        out[row, : len(h)] = np.where((left[: len(h)] >= n) & counted[: len(h)], (h % np.uint64(buckets)).astype(np.int32), buckets)
     return out, ends - lengths
 
 
@@ -71,11 +99,11 @@ def fit(docs: DataFrame, train: Column, orders: tuple[int, ...] = (1, 2, 3), buc
         docs_of: dict[str, int] = {}
         for batch in batches:
             for lang, group in batch.groupby("lang"):
-                texts = [t for t in map(letters_of, group["text"]) if t]
+                texts = [p for t in group["text"] if (p := parts(t, max(orders)))]
                 docs_of[lang] = docs_of.get(lang, 0) + len(texts)
-                total = totals.setdefault(lang, np.zeros(buckets + 1))
-                for a, b in blocks(texts):
-                    total += np.bincount(grams(texts[a:b], orders, buckets)[0].ravel(), minlength=buckets + 1)
+                total, pieces = totals.setdefault(lang, np.zeros(buckets + 1)), [x for t in texts for x in t]
+                for a, b in blocks(pieces):
+                    total += np.bincount(grams(pieces[a:b], orders, buckets)[0].ravel(), minlength=buckets + 1)
         yield pd.DataFrame({"lang": pd.Series(list(totals), dtype=object), "docs": [docs_of[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
@@ -97,7 +125,7 @@ def fit(docs: DataFrame, train: Column, orders: tuple[int, ...] = (1, 2, 3), buc
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """Adds a struct ``language`` (lang, score) from whole texts.
 
-    The score is the posterior probability of the named language. Null texts and texts without a letter give ``und``
+    The score is the posterior probability of the named language. Very long texts are looked up piece by piece. Null texts and texts without a letter give ``und``
     and 0, as do all texts under a model without a language. A column named ``language`` is replaced.
     """
     light_batches(docs.sparkSession)
@@ -107,17 +135,21 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def name(column: pd.Series) -> pd.DataFrame:
         m = shared.value
         langs, scores = np.full(len(column), UNKNOWN, object), np.zeros(len(column))
-        texts = [letters_of(t) for t in column]
-        held = [i for i, t in enumerate(texts) if t and m["languages"]]
-        for a, b in blocks([texts[i] for i in held]):
-            at = held[a:b]
-            found, starts = grams([texts[i] for i in at], m["orders"], m["buckets"])
-            total = np.tile(m["prior"], (len(at), 1))
+        if not m["languages"]:
+            return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": scores})
+        size = 8 * BLOCK_CHARS // max(8, len(m["languages"]))
+        texts = [parts(t, max(m["orders"]), size) for t in column]
+        held = np.array([i for i, t in enumerate(texts) if t], int)
+        pieces, of = [x for t in texts for x in t], np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        total = np.tile(m["prior"], (len(texts), 1))
+        for a, b in blocks(pieces, size):
+            found, starts = grams(pieces[a:b], m["orders"], m["buckets"])
             for row in found:
-                total += np.add.reduceat(m["matrix"][row], starts, axis=0, dtype=np.float64)
-            best = total.argmax(axis=1)
-            langs[at] = np.array(m["languages"], object)[best]
-            scores[at] = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                np.add.at(total, of[a:b], np.add.reduceat(m["matrix"][row], starts, axis=0, dtype=np.float64))
+        if len(held):
+            best = total[held].argmax(axis=1)
+            langs[held] = np.array(m["languages"], object)[best]
+            scores[held] = 1 / np.exp(total[held] - total[held].max(axis=1, keepdims=True)).sum(axis=1)
         return pd.DataFrame({"lang": pd.Series(langs, dtype=object), "score": scores})
 
     return docs.withColumn("language", name(F.col("text")))
