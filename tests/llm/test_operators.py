@@ -83,6 +83,13 @@ def test_automaton_equals_brute_force(seed):
         assert got == found and {x for s, e in spans for x in range(s, e)} == hit
 
 
+def test_words_that_repeat_cost_the_same():
+    began = time.time()
+    automaton = decontaminate.Automaton([(1, [b"x"] * 100_000), (2, [b"x"] * 5), (3, [b"y", b"x"] * 4)], 10)
+    spans, found = automaton.matches([b"x"] * 100_000)
+    assert (spans, found) == ([(0, 100_000)], {1, 2}) and time.time() - began < 20
+
+
 def test_benchmark_in_blocks_gives_the_same(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = decontaminate.find(docs, bench, "x").select("doc_id", "x").collect()
@@ -370,6 +377,22 @@ def test_language_on_held_out_rows(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
 
 
+def letters_of(text):
+    """The words of a text as language models read them."""
+    return "".join(piece[:starts] for piece, starts in language_id.parts(text, 1))
+
+
+@pytest.mark.parametrize("size", [1, 4, 17, 1000])
+def test_pieces_of_long_texts_hold_each_gram_once(size):
+    text = "Ab c1d ef. Ghijk-lmnopqrstuvwxyz é ß9Ω " * 9
+    whole = " " + " ".join(language_id.LETTERS.findall(text.lower())) + " "
+    pieces = language_id.parts(text, 3, size)
+    assert "".join(t[:n] for t, n in pieces) == whole and all(len(t) <= size + 4 for t, _ in pieces)
+    count = lambda x: np.bincount(language_id.grams(x, (1, 2, 3), 64)[0].ravel(), minlength=65)[:64].tolist()
+    assert count(pieces) == count([(whole, len(whole))])
+    assert language_id.parts("12 -- 3", 3) == language_id.parts(None, 3) == []
+
+
 def test_language_equals_plain_naive_bayes(spark):
     """Counts, log probabilities and posteriors by dictionaries; the hash of an n-gram is all that is shared."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
@@ -377,7 +400,7 @@ def test_language_equals_plain_naive_bayes(spark):
     rows = docs.collect()
 
     def buckets(text):
-        t = language_id.letters_of(text)
+        t = letters_of(text)
         out = []
         for n in (1, 2, 3):
             for i in range(len(t) - n + 1):
@@ -390,7 +413,7 @@ def test_language_equals_plain_naive_bayes(spark):
 
     tally, there = defaultdict(lambda: defaultdict(int)), defaultdict(int)
     for r in rows:
-        if r.doc_id % 3 == 0 and r.lang is not None and language_id.letters_of(r.text):
+        if r.doc_id % 3 == 0 and r.lang is not None and letters_of(r.text):
             there[r.lang] += 1
             for b in buckets(r.text):
                 tally[r.lang][b] += 1
@@ -616,6 +639,12 @@ def test_warc_buffers_are_bounded_and_linear():
     assert len(whole.take(300_000_000)) == 300_000_000 and time.perf_counter() - began < 20
 
 
+def test_warc_sizes_of_repeated_ids_with_unlike_payloads(spark):
+    pages = spark.createDataFrame([(1, "u", "a" * 200), (1, "u", "b" * 300), (2, "u", "a" * 200), (3, "u", "b" * 300)], "page_id bigint, url string, html string")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.round_trip(pages).collect())
+    assert got == [(1, 200, "response", 0), (1, 300, "response", 0), (2, 200, "revisit", 1), (3, 300, "revisit", 1)]
+
+
 def test_warc_rows_without_ids_keep_their_payload(spark):
     big = "<html>" + "y" * 200
     pages = spark.createDataFrame([(None, "u", big, 1), (4, "u", big, 2), (5, None, big, 3), (None, None, None, 4), (4, "u", big, 5)], "page_id bigint, url string, html string, digest int")
@@ -645,6 +674,16 @@ def test_base_secrets_equal_brute_force(spark):
         assert rows[i].n_assign + rows[i].n_access + rows[i].n_hex == len([x for x in base_spans(t or "").split(",") if x])
 
 
+def test_a_long_log_of_secrets(spark):
+    n = 20_000
+    lines = [f"token=abcdef{i:07d} \n" for i in range(n)]
+    began = time.time()
+    [row] = secret_scan.report(spark.createDataFrame([(1, "".join(lines))], "doc_id bigint, text string")).collect()
+    size = len(lines[0])
+    assert row.n_assign == n and row.base_sha256 == hashlib.sha256(",".join(f"assign:{i * size}:{i * size + size - 2}" for i in range(n)).encode()).hexdigest()
+    assert time.time() - began < 60
+
+
 def test_weak_parts_need_their_complement(spark):
     blob = "Zx9Kq2Lm8Vt4Rw7Bn3"
     texts = [f"user=bob and {blob}", f"only {blob}", "user=bob only", f"login: bob {blob} https://db.example.com/x", "see https://example.com", f"user=bob {'.' * 300} {blob}"]
