@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as R
 from tidemark.operators import blocks
+from tidemark.operators.merge import Policy
 
 KINDS = ("SIGNAL_EMITTED", "ORDER_PENDING", "ORDER_SUBMITTED", "ORDER_FILLED", "ORDER_FAILED_EXCHANGE", "ORDER_TIMEOUT", "POSITION_OPENED", "STOP_REQUIRED", "TRADING_DISABLED")
 
@@ -125,3 +126,21 @@ def log_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream of keyed events to its end into a log: the checkpoint skips finished batches, the keys a repeated one."""
     run = stream.writeStream.foreachBatch(lambda batch, _: append_once(batch, path)).option("checkpointLocation", checkpoint)
     run.trigger(availableNow=True).start().awaitTermination()
+
+
+#: The log as a versioned changelog (:class:`tidemark.sources.changelog.Changelog`, seq ``told``): a key's first row stays.
+LOG = Policy(("event_key",), ("ts", "event_type", "message"))
+
+
+def log_batch(log, writer: str):
+    """A callback for ``foreachBatch`` that adds keyed events to a changelog under :data:`LOG`.
+
+    Nothing stored is read: a batch that is told again is known by its number, and a key that another batch told before
+    gives way where runs are merged or read. So the cost of a batch doesn't grow with the log, and several writers may add.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        log.append(batch.withColumn("told", F.col("ts")), writer, number)
+        log.compact(8)
+
+    return take

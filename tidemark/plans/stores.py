@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import events as E
 from tidemark.operators.merge import POLICIES
 from tidemark.plans import audit, live
 from tidemark.plans import ledger as L
@@ -119,6 +120,18 @@ def stream_guard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streamed_guards(spark, sf_dir).where("disabled").select("user_id", "event_id", "tripped")
 
 
+@query("lifecycle_changelog", audit.ORACLE_SQL["lifecycle_log"])
+def lifecycle_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all events in a changelog that two streams tell, the second all over again."""
+    path = scratch(spark, "lifecycle-log")
+    audit.lifecycle_events(spark, sf_dir).write.parquet(f"{path}/events")
+    log = Changelog(spark, f"{path}/log", E.LOG, buckets=8, seq="told")
+    for run in ("first", "again"):
+        stream = spark.readStream.schema(spark.read.parquet(f"{path}/events").schema).option("maxFilesPerTrigger", 50).parquet(f"{path}/events")
+        stream.writeStream.foreachBatch(E.log_batch(log, run)).option("checkpointLocation", f"{path}/{run}").trigger(availableNow=True).start().awaitTermination()
+    return log.latest().select("event_key", "event_type", "ts")
+
+
 def streamed_feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A part of a feed that is written as files of messages and read two at a time."""
     path = scratch(spark, "feed")
