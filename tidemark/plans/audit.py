@@ -151,12 +151,13 @@ def risk_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("created_table", "SELECT 'C' || c_custkey AS symbol, NULL::BIGINT AS entry_ts, c_acctbal AS stop_price, 'OPEN' AS state, c_custkey % 2 = 0 AS stop_active FROM customer WHERE c_acctbal < 0")
 def created_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A declared table that is created twice (once in effect) and filled."""
-    name = f"positions_{uuid.uuid4().hex}"
+    """A declared table that is created twice (once in effect), filled, and dropped; its rows stay where they are."""
+    name, path = f"positions_{uuid.uuid4().hex}", scratch(spark, "positions")
     for _ in range(2):
-        schemas.create_table(spark, name, "positions")
+        schemas.create_table(spark, name, "positions", path)
     schemas.align_schema(L.given_positions(spark, sf_dir), schemas.SCHEMAS["positions"]).write.insertInto(name)
-    return spark.table(name).select("symbol", "entry_ts", "stop_price", "state", "stop_active")
+    spark.sql(f"DROP TABLE {name}")
+    return spark.read.schema(schemas.SCHEMAS["positions"]).parquet(path).select("symbol", "entry_ts", "stop_price", "state", "stop_active")
 
 
 @query("stop_violations", "SELECT 'C' || c_custkey AS symbol, c_acctbal AS stop_price, c_custkey % 2 = 0 AS stop_active FROM customer WHERE c_acctbal < 0 AND NOT (c_custkey % 2 = 0 AND c_acctbal > 0)")

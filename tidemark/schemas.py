@@ -64,7 +64,7 @@ def misfits(df: DataFrame, target: StructType) -> DataFrame:
     return rows.where(F.size("misfit") > 0)
 
 
-def create_table(spark: SparkSession, name: str, schema: str) -> None:
-    """A managed parquet table with a declared schema."""
+def create_table(spark: SparkSession, name: str, schema: str, path: str | None = None) -> None:
+    """A parquet table with a declared schema; with ``path`` its rows stay there when the table is dropped."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMAS[schema])
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet" + (f" LOCATION '{path}'" if path else ""))
