@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
+from tidemark.operators import chains
 from tidemark.operators import setups as S
 from tidemark.plans import market
 from tidemark.plans.market import rounded
@@ -128,3 +129,20 @@ def signal_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda name: F.regexp_extract("regime_snapshot", f"{name}:{number}", 1).cast("double")
     out = S.signals(bars(spark, sf_dir), P).select("signal_id", said("ATR").alias("atr"), said("_LEVEL").alias("level"))
     return rounded(out, "atr", "level", places=6)
+
+
+@query(
+    "chained_orders",
+    """WITH RECURSIVE c AS (SELECT o_orderpriority AS k, epoch(o_orderdate)::BIGINT // 86400 * 1000000000 + o_orderkey AS place, o_custkey % 30 AS days FROM orders),
+t AS (
+  SELECT k, min(place) AS place FROM c GROUP BY k
+  UNION ALL
+  SELECT k, place FROM (SELECT n.k, n.place, row_number() OVER (PARTITION BY n.k ORDER BY n.place) AS i FROM t JOIN c AS h ON h.k = t.k AND h.place = t.place JOIN c AS n ON n.k = t.k AND n.place >= h.place + (1 + h.days) * 1000000000) AS x WHERE i = 1)
+SELECT k, place FROM t""",
+)
+def chained_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders taken one after the other in few long chains: each keeps its priority busy for some days."""
+    at = F.floor(F.unix_timestamp("o_orderdate") / 86400) * 1_000_000_000 + F.col("o_orderkey")
+    rows = T.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), at.cast("long").alias("place"), F.col("o_custkey"))
+    rows = rows.withColumn("release", F.col("place") + (1 + F.col("o_custkey") % 30) * 1_000_000_000)
+    return chains.long_chain(rows, "k", "place", "release").select("k", "place")
