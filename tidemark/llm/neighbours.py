@@ -207,9 +207,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, hashing: Hashing |
     """The k nearest found of each query by cosine, in double precision on the original vectors.
 
     Vectors are hashed once and stored with their keys. The stated queries go to the tasks in blocks of at most
-    ``block``, one block at a time (some tens of MB with its probes, freed when the block is done); each task gathers
-    the union of what the probed cells hold over all tables, scores that exactly and keeps k a query, so vectors are
-    never shuffled and a crowded cell stays spread over the tasks. A first round of a few probes bounds how far the
+    ``block``, one block at a time (some tens of MB with its probes, freed when the block is done); each task multiplies
+    the block with its vectors, sets aside those outside the probed cells, takes the best of the others again exactly and
+    keeps k a query, so vectors are never shuffled and a crowded cell stays spread over the tasks. A first round of a few probes bounds how far the
     k-th neighbour is; the second visits as many cells as find a neighbour at that distance with the wanted
     probability, however many vectors there are. A query that ends with fewer than k (or all) neighbours is searched
     again over all vectors.
