@@ -746,3 +746,17 @@ def test_repeated_rows_keep_equal_results(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id bigint, text string")
     assert sorted((r.doc_id, r.n_removed) for r in substring_dedup.report(docs).collect()) == [(1, 0), (1, 0), (2, 30)]
     assert sorted((r.doc_id, r.n_removed) for r in line_dedup.report(docs).collect()) == [(1, 0), (1, 0), (2, 1)]
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_odd_texts_equal_sql(spark, tmp_path, name):
+    """Values on nulls, empty, blank, long and repeated texts, ties and extra columns, as the SQL has them."""
+    texts = [*ODD, *ODD[3:7], " ".join(["deep"] * 40), "secretive secretive " * 3, "Secretive secretivé", "one two three four five six seven eight", "one two three four five nine seven eight"]
+    rows = [(i, t, ["en", None, "é", "de"][i % 4], None if i % 2 else "s", None if i % 5 == 0 else i) for i, t in enumerate(texts)]
+    write = lambda frame, table: frame.coalesce(1).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    clash = [F.lit("clash").alias(c) for c in ("h", "w", "digest", "tree", "word", "n", "idx", "key", "size", "taken")]
+    write(spark.createDataFrame(rows, DOCS).select("*", *clash), "documents")
+    write(spark.createDataFrame([(1, "a b c"), (2, ""), (3, " ".join(["x"] * 12))], "item_id bigint, text string"), "benchmark")
+    write(spark.createDataFrame([(1, 1, 0), (2, 0, None), (3, None, 1), (4, 1, 0)], "doc_id bigint, quality int, toxic int"), "labels")
+    write(spark.createDataFrame([(i, "u", t) for i, t in enumerate([None, "", "a" * 99, "a" * 99, "b" * 100, "b" * 100, "ü" * 50, "ü" * 50])], "page_id bigint, url string, html string"), "pages")
+    assert_equal(spark, connect(str(tmp_path)), f"file://{tmp_path}", registry.QUERIES[name], registry.ORACLE_SQL[name])

@@ -267,7 +267,7 @@ def _leaf_sql(n_chars: str) -> str:
 
 
 REPORT_SQL = f"""WITH RECURSIVE {CRC_SQL},
-named AS (SELECT *, coalesce('=' || lang, '-') AS tree, doc_id::VARCHAR AS said FROM documents),
+named AS (SELECT doc_id, source, lang, n_chars, text, coalesce('=' || lang, '-') AS tree, doc_id::VARCHAR AS said FROM documents),
 leaves AS MATERIALIZED (SELECT doc_id, tree, {_leaf_sql('n_chars')} AS leaf, CASE WHEN {crc_sql('said')} % {TAMPERED} = 0 THEN {_leaf_sql('n_chars + 1')} ELSE {_leaf_sql('n_chars')} END AS shown FROM named, crc_t),
 placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
 nodes AS (
