@@ -105,55 +105,71 @@ def silences(trades: DataFrame, limit_ms: int, lateness: str = "10 minutes") ->
 
 
 class Expiries(StatefulProcessor):
-    """The status of an order in event time; it expires ``limit_ms`` after it became pending unless it changed before."""
+    """The statuses of a bucket's orders in event time; one expires ``limit_ms`` after it became pending unless it changed before."""
 
     def __init__(self, limit_ms: int):
         self.limit = limit_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getValueState("order", "status string, since bigint, us bigint, seq bigint")
+        self.kept = handle.getValueState("orders", "order_id array<string>, status array<string>, since array<bigint>, us array<bigint>, seq array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        status, since, us, seq = self.kept.get() if self.kept.exists() else (None, None, None, None)
-        out = []
-        for at, n, new in sorted(x for part in rows for x in zip(part["us"].tolist(), part["seq"].tolist(), part["status"].tolist(), strict=True)):
+        held, out = self._held(), []
+        changes = (x for part in rows for x in zip(part["order_id"].tolist(), part["us"].tolist(), part["seq"].tolist(), part["status"].tolist(), strict=True))
+        for order, at, n, new in sorted(changes, key=lambda x: (*x[:3], x[3] or "")):
+            status, since, us, seq = held.get(order, (None, None, None, None))
             if status == "EXPIRED" or us is not None and (at, n) <= (us, seq):
                 continue
-            us, seq = at, n
             if status == "PENDING" and at - since >= self.limit * 1000:
-                status = "EXPIRED"
-                out.append((key[0], status, since + self.limit * 1000))
-                break
-            if new == "PENDING" and status != "PENDING":
+                new = "EXPIRED"
+                out.append((order, new, since + self.limit * 1000))
+            elif new == "PENDING" and status != "PENDING":
                 since = at
-            status = new
+            held[order] = (new, since, at, n)
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
-        if status == "PENDING":
-            self.handle.registerTimer(-(-since // 1000) + self.limit)
-        self.kept.update((status, since, us, seq))
+        self._keep(held)
         yield pd.DataFrame(out, columns=["order_id", "status", "expired_at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, since, us, seq = self.kept.get()
-        out = [(key[0], "EXPIRED", since + self.limit * 1000)] if status == "PENDING" else []
-        if out:
-            self.kept.update(("EXPIRED", since, us, seq))
+        held, out = self._held(), []
+        mark = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs() + 1)
+        for order, (status, since, us, seq) in held.items():
+            if status == "PENDING" and self._due(since) < mark:
+                held[order] = ("EXPIRED", since, us, seq)
+                out.append((order, "EXPIRED", since + self.limit * 1000))
+        self._keep(held)
         yield pd.DataFrame(out, columns=["order_id", "status", "expired_at"])
 
     def close(self) -> None:
         pass
 
+    def _due(self, since: int) -> int:
+        return -(-since // 1000) + self.limit
+
+    def _held(self) -> dict[str, tuple]:
+        return {order: tuple(kept) for order, *kept in zip(*(self.kept.get() or ()), strict=True)}
+
+    def _keep(self, held: dict[str, tuple]) -> None:
+        """State of the bucket, and one timer for its first order that is due."""
+        self.kept.update((list(held), *map(list, zip(*held.values(), strict=True))))
+        first = min((self._due(since) for status, since, _, _ in held.values() if status == "PENDING"), default=None)
+        if first is not None:
+            self.handle.registerTimer(first)
+
 
-def expiries(orders: DataFrame, limit_ms: int = 60_000, lateness: str = "10 minutes") -> DataFrame:
+def expiries(orders: DataFrame, limit_ms: int = 60_000, lateness: str = "10 minutes", buckets: int = 128) -> DataFrame:
     """Expiries of a stream of order changes (order_id, status, ts, seq) in event time: order_id, status, expired_at (microseconds).
 
     An order expires when it has been pending for ``limit_ms`` before its next change, or before the watermark. Changes of
     equal time are taken by seq; those behind the watermark, of expired orders and without id, time or seq are left out.
+    State is read and written for a bucket of orders (by hash of the id) at once, as each call for a single order would
+    cost more than all else; a micro-batch writes the buckets that it meets. ``buckets`` stays the same for a checkpoint.
     """
-    rows = orders.dropna(subset=["order_id", "ts", "seq"]).withWatermark("ts", lateness).select("order_id", "status", "ts", "seq", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("order_id").transformWithStateInPandas(Expiries(limit_ms), "order_id string, status string, expired_at bigint", "append", "eventTime")
+    rows = orders.dropna(subset=["order_id", "ts", "seq"]).withWatermark("ts", lateness)
+    rows = rows.select(F.pmod(F.xxhash64("order_id"), F.lit(buckets)).alias("bucket"), "order_id", "status", "ts", "seq", F.unix_micros("ts").alias("us"))
+    return rows.groupBy("bucket").transformWithStateInPandas(Expiries(limit_ms), "order_id string, status string, expired_at bigint", "append", "eventTime")
 
 
 class PendingOrders(StatefulProcessor):
