@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,28 @@ def bars_of(trades: DataFrame, late_policy: str, timeframes: Mapping[str, int] =
     return windowed_bars(trades, timeframes) if trades.isStreaming else event_time_bars(trades, timeframes)
 
 
+#: Trades that are Python objects at once.
+CHUNK = 50_000
+
+
+def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int, float, float]]:
+    """sec, price and size of a symbol's trades of a micro-batch in order of seq.
+
+    Parts are kept as plain arrays (32 bytes a trade) and become Python numbers a chunk at a time, so no frame and no
+    list of a whole micro-batch is made.
+    """
+    kept: list[list[np.ndarray]] = [[], [], [], []]
+    for part in rows:
+        for column, name in zip(kept, ("seq", "sec", "price", "size"), strict=True):
+            column.append(part[name].to_numpy(copy=True))
+    size, price, sec, seq = (np.concatenate(kept.pop()) for _ in range(4))
+    order = np.argsort(seq, kind="stable")
+    del seq
+    for at in range(0, len(order), CHUNK):
+        now = order[at : at + CHUNK]
+        yield from zip(sec[now].tolist(), price[now].tolist(), size[now].tolist(), strict=True)
+
+
 class ArrivalBars(StatefulProcessor):
     """Current bars of a symbol; a trade of a later bucket closes the bar it ends, the longest timeframe first."""
 
@@ -54,10 +77,9 @@ class ArrivalBars(StatefulProcessor):
         self.current = handle.getMapState("current", "timeframe string", "ts_open bigint, open double, high double, low double, close double, volume double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        trades = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         held = {name: list(self.current.getValue((name,))) if self.current.containsKey((name,)) else None for name, _ in self.frames}
         closed = []
-        for sec, price, size in zip(trades["sec"].tolist(), trades["price"].tolist(), trades["size"].tolist(), strict=True):
+        for sec, price, size in in_order(rows):
             for name, step in self.frames:
                 bucket, bar = sec - sec % step, held[name]
                 if bar is None or bucket > bar[0]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.setups import SetupParams
+from tidemark.streaming.bars import in_order
 from tidemark.streaming.monitors import Setup, advance
 
 BAR = ("ts_open", "open", "high", "low", "close", "volume")
@@ -135,9 +136,8 @@ class Detector(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         live = Live(**json.loads(self.kept.get()[0])) if self.kept.exists() else Live()
         setup = Setup(**live.setup)
-        trades = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         out = []
-        for sec, price, size in zip(trades["sec"].tolist(), trades["price"].tolist(), trades["size"].tolist(), strict=True):
+        for sec, price, size in in_order(rows):
             for name, step in self.frames:
                 at, bar = sec - sec % step, live.current.get(name)
                 if bar is not None and at <= bar[0]:
