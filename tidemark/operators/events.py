@@ -40,6 +40,7 @@ def order_events(before: DataFrame, after: DataFrame, positions: DataFrame, now:
 
     The first rule that fits gives the event of an order: an exchange id appeared while pending; it became filled; it
     failed; it expired. A filled order whose symbol has an open position also gives POSITION_OPENED. The fill price is the order's limit price.
+    All kinds come from one pass, so what ``after`` takes is done once.
     """
     old = before.select("order_id", F.col("status").alias("was"), F.col("exchange_order_id").alias("had"))
     rows = after.join(old, "order_id")
@@ -51,16 +52,18 @@ def order_events(before: DataFrame, after: DataFrame, positions: DataFrame, now:
         .when(pending & (F.col("status") == "EXPIRED"), "ORDER_TIMEOUT")
     )
     rows = rows.withColumn("kind", kind).where("kind IS NOT NULL")
-    of = lambda k: rows.where(F.col("kind") == k)
-    filled = of("ORDER_FILLED")
-    opened = filled.select("symbol", F.col("order_id").alias("opener")).join(positions.where("state = 'OPEN'"), "symbol")
-    return (
-        of("ORDER_SUBMITTED").select(*keyed("ORDER_SUBMITTED", now, F.col("order_id"), order_id=F.col("order_id"), exchange_order_id=F.col("exchange_order_id")))
-        .unionByName(filled.select(*keyed("ORDER_FILLED", now, F.col("order_id"), order_id=F.col("order_id"), signal_id=F.col("signal_id"), fill_price=F.col("price"), fill_size=F.col("executed_size"))))
-        .unionByName(opened.select(*keyed("POSITION_OPENED", now, F.col("opener"), symbol=F.col("symbol"), avg_entry=F.col("avg_entry"), size=F.col("current_size"), stop_price=F.col("stop_price"))))
-        .unionByName(of("ORDER_FAILED_EXCHANGE").select(*keyed("ORDER_FAILED_EXCHANGE", now, F.col("order_id"), order_id=F.col("order_id"), remote_status=F.col("fail_reason"))))
-        .unionByName(of("ORDER_TIMEOUT").select(*keyed("ORDER_TIMEOUT", now, F.col("order_id"), order_id=F.col("order_id"), age_seconds=R.age(now, F.col("created_at")))))
+    held = positions.where("state = 'OPEN'").groupBy("symbol").agg(F.collect_list(F.struct("avg_entry", "current_size", "stop_price")).alias("held"))
+    rows = rows.select("order_id", "symbol", "signal_id", "price", "executed_size", "exchange_order_id", "fail_reason", "created_at", "kind").join(held, "symbol", "left")
+    one = lambda name, **fields: F.struct(*keyed(name, now, F.col("order_id"), **fields))
+    own = (
+        F.when(F.col("kind") == "ORDER_SUBMITTED", one("ORDER_SUBMITTED", order_id=F.col("order_id"), exchange_order_id=F.col("exchange_order_id")))
+        .when(F.col("kind") == "ORDER_FILLED", one("ORDER_FILLED", order_id=F.col("order_id"), signal_id=F.col("signal_id"), fill_price=F.col("price"), fill_size=F.col("executed_size")))
+        .when(F.col("kind") == "ORDER_FAILED_EXCHANGE", one("ORDER_FAILED_EXCHANGE", order_id=F.col("order_id"), remote_status=F.col("fail_reason")))
+        .when(F.col("kind") == "ORDER_TIMEOUT", one("ORDER_TIMEOUT", order_id=F.col("order_id"), age_seconds=R.age(now, F.col("created_at"))))
     )
+    opened = F.transform("held", lambda p: one("POSITION_OPENED", symbol=F.col("symbol"), avg_entry=p["avg_entry"], size=p["current_size"], stop_price=p["stop_price"]))
+    both = F.when((F.col("kind") == "ORDER_FILLED") & F.col("held").isNotNull(), F.concat(F.array(own), opened)).otherwise(F.array(own))
+    return rows.select(F.explode(both).alias("e")).select("e.*")
 
 
 def signal_events(signals: DataFrame, now: Column) -> DataFrame:

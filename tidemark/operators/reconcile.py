@@ -23,20 +23,21 @@ def tick(orders: DataFrame, signals: DataFrame, now: Column, fills: DataFrame |
     Then fills are applied (only where the signal is known), and if the order is still PENDING its remote status may
     fail it, and else its age may expire it. ``fills``: exchange_order_id, seq, execution_id, price (null: the order's),
     size, fee, ts. ``remote``: exchange_order_id, remote_status. Without ``submit``, fills and remote statuses only
-    the age counts.
+    the age counts. Fills are gathered by exchange id, where orders and remote statuses meet them, so each table is
+    shuffled by that id once.
     """
     pending = orders.where(F.col("status") == "PENDING")
     rest = orders.where(F.col("status") != "PENDING")
-    known = pending.join(signals.select("signal_id").distinct(), "signal_id", "left_semi").select("order_id", "exchange_order_id", F.col("price").alias("__price"))
-    none = "order_id string, seq bigint, execution_id string, price double, size double, fee double, ts bigint"
-    feed = orders.sparkSession.createDataFrame([], none)
-    if fills is not None:
-        feed = fills.join(known, "exchange_order_id").withColumn("price", F.coalesce("price", "__price")).drop("__price", "exchange_order_id")
-    rows = X.judged(pending, feed)
+    none = "exchange_order_id string, seq bigint, execution_id string, price double, size double, fee double, ts bigint"
+    feed = X.fed(orders.sparkSession.createDataFrame([], none) if fills is None else fills, "exchange_order_id")
+    rows = pending.join(signals.select("signal_id").distinct().withColumn("__known", F.lit(True)), "signal_id", "left").join(feed, "exchange_order_id", "left")
+    priced = F.transform("feed", lambda x: x.withField("price", F.coalesce(x["price"], F.col("price"))))
+    rows = rows.withColumn("feed", F.when(F.col("__known"), F.array_sort(priced))).drop("__known")
     if remote is not None:
         rows = rows.join(remote.select("exchange_order_id", "remote_status"), "exchange_order_id", "left")
     else:
         rows = rows.withColumn("remote_status", F.lit(None).cast("string"))
+    rows = X.folded(rows)
     fresh = F.lit(submit) & F.col("exchange_order_id").isNull()
     moved = F.col("new_status") != "PENDING"
     failed = F.coalesce(F.col("remote_status").isin(*FAILED), F.lit(False))
