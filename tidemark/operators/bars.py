@@ -41,9 +41,13 @@ def framed(timeframes: Mapping[str, int]) -> Column:
 
 
 def placed(tape: DataFrame, timeframes: Mapping[str, int]) -> DataFrame:
-    """Trades of each timeframe with the bar that they join in order of arrival (ts_open)."""
-    rows = tape.dropna(subset=WHOLE).select("*", framed(timeframes).alias("f")).select("symbol", "price", "size", "seq", "block", "f.timeframe", bucket(F.col("ts"), F.col("f.sec")).alias("b"))
-    return running_max(rows, ["symbol", "timeframe"], "b", "ts_open")
+    """Trades of each timeframe with the bar that they join in order of arrival (ts_open).
+
+    A later time never falls in an earlier bucket, so the latest bucket so far is that of the latest time so far: trades
+    are ordered once, for all timeframes.
+    """
+    rows = running_max(tape.dropna(subset=WHOLE).select("symbol", "price", "size", "ts", "seq", "block"), ["symbol"], "ts", "latest")
+    return rows.select("symbol", "price", "size", "seq", "block", "latest", framed(timeframes).alias("f")).select("symbol", "price", "size", "seq", "block", "f.timeframe", bucket(F.col("latest"), F.col("f.sec")).alias("ts_open"))
 
 
 def summed(rows: DataFrame) -> DataFrame:

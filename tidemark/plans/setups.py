@@ -64,11 +64,13 @@ def query(name: str, sql: str):
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars that the detector would process, written once: setups look at them several times."""
-    made = S.setup_bars(B.bars(T.tape_line(spark, sf_dir), FRAMES, keep_later=True), P)
-    path = T.scratch(spark, "setup-bars")
-    made.write.parquet(path)
-    return spark.read.schema(made.schema).parquet(path)
+    """Bars that the detector would process; they and the bars of the tape, which they look at by timeframe, are written once."""
+    made = B.bars(T.tape_line(spark, sf_dir), FRAMES, keep_later=True)
+    for name, step in (("tape-bars", lambda x: x), ("setup-bars", lambda x: S.setup_bars(x, P))):
+        made, path = step(made), T.scratch(spark, name)
+        made.write.parquet(path)
+        made = spark.read.schema(made.schema).parquet(path)
+    return made
 
 
 @query("breakouts", f"WITH {STAGES} SELECT symbol, idx, ts_open, round(level, 8) AS level, round(midpoint, 8) AS midpoint, bear FROM bo")
