@@ -1,6 +1,6 @@
 """A versioned changelog on disk: appended runs, a manifest a version, and runs merged without touching what readers use.
 
-A run is written once and never changed: its rows are filed by hash of the key and sorted within a file. A version is a small
+A run is written once and never changed: it has one row a key, filed by hash of the key and sorted within a file. A version is a small
 manifest that lists its runs; a writer publishes one by creating the file of the next number, which one writer only can.
 Readers hold a version, so a merge of runs doesn't disturb them. Merged runs hold a row a key with what later changes
 need to be merged in: the first values, the last, and the last known of each patched column, each with its place.
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +29,10 @@ def stated(changes: DataFrame, p: Policy, seq: str = "seq") -> DataFrame:
     return changes.select(*p.key, part(p.first).alias("__first"), part(p.last).alias("__last"), *patches)
 
 
-def combined(states: DataFrame, p: Policy) -> DataFrame:
-    """One row a key of merged rows; the order in which they are merged doesn't matter."""
+def combined(states: DataFrame, p: Policy, *also: str) -> DataFrame:
+    """One row a key of merged rows; the order in which they are merged doesn't matter. ``also``: columns that follow from the key."""
     patches = [F.max_by(f"__patch_{c}", f"__patch_{c}.seq").alias(f"__patch_{c}") for c in p.patch]
-    return states.groupBy(*p.key).agg(F.min_by("__first", "__first.seq").alias("__first"), F.max_by("__last", "__last.seq").alias("__last"), *patches)
+    return states.groupBy(*also, *p.key).agg(F.min_by("__first", "__first.seq").alias("__first"), F.max_by("__last", "__last.seq").alias("__last"), *patches)
 
 
 def shown(states: DataFrame, p: Policy) -> DataFrame:
@@ -46,11 +46,12 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Run:
-    """A written run: its folder, how often its rows have been merged, and how many they are."""
+    """A written run: its folder, how often its rows have been merged, how many they are, and whether it has one row a key."""
 
     path: str
     tier: int
     rows: int
+    single: bool = False
 
 
 @dataclass(frozen=True)
@@ -131,12 +132,15 @@ class Changelog:
 
     # Runs
 
-    def _written(self, states: DataFrame, tier: int) -> Run:
+    def _written(self, rows: DataFrame, tier: int, form: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Run:
+        """A run of one row a key. ``rows`` are shuffled once, by key and as they are; ``form`` (the form of merged rows) and the
+        merge come after, so neither the number of buckets nor a wide form bounds the tasks."""
         path = f"{self.path}/runs/{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64(*self.policy.key), F.lit(self.buckets)).cast("int")
-        rows = states.withColumn("__bucket", bucket)
-        rows.repartition("__bucket").sortWithinPartitions("__bucket", *self.policy.key).write.partitionBy("__bucket").parquet(path)
-        return Run(path, tier, self.spark.read.schema(rows.schema).parquet(path).count())
+        bucket = F.pmod(F.xxhash64(*self.policy.key), F.lit(self.buckets)).cast("int").alias("__bucket")
+        filed = form(rows.repartition(*self.policy.key)).select("*", bucket)
+        made = combined(filed, self.policy, "__bucket").select(*filed.columns)
+        made.sortWithinPartitions("__bucket", *self.policy.key).write.partitionBy("__bucket").option("compression", "zstd").parquet(path)
+        return Run(path, tier, self.spark.read.schema(made.schema).parquet(path).count(), True)
 
     def _states(self, runs: Sequence[Run], schema: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
         if not runs:
@@ -160,7 +164,7 @@ class Changelog:
         if batch is not None and known.get(writer, -1) >= batch:
             return now
         states = stated(changes, self.policy, self.seq)
-        run = self._written(states, 0)
+        run = self._written(changes.select(*dict.fromkeys([*self.policy.key, self.seq, *self.policy.first, *self.policy.last, *self.policy.patch])), 0, lambda rows: stated(rows, self.policy, self.seq))
         schema = states.schema.toDDL()
         for _ in range(tries):
             known = dict(now.batches)
@@ -187,7 +191,7 @@ class Changelog:
             return now
         old = tiers[tier]
         states = self._states(old, now.schema)
-        new = [self._written(combined(states, self.policy), tier + 1)] if states is not None else []
+        new = [self._written(states, tier + 1)] if states is not None else []
         for _ in range(tries):
             paths = {r.path for r in now.runs}
             if not {r.path for r in old} <= paths:
@@ -201,11 +205,24 @@ class Changelog:
 
     # Reading
 
-    def latest(self, number: int | None = None) -> DataFrame | None:
-        """The latest row of each key as of a version; None while nothing was appended."""
+    def _merged(self, runs: Sequence[Run], states: DataFrame) -> DataFrame:
+        """One row a key of the rows of ``runs``; those of a single run that has one row a key are taken as they are."""
+        full = [r for r in runs if r.rows] or list(runs[:1])
+        return states if len(full) == 1 and full[0].single else combined(states, self.policy)
+
+    def latest(self, number: int | None = None, only: Sequence[str] | None = None) -> DataFrame | None:
+        """The latest row of each key as of a version; None while nothing was appended. With ``only``, these columns beside
+        the key alone are read and merged."""
         at = self.version(number)
         states = self._states(at.runs, at.schema)
-        return None if states is None else shown(combined(states, self.policy), self.policy)
+        if states is None:
+            return None
+        p = self.policy
+        if only is not None:
+            p = Policy(p.key, *[tuple(c for c in names if c in only) for names in (p.first, p.last, p.patch)])
+            part = lambda of, names: F.struct(F.col(f"{of}.seq").alias("seq"), *[F.col(f"{of}.{c}").alias(c) for c in names]).alias(of)
+            states = states.select(*p.key, part("__first", p.first), part("__last", p.last), *[f"__patch_{c}" for c in p.patch])
+        return shown(self._merged(at.runs, states), p)
 
     def lookup(self, keys: DataFrame, number: int | None = None) -> DataFrame | None:
         """The latest rows of ``keys`` (the key columns) alone; only the buckets that they fall in are read."""
@@ -213,7 +230,7 @@ class Changelog:
         wanted = keys.select(*self.policy.key).distinct()
         met = wanted.select(F.pmod(F.xxhash64(*self.policy.key), F.lit(self.buckets)).cast("int").alias("b")).distinct()
         states = self._states(at.runs, at.schema, [r["b"] for r in met.collect()] or [-1])
-        return None if states is None else shown(combined(states.join(wanted, list(self.policy.key), "left_semi"), self.policy), self.policy)
+        return None if states is None else shown(self._merged(at.runs, states.join(wanted, list(self.policy.key), "left_semi")), self.policy)
 
     def unused(self, keep: int) -> list[str]:
         """Folders of runs that the last ``keep`` versions don't list, for whoever clears them once no reader holds an older one."""
