@@ -129,7 +129,7 @@ def lifecycle_changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
     for run in ("first", "again"):
         stream = spark.readStream.schema(spark.read.parquet(f"{path}/events").schema).option("maxFilesPerTrigger", 50).parquet(f"{path}/events")
         stream.writeStream.foreachBatch(E.log_batch(log, run)).option("checkpointLocation", f"{path}/{run}").trigger(availableNow=True).start().awaitTermination()
-    return log.latest().select("event_key", "event_type", "ts")
+    return log.latest(only=["event_type", "ts"]).select("event_key", "event_type", "ts")
 
 
 def streamed_feed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
