@@ -1,4 +1,4 @@
-"""Scores of texts by a small causal self-attention model over subword ids, trained on a share of the corpus.
+"""Scores of texts by a small causal self-attention model over subword ids, trained on the whole training text.
 
 Subwords are the ids of a public byte-level vocabulary; the 1023 most frequent ones of the training words (all of them
 counted) and the end of a text have ids of their own, the rest share one and are told apart by their counts. A text is
@@ -34,16 +34,16 @@ BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 @dataclass(frozen=True)
 class LmParams:
-    """``vocabulary``: file of ranks, read on the driver. ``share`` of the training text is drawn for training, or what gives
-    ``least_tokens`` if that is more; ``shard_tokens`` of it are trained on by a task, in ``rounds`` after each of which the
-    tasks' models are averaged. Drawn text of less than ``least_tokens`` is passed over again, ``most_passes`` times at most.
+    """``vocabulary``: file of ranks, read on the driver. ``share`` of the training text (all by default) is trained on, or what
+    gives ``least_tokens`` if that is more; ``shard_tokens`` of it are trained on by a task, in ``rounds`` after each of which the
+    tasks' models are averaged. Text of less than ``least_tokens`` is passed over again, ``most_passes`` times at most.
     ``head_words`` counts at most are sent to all tasks; the others are joined."""
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
     width: int = 16
     hidden: int = 48
     block: int = 16
-    share: float = 1 / 32
+    share: float = 1.0
     least_tokens: int = 4_000_000
     shard_tokens: int = 1_000_000
     most_passes: int = 4
@@ -373,9 +373,9 @@ def learner(now, new: np.ndarray, end: int, p: LmParams, turn: int, passes: int,
 
 
 def fit(docs: DataFrame, counts: np.ndarray, ranks, p: LmParams = LmParams()) -> dict:
-    """The model after training on a share of ``docs``; ``counts`` of subwords are those of all training words.
+    """The model after training on ``docs`` (or a share of them, if the parameters ask for less); ``counts`` of subwords are those of all training words.
 
-    Parts of texts are drawn by hash and dealt to shards; each task trains on its shard from the same start and the models
+    Parts of texts are dealt to shards by hash; each task trains on its shard from the same start and the models
     are averaged after each round, so the work grows with the corpus and no task holds more than a shard. Reruns agree
     but for the order of rows that hash alike. Without training text the model keeps its start.
     """
