@@ -16,11 +16,11 @@ def timeouts(orders: DataFrame, now: Column, limit: int = 60) -> DataFrame:
     return orders.where((F.col("status") == "PENDING") & (now - F.col("created_at") >= limit)).withColumn("age", R.age(now, F.col("created_at")))
 
 
-def tick(orders: DataFrame, signals: DataFrame, now: Column, fills: DataFrame | None = None, remote: DataFrame | None = None, submit: bool = True, limit: int = 60) -> DataFrame:
+def tick(orders: DataFrame, signals: DataFrame | None, now: Column, fills: DataFrame | None = None, remote: DataFrame | None = None, submit: bool = True, limit: int = 60) -> DataFrame:
     """Orders after a tick, with signal_status (null: unchanged) and ledger of fills.
 
     Only PENDING orders change. With ``submit`` an order without exchange id gets one and rests until the next tick.
-    Then fills are applied (only where the signal is known), and if the order is still PENDING its remote status may
+    Then fills are applied (only where the signal is known; ``signals`` None: all are), and if the order is still PENDING its remote status may
     fail it, and else its age may expire it. ``fills``: exchange_order_id, seq, execution_id, price (null: the order's),
     size, fee, ts. ``remote``: exchange_order_id, remote_status. Without ``submit``, fills and remote statuses only
     the age counts. Fills are gathered by exchange id, where orders and remote statuses meet them, so each table is
@@ -30,7 +30,11 @@ def tick(orders: DataFrame, signals: DataFrame, now: Column, fills: DataFrame |
     rest = orders.where(F.col("status") != "PENDING")
     none = "exchange_order_id string, seq bigint, execution_id string, price double, size double, fee double, ts bigint"
     feed = X.fed(orders.sparkSession.createDataFrame([], none) if fills is None else fills, "exchange_order_id")
-    rows = pending.join(signals.select("signal_id").distinct().withColumn("__known", F.lit(True)), "signal_id", "left").join(feed, "exchange_order_id", "left")
+    if signals is None:
+        rows = pending.withColumn("__known", F.col("signal_id").isNotNull())
+    else:
+        rows = pending.join(signals.select("signal_id").distinct().withColumn("__known", F.lit(True)), "signal_id", "left")
+    rows = rows.join(feed, "exchange_order_id", "left")
     priced = F.transform("feed", lambda x: x.withField("price", F.coalesce(x["price"], F.col("price"))))
     rows = rows.withColumn("feed", F.when(F.col("__known"), F.array_sort(priced))).drop("__known")
     if remote is not None:

@@ -179,13 +179,22 @@ def tick_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def many_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders after ticks over all messages, with a restart before each: a tick takes the next part by time."""
+    """Orders after ticks over all messages, with a restart before each: a tick takes the next part by time.
+
+    The messages are made and written once, by part; a part's folder is moved to where the stream looks as its time comes.
+    """
     path = scratch(spark, "ticks")
     messages = tick_messages(spark, sf_dir)
     edges = [-1, *(messages.agg(F.percentile_approx("at", [k / TICKS for k in range(1, TICKS)], 10_000).alias("e")).first()["e"] or []), 1 << 62]
-    for a, b in zip(edges, edges[1:], strict=False):
-        messages.where((F.col("at") > a) & (F.col("at") <= b)).write.mode("append").parquet(f"{path}/in")
-        stream = spark.readStream.schema(messages.schema).parquet(f"{path}/in")
+    part = sum((F.col("at") > e).cast("int") for e in edges[1:-1]) if len(edges) > 2 else F.lit(0)
+    messages.where(F.col("at") > edges[0]).withColumn("part", part).write.partitionBy("part").parquet(f"{path}/parts")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(place(f"{path}/in"))
+    for k in range(len(edges) - 1):
+        if fs.exists(place(f"{path}/parts/part={k}")):
+            fs.rename(place(f"{path}/parts/part={k}"), place(f"{path}/in/{k}"))
+        stream = spark.readStream.schema(messages.schema).option("recursiveFileLookup", True).parquet(f"{path}/in")
         book = Book(spark, f"{path}/book", limit=TICK_LIMIT)
         run_book(stream, book, f"{path}/checkpoint").awaitTermination()
     return book.table("orders")

@@ -1,6 +1,6 @@
 """A versioned changelog on disk: appended runs, a manifest a version, and runs merged without touching what readers use.
 
-A run is written once and never changed: it has one row a key, filed by hash of the key and sorted within a file. A version is a small
+A run is written once and never changed: it has one row a key, filed by hash of the key and sorted within a file, by a part of that hash and key. A version is a small
 manifest that lists its runs; a writer publishes one by creating the file of the next number, which one writer only can.
 Readers hold a version, so a merge of runs doesn't disturb them. Merged runs hold a row a key with what later changes
 need to be merged in: the first values, the last, and the last known of each patched column, each with its place.
@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
@@ -22,11 +22,11 @@ from tidemark.operators.merge import Policy
 BUCKETS = 64
 
 
-def stated(changes: DataFrame, p: Policy, seq: str = "seq") -> DataFrame:
-    """Changes in the form of merged rows: the key, __first, __last and a __patch for each patched column, with their seq."""
+def stated(changes: DataFrame, p: Policy, seq: str = "seq", *also: str) -> DataFrame:
+    """Changes in the form of merged rows: the key, __first, __last and a __patch for each patched column, with their seq; and columns ``also``."""
     part = lambda names: F.struct(F.col(seq).alias("seq"), *[F.col(c) for c in names])
     patches = [F.when(F.col(c).isNotNull(), part([c])).alias(f"__patch_{c}") for c in p.patch]
-    return changes.select(*p.key, part(p.first).alias("__first"), part(p.last).alias("__last"), *patches)
+    return changes.select(*also, *p.key, part(p.first).alias("__first"), part(p.last).alias("__last"), *patches)
 
 
 def combined(states: DataFrame, p: Policy, *also: str) -> DataFrame:
@@ -133,13 +133,18 @@ class Changelog:
     # Runs
 
     def _written(self, rows: DataFrame, tier: int, form: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Run:
-        """A run of one row a key. ``rows`` are shuffled once, by key and as they are; ``form`` (the form of merged rows) and the
-        merge come after, so neither the number of buckets nor a wide form bounds the tasks."""
+        """A run of one row a key. ``rows`` are shuffled once, as they are, by bucket and part of a bucket; ``form`` (the form of
+        merged rows) and the merge come after. There are as many parts as let all tasks write and no more, as a task writes a
+        file for each bucket that it meets."""
         path = f"{self.path}/runs/{uuid.uuid4().hex}"
-        bucket = F.pmod(F.xxhash64(*self.policy.key), F.lit(self.buckets)).cast("int").alias("__bucket")
-        filed = form(rows.repartition(*self.policy.key)).select("*", bucket)
-        made = combined(filed, self.policy, "__bucket").select(*filed.columns)
-        made.sortWithinPartitions("__bucket", *self.policy.key).write.partitionBy("__bucket").option("compression", "zstd").parquet(path)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = -(-2 * tasks // self.buckets)
+        hashed = F.xxhash64(*self.policy.key)
+        bucket, part = F.pmod(hashed, F.lit(self.buckets)).cast("int").alias("__bucket"), F.pmod(F.shiftright(hashed, 32), F.lit(parts)).cast("int").alias("__part")
+        filed = form(rows.select("*", bucket, part).repartition("__bucket", "__part"))
+        made = combined(filed, self.policy, "__bucket", "__part").sortWithinPartitions("__bucket", "__part", *self.policy.key)
+        made = made.select(*[c for c in filed.columns if c != "__part"])
+        made.write.partitionBy("__bucket").option("compression", "zstd").parquet(path)
         return Run(path, tier, self.spark.read.schema(made.schema).parquet(path).count(), True)
 
     def _states(self, runs: Sequence[Run], schema: str, buckets: Sequence[int] | None = None) -> DataFrame | None:
@@ -164,7 +169,7 @@ class Changelog:
         if batch is not None and known.get(writer, -1) >= batch:
             return now
         states = stated(changes, self.policy, self.seq)
-        run = self._written(changes.select(*dict.fromkeys([*self.policy.key, self.seq, *self.policy.first, *self.policy.last, *self.policy.patch])), 0, lambda rows: stated(rows, self.policy, self.seq))
+        run = self._written(changes.select(*dict.fromkeys([*self.policy.key, self.seq, *self.policy.first, *self.policy.last, *self.policy.patch])), 0, lambda rows: stated(rows, self.policy, self.seq, "__bucket", "__part"))
         schema = states.schema.toDDL()
         for _ in range(tries):
             known = dict(now.batches)
@@ -205,14 +210,14 @@ class Changelog:
 
     # Reading
 
-    def _merged(self, runs: Sequence[Run], states: DataFrame) -> DataFrame:
+    def _merged(self, runs: Sequence[Run], states: DataFrame, p: Policy | None = None) -> DataFrame:
         """One row a key of the rows of ``runs``; those of a single run that has one row a key are taken as they are."""
         full = [r for r in runs if r.rows] or list(runs[:1])
-        return states if len(full) == 1 and full[0].single else combined(states, self.policy)
+        return states if len(full) == 1 and full[0].single else combined(states, p or self.policy)
 
-    def latest(self, number: int | None = None, only: Sequence[str] | None = None) -> DataFrame | None:
+    def latest(self, number: int | None = None, only: Sequence[str] | None = None, kept: Callable[[DataFrame], DataFrame] = lambda states: states) -> DataFrame | None:
         """The latest row of each key as of a version; None while nothing was appended. With ``only``, these columns beside
-        the key alone are read and merged."""
+        the key alone are read and merged. ``kept`` leaves keys out before the merge."""
         at = self.version(number)
         states = self._states(at.runs, at.schema)
         if states is None:
@@ -222,7 +227,27 @@ class Changelog:
             p = Policy(p.key, *[tuple(c for c in names if c in only) for names in (p.first, p.last, p.patch)])
             part = lambda of, names: F.struct(F.col(f"{of}.seq").alias("seq"), *[F.col(f"{of}.{c}").alias(c) for c in names]).alias(of)
             states = states.select(*p.key, part("__first", p.first), part("__last", p.last), *[f"__patch_{c}" for c in p.patch])
-        return shown(self._merged(at.runs, states), p)
+        return shown(self._merged(at.runs, kept(states), p), p)
+
+    def keys(self, number: int | None = None) -> DataFrame | None:
+        """The keys of a version, each as often as runs have it: nothing is merged."""
+        at = self.version(number)
+        states = self._states(at.runs, at.schema)
+        return None if states is None else states.select(*self.policy.key)
+
+    def matching(self, wanted: DataFrame, number: int | None = None, only: Sequence[str] | None = None) -> DataFrame | None:
+        """The latest rows of the keys that ``wanted`` has (its columns are some or all of the key). The others are left out before
+        anything is merged, and no key passes through the driver."""
+        return self.latest(number, only, lambda states: states.join(wanted, wanted.columns, "left_semi"))
+
+    def fitting(self, fits: Column, number: int | None = None) -> DataFrame | None:
+        """The latest rows that fit a condition on columns that take the last value. Only keys with a stored row that fits are merged."""
+        at = self.version(number)
+        states = self._states(at.runs, at.schema)
+        if states is None:
+            return None
+        met = states.select(*self.policy.key, "__last.*").where(fits).select(*self.policy.key)
+        return self.latest(at.number).limit(0) if met.isEmpty() else self.matching(met, at.number).where(fits)
 
     def lookup(self, keys: DataFrame, number: int | None = None) -> DataFrame | None:
         """The latest rows of ``keys`` (the key columns) alone; only the buckets that they fall in are read."""

@@ -1,11 +1,14 @@
 """Ticks that follow one another: signals become orders, orders meet fills, and what is left is carried to the next tick.
 
-A micro-batch is a tick. The tables are versioned changelogs that take a tick once; a tick that is tried again starts from
+A micro-batch is a tick. An order is of a signal that was told, a rejected one never changes and has a table of its own, and a
+signal that is NEW has no order; so a tick reads the live orders, what waits, and of fills, remote statuses and signals the
+rows of these orders, not the whole of what was told. The tables are versioned changelogs that take a tick once; a tick that is tried again starts from
 the versions before it, so it comes to the same rows whatever it had written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +34,7 @@ _signal_columns = tuple(c.split()[0] for c in SIGNAL.split(", "))
 TABLES: dict[str, tuple[Policy, StructType]] = {
     "signals": (Policy(("signal_id",), _signal_columns[1:], ("status",)), schema_of(f"{SIGNAL}, status string")),
     "orders": (POLICIES["orders"], SCHEMAS["orders"]),
+    "rejected": (POLICIES["orders"], SCHEMAS["orders"]),
     "executions": (POLICIES["executions"], SCHEMAS["executions"]),
     "positions": (POLICIES["positions"], SCHEMAS["positions"]),
     "state": (POLICIES["runtime_state"], SCHEMAS["runtime_state"]),
@@ -49,9 +53,14 @@ class Book:
 
     def table(self, name: str, number: int | None = None) -> DataFrame:
         """The latest rows of a table, or those before tick ``number``."""
+        rows = self._read(name, number, lambda log, at: log.latest(at))
+        return rows.unionByName(self.table("rejected", number)) if name == "orders" else rows
+
+    def _read(self, name: str, number: int | None, read: Callable[[Changelog, int], DataFrame | None]) -> DataFrame:
+        """What ``read`` gives of a log's latest version, or of that before tick ``number``."""
         log = self.logs[name]
         version = log.version() if number is None else log.before(WRITER, number)
-        rows = log.latest(version.number)
+        rows = read(log, version.number)
         return self.spark.createDataFrame([], TABLES[name][1]) if rows is None else rows
 
     def _add(self, name: str, rows: DataFrame, number: int) -> None:
@@ -67,40 +76,40 @@ class Book:
         positions and live orders of all ticks before; pending orders are submitted, filled from all fills told so far,
         failed or expired; executions, positions, statuses and events are added. An empty batch is no tick.
         """
-        batch = batch.persist()
-        try:
-            latest = batch.agg(F.max("at")).first()[0]
-            if latest is not None:
-                self._tick(batch, number, F.lit(latest).cast("long"))
-        finally:
-            batch.unpersist()
+        trading = F.col("kind") == "trading"
+        latest, said = batch.agg(F.max("at"), F.max_by(F.when(trading, F.col("body")), F.when(trading, F.col("seq")))).first()
+        if latest is not None:
+            self._tick(batch, number, F.lit(latest).cast("long"), said)
         for log in self.logs.values():
             log.compact(self.fanout)
 
-    def _tick(self, batch: DataFrame, number: int, now: Column) -> None:
+    def _tick(self, batch: DataFrame, number: int, now: Column, said: str | None) -> None:
         of = lambda kind, schema: batch.where(F.col("kind") == kind).select(F.from_json("body", schema).alias("m"), "seq").select("m.*", "seq")
         self._add("fills", of("fill", FILL), number)
         self._add("remote", of("remote", REMOTE).groupBy("exchange_order_id").agg(F.max_by("remote_status", "seq").alias("remote_status")), number)
         was_on = self._trading(self.table("state", number))
-        said = batch.where("kind = 'trading'").agg(F.max_by("body", "seq")).first()[0]
         on = was_on if said is None else said != "off"
         if said is not None:
             self._add("state", self.spark.createDataFrame([("trading", said)], "key string, value string"), number)
 
-        known, orders, positions = self.table("signals", number), self.table("orders", number), self.table("positions", number)
+        positions = self.table("positions", number)
+        orders = self._read("orders", number, lambda log, at: log.latest(at)).where(F.col("status").isin(*O.LIVE)).persist()
         told = of("signal", SIGNAL).groupBy("signal_id").agg(F.min_by(F.struct(*_signal_columns[1:]), "seq").alias("s")).select("signal_id", "s.*", F.lit("NEW").alias("status"))
-        fresh = told.join(known.select("signal_id"), "signal_id", "left_anti")
-        waiting = fresh.unionByName(known.where("status = 'NEW'"))
+        fresh = told.join(self._read("signals", number, lambda log, at: log.keys(at)).select("signal_id"), "signal_id", "left_anti").persist()
+        waiting = fresh.unionByName(self._read("signals", number, lambda log, at: log.fitting(F.col("status") == "NEW", at)))
         intents = O.admit(waiting if on else waiting.limit(0), orders, positions, now, self.portfolio).persist()
-        before = orders.where(F.col("status").isin(*O.LIVE)).unionByName(intents.where("status = 'PENDING'").drop("signal_status"))
-        after = C.tick(before, told.unionByName(known), now, self._feed(before, number, now), self.table("remote"), limit=self.limit).persist()
+        before = orders.unionByName(intents.where("status = 'PENDING'").drop("signal_status"))
+        after = C.tick(before, None, now, *self._feed(orders, number, now), limit=self.limit).persist()
         try:
             old = before.select("order_id", F.struct(*orders.columns).alias("old"))
             moved = after.join(old, "order_id").where(~F.struct(*orders.columns).eqNullSafe(F.col("old"))).select(*orders.columns)
-            self._add("orders", moved.unionByName(intents.where("status <> 'PENDING'").select(*orders.columns)), number)
+            self._add("orders", moved, number)
+            self._add("rejected", intents.where("status <> 'PENDING'"), number)
             paid = after.select("order_id", "signal_id", "symbol", F.posexplode("ledger").alias("place", "x")).where("x.verdict = 'accepted'").select("order_id", "signal_id", "symbol", "place", "x.*")
             self._add("executions", paid, number)
-            stops = told.unionByName(known).groupBy("signal_id").agg(F.first(R.stop_level(F.col("retest_level"), F.col("atr"))).alias("stop"))
+            known = self._read("signals", number, lambda log, at: log.matching(paid.select("signal_id"), at, ("retest_level", "atr")))
+            levels = ("signal_id", "retest_level", "atr")
+            stops = fresh.select(*levels).unionByName(known.select(*levels)).select("signal_id", R.stop_level(F.col("retest_level"), F.col("atr")).alias("stop"))
             self._add("positions", self._filled(positions, paid.join(stops, "signal_id"), now), number)
 
             decided = intents.select("signal_id", "signal_status").unionByName(after.where("signal_status IS NOT NULL").select("signal_id", "signal_status"))
@@ -114,18 +123,19 @@ class Book:
                 parts.append(E.disabled_events(self.spark.range(1).select(F.array(F.lit("trading")).alias("tripped")), now, now.cast("string")))
             self._add("events", reduce(DataFrame.unionByName, parts), number)
         finally:
-            after.unpersist()
-            intents.unpersist()
+            for rows in (after, intents, fresh, orders):
+                rows.unpersist()
 
     def _trading(self, state: DataFrame) -> bool:
         said = state.where("key = 'trading'").first()
         return said is None or said["value"] != "off"
 
-    def _feed(self, live: DataFrame, number: int, now: Column) -> DataFrame:
-        """All fills told so far of pending orders that were submitted, but for ids that are executions already."""
+    def _feed(self, live: DataFrame, number: int, now: Column) -> tuple[DataFrame, DataFrame]:
+        """Of pending orders that were submitted, all fills told so far (but for ids that are executions already) and the remote statuses."""
         asked = live.where("status = 'PENDING' AND exchange_order_id IS NOT NULL").select("exchange_order_id")
-        fills = self.table("fills").join(asked, "exchange_order_id", "left_semi").withColumn("ts", now)
-        return fills.join(self.table("executions", number).select("execution_id"), "execution_id", "left_anti")
+        of = lambda name: self._read(name, None, lambda log, at: log.matching(asked, at))
+        paid = self._read("executions", number, lambda log, at: log.keys(at)).select("execution_id")
+        return of("fills").withColumn("ts", now).join(paid, "execution_id", "left_anti"), of("remote")
 
     def _filled(self, positions: DataFrame, paid: DataFrame, now: Column) -> DataFrame:
         """Positions of symbols whose orders were filled in this tick."""
