@@ -14,8 +14,9 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -151,12 +152,28 @@ def windows(ids: np.ndarray, block: int, start: bool) -> np.ndarray:
     return np.hstack([rows[:-1], rows[1:]])
 
 
+class OwnIds(dict):
+    """Ids in the model of the words met so far, so a word is cut once while it is held."""
+
+    def __init__(self, encoding: tiktoken.Encoding, to: np.ndarray) -> None:
+        self.encoding, self.to = encoding, to
+
+    def __missing__(self, word: bytes) -> list[int]:
+        found = self[word] = self.to[subwords(self.encoding, word)].tolist()
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > HELD_WORDS:
+            self.clear()
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint16)
+
+
 def drawn(docs: DataFrame, ranks, to: np.ndarray, share: float, block: int) -> DataFrame:
     """h, tokens, windows: windows over parts of texts of some 2,000 bytes, a ``share`` of all parts by their hash."""
     limit = np.uint32(min(share, 1) * 0xFFFFFFFF)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = encoder(ranks.value)
+        known = OwnIds(encoder(ranks.value), to)
         for batch in batches:
             rows = []
             for text in batch["text"]:
@@ -173,7 +190,7 @@ def drawn(docs: DataFrame, ranks, to: np.ndarray, share: float, block: int) -> D
                     last = end >= len(data)
                     if not last and words:
                         words.pop()
-                    ids = to[[i for w in words for i in subwords(encoding, w)]] if words else np.zeros(0, np.uint16)
+                    ids = known.of(words)
                     if last:
                         ids = np.append(ids, np.uint16(0))
                     found = windows(ids, block, k == 0)
@@ -184,16 +201,21 @@ def drawn(docs: DataFrame, ranks, to: np.ndarray, share: float, block: int) -> D
     return docs.select("text").mapInPandas(draw, "h long, tokens long, windows binary")
 
 
+def followed(rows: Iterable[bytes], block: int) -> np.ndarray:
+    """A number for each token of the windows' own blocks and the token before it."""
+    x = np.frombuffer(b"".join(rows), np.uint16).reshape(-1, 2 * block)
+    now, then = x[:, block:], x[:, block - 1 : -1]
+    there = now != PAD
+    return then[there].astype(np.int64) * TOKENS + now[there]
+
+
 def pairs(sample: DataFrame, block: int) -> np.ndarray:
     """How often each id follows each other in the drawn windows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(TOKENS * TOKENS, np.int64)
         for batch in batches:
-            for w in batch["windows"]:
-                x = np.frombuffer(w, np.uint16).reshape(-1, 2 * block).astype(np.int64)
-                now, then = x[:, block:], x[:, block - 1 : -1]
-                total += np.bincount((then * TOKENS + now)[now != PAD], minlength=len(total))
+            total += np.bincount(followed(batch["windows"], block), minlength=len(total))
         at = np.nonzero(total)[0]
         yield pd.DataFrame({"pair": at, "n": total[at]})
 
