@@ -21,6 +21,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,8 @@ class LmParams:
 
 
 PIECE_BYTES = 1 << 20
-CHUNK_BYTES = 2048
+#: Blocks of a part of a text that is dealt to a shard, and parts that a task hands over at once.
+PART_BLOCKS, DRAWN_ROWS = 32, 10_000
 #: Code points of a word that are cut into subwords at once.
 WORD_PART = 48
 HELD_WORDS = 300_000
@@ -153,52 +155,57 @@ def windows(ids: np.ndarray, block: int, start: bool) -> np.ndarray:
 
 
 class OwnIds(dict):
-    """Ids in the model of the words met so far, so a word is cut once while it is held."""
+    """Ids in the model (as bytes) of the words met so far, so a word is cut once while it is held."""
 
     def __init__(self, encoding: tiktoken.Encoding, to: np.ndarray) -> None:
         self.encoding, self.to = encoding, to
 
-    def __missing__(self, word: bytes) -> list[int]:
-        found = self[word] = self.to[subwords(self.encoding, word)].tolist()
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.to[subwords(self.encoding, word)].tobytes()
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > HELD_WORDS:
             self.clear()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, words)), np.uint16)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint16)
+
+
+def parts(data: bytes, known: OwnIds, block: int) -> Iterator[np.ndarray]:
+    """The ids of a text and its end in parts of ``PART_BLOCKS`` blocks, each after the block before it (ends, before the first)."""
+    held = np.zeros(block, np.uint16)
+    size = PART_BLOCKS * block
+    for words in chain(pieces(data), [None]):
+        held = np.concatenate([held, known.of(words) if words is not None else np.zeros(1, np.uint16)])
+        # What is held back is less than a part and the block before it.
+        whole = (len(held) - block) // size if words is not None else -(-(len(held) - block) // size)
+        for k in range(whole):
+            yield held[k * size : (k + 1) * size + block]
+        held = held[whole * size :]
 
 
 def drawn(docs: DataFrame, ranks, to: np.ndarray, share: float, block: int) -> DataFrame:
-    """h, tokens, windows: windows over parts of texts of some 2,000 bytes, a ``share`` of all parts by their hash."""
+    """h, place, tokens, windows: windows over parts of texts, a ``share`` of all parts by their hash h. Each token of all parts
+    is in the own block of one window. ``place`` is the number of the text in its task, so that copies differ."""
     limit = np.uint32(min(share, 1) * 0xFFFFFFFF)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = OwnIds(encoder(ranks.value), to)
+        known, place = OwnIds(encoder(ranks.value), to), 0
         for batch in batches:
             rows = []
             for text in batch["text"]:
                 data = lowered(text)
                 seed = zlib.crc32(data)
-                for k in range(max(1, -(-len(data) // CHUNK_BYTES))):
+                place += 1
+                for k, ids in enumerate(parts(data, known, block)):
                     h = zlib.crc32(b"%d:%d" % (seed, k))
-                    if h > limit:
-                        continue
-                    at, end = k * CHUNK_BYTES, (k + 1) * CHUNK_BYTES
-                    blank = BLANK.search(data, at) if k else None
-                    part = data[(blank.start() if blank else len(data)) if k else 0 : end]
-                    words = part.split()
-                    last = end >= len(data)
-                    if not last and words:
-                        words.pop()
-                    ids = known.of(words)
-                    if last:
-                        ids = np.append(ids, np.uint16(0))
-                    found = windows(ids, block, k == 0)
-                    if len(found):
-                        rows.append((h, int((found[:, block:] != PAD).sum()), found.tobytes()))
-            yield pd.DataFrame(rows, columns=["h", "tokens", "windows"])
-
-    return docs.select("text").mapInPandas(draw, "h long, tokens long, windows binary")
+                    if h <= limit:
+                        rows.append((h, place, len(ids) - block, windows(ids, block, False).tobytes()))
+                    if len(rows) >= DRAWN_ROWS:
+                        yield pd.DataFrame(rows, columns=["h", "place", "tokens", "windows"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["h", "place", "tokens", "windows"])
+
+    return docs.select("text").mapInPandas(draw, "h long, place long, tokens long, windows binary")
 
 
 def followed(rows: Iterable[bytes], block: int) -> np.ndarray:
@@ -270,93 +277,163 @@ def away(block: int) -> np.ndarray:
     return np.arange(block)[:, None] + block - 1 - np.arange(2 * block - 1)[None, :]
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
-    return x
-
-
 def flat(x: np.ndarray) -> np.ndarray:
     return x.reshape(-1, x.shape[-1])
 
 
+def raised(x: np.ndarray, low: float, high: float) -> np.ndarray:
+    """exp(x) in place, for values between ``low`` and ``high``; each row is shifted first if these leave what single precision holds."""
+    if not (low > -60 and high < 60):
+        x -= x.max(axis=-1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+class Step:
+    """Parameters as one array ``w`` and gradients of a batch as one array ``g``, both laid out in few matrices.
+
+    Biases are the last rows of their matrices: inputs end with a one, and a fixed column of the first layer hands it on.
+    """
+
+    def __init__(self, m: dict[str, np.ndarray]) -> None:
+        self.kinds = {k: v.dtype for k, v in m.items()}
+        self.d, self.hidden = m["now"].shape
+        first = np.vstack([m["now"], m["before"], m["context"], m["bias"]])
+        fixed = np.zeros((len(first), 1), first.dtype)
+        fixed[-1] = 1
+        held = [
+            m["embedding"], np.hstack([first, fixed]), np.hstack([m["query"], m["key"], m["value"]]), m["distance"],
+            np.vstack([m["class"], m["class_bias"]]), np.concatenate([m["token"], m["token_bias"][:, None]], axis=1),
+        ]
+        self.shapes = [x.shape for x in held]
+        self.w = np.concatenate([x.ravel() for x in held])
+        self.g = np.zeros_like(self.w)
+        self.weights, self.slopes = self.parts(self.w), self.parts(self.g)
+        self.by_token = [(w, w.T, g) for w, g in zip(self.weights[-1], self.slopes[-1], strict=True)]
+
+    def parts(self, values: np.ndarray) -> list[np.ndarray]:
+        """Views of a laid out array as matrices."""
+        ends = np.cumsum([math.prod(s) for s in self.shapes])
+        return [values[end - math.prod(s) : end].reshape(s) for end, s in zip(ends, self.shapes, strict=True)]
+
+    def named(self, values: np.ndarray) -> dict[str, np.ndarray]:
+        """Copies of a laid out array's parameters by their names, in the order of the model."""
+        d, h = self.d, self.hidden
+        embedding, first, qkv, distance, by_class, by_token = self.parts(values)
+        out = {
+            "embedding": embedding, "now": first[:d, :h], "before": first[d : 2 * d, :h], "context": first[2 * d : -1, :h], "bias": first[-1, :h],
+            "query": qkv[:, :d], "key": qkv[:, d : 2 * d], "value": qkv[:, 2 * d :], "distance": distance,
+            "class": by_class[:-1], "class_bias": by_class[-1], "token": by_token[:, :-1], "token_bias": by_token[:, -1],
+        }
+        return {k: out[k].copy() for k in self.kinds}
+
+    def slope(self, rows: np.ndarray, end: int, loss: bool = False) -> float:
+        """Sets ``g`` to the gradients of the windows' mean loss; gives the sum of log probabilities of their own tokens if asked."""
+        embedding, first, qkv, shift, by_class, _ = self.weights
+        g_embedding, g_first, g_qkv, g_shift, g_class, g_token = self.slopes
+        kind, d, block, n_rows = self.w.dtype, self.d, rows.shape[1] // 2, len(rows)
+        scale = kind.type(d**-0.5)
+        distance = away(block)
+        nearest = np.maximum(distance, 0)
+        s = np.where(rows == PAD, end, rows)[:, :-1].astype(np.int64)
+        e = embedding.take(s, axis=0)
+        kv = (flat(e) @ qkv[:, d:]).reshape(n_rows, -1, 2 * d)
+        k, v = kv[:, :, :d], kv[:, :, d:]
+        x = np.empty((n_rows, block, 3 * d + 1), kind)
+        x[:, :, :d], x[:, :, d : 2 * d], x[:, :, -1] = e[:, block - 1 :], e[:, block - 2 : -1], 1
+        q = (flat(x)[:, :d] @ qkv[:, :d]).reshape(n_rows, block, d)
+        q *= scale
+        a = q @ k.transpose(0, 2, 1)
+        low, high = a.min() + shift.min(), a.max() + shift.max()
+        a += np.where(distance >= 0, shift[nearest], kind.type(-1e9))
+        raised(a, low, high)
+        a *= (1 / (a @ np.ones(a.shape[2], kind)))[:, :, None]
+        context = a @ v
+        x[:, :, 2 * d : -1] = context
+        x = flat(x)
+        h = x @ first
+        np.maximum(h, 0, out=h)
+        own = rows[:, block:].ravel()
+        of = np.where(own == PAD, CLASSES, own // CLASSES).astype(np.uint8)
+        order = np.argsort(of, kind="stable")
+        ends = np.searchsorted(of[order], np.arange(CLASSES + 1, dtype=np.uint8)).tolist()
+        n = ends[-1]
+        there = order[:n]
+        z, of, inside, row = h.take(there, axis=0), of[there], (own % CLASSES)[there], np.arange(n)
+        y, part = np.empty((2, n, CLASSES), kind), np.empty_like(z)
+        np.matmul(z, by_class, out=y[0])
+        of_class = [(z[i:j], y[1, i:j], part[i:j], *held) for i, j, held in zip(ends, ends[1:], self.by_token, strict=False) if i < j]
+        for zc, yc, _, w, _, _ in of_class:
+            np.dot(zc, w, yc)
+        raised(y, y.min(initial=0), y.max(initial=0))
+        y *= (1 / (y @ np.ones(CLASSES, kind)))[:, :, None]
+        total = float(np.log(y[0, row, of]).sum() + np.log(y[1, row, inside]).sum()) if loss else 0.0
+
+        y[0, row, of] -= 1
+        y[1, row, inside] -= 1
+        y *= kind.type(1 / max(n, 1))
+        np.matmul(z.T, y[0], out=g_class)
+        dz = y[0] @ by_class.T
+        g_token[:] = 0
+        for zc, yc, pc, _, back, g in of_class:
+            np.dot(zc.T, yc, g)
+            np.dot(yc, back, pc)
+        dz += part
+        dz *= z > 0
+        dh = np.zeros_like(h)
+        dh[there] = dz
+        np.matmul(x.T, dh, out=g_first)
+        g_first[:, -1] = 0
+        dx = (dh @ first.T).reshape(n_rows, block, -1)
+        dcontext = dx[:, :, 2 * d : -1]
+        da = dcontext @ v.transpose(0, 2, 1)
+        da -= np.einsum("ijk,ijk->ij", dcontext, context)[:, :, None]
+        da *= a
+        g_shift[:] = np.bincount(nearest.ravel(), np.ones(n_rows, kind) @ da.reshape(n_rows, -1), minlength=len(shift))
+        dkv = np.empty_like(kv)
+        dkv[:, :, d:] = a.transpose(0, 2, 1) @ dcontext
+        dkv[:, :, :d] = da.transpose(0, 2, 1) @ q
+        dq = da @ k
+        dq *= scale
+        g_qkv[:, :d], g_qkv[:, d:] = x[:, :d].T @ flat(dq), flat(e).T @ flat(dkv)
+        de = (flat(dkv) @ qkv[:, d:].T).reshape(e.shape)
+        de[:, block - 1 :] += dx[:, :, :d]
+        de[:, block - 1 :] += (flat(dq) @ qkv[:, :d].T).reshape(n_rows, block, d)
+        de[:, block - 2 : -1] += dx[:, :, d : 2 * d]
+        g_embedding.ravel()[:] = np.bincount((s.ravel()[:, None] * d + np.arange(d)).ravel(), de.ravel(), minlength=embedding.size)
+        return total
+
+
 def gradients(m: dict[str, np.ndarray], rows: np.ndarray, end: int) -> tuple[float, dict[str, np.ndarray]]:
     """Sum of log probabilities of windows' own tokens, and the gradients of their mean loss."""
-    block, d = rows.shape[1] // 2, m["query"].shape[0]
-    there = rows[:, block:] != PAD
-    s = np.where(rows == PAD, end, rows)[:, :-1].astype(np.int64)
-    distance = away(block)
-    e = m["embedding"][s]
-    now, before = e[:, block - 1 :], e[:, block - 2 : -1]
-    q, k, v = now @ m["query"], e @ m["key"], e @ m["value"]
-    scale = np.float32(d**-0.5)
-    a = softmax(np.where(distance >= 0, q @ k.transpose(0, 2, 1) * scale + m["distance"][np.maximum(distance, 0)], np.float32(-1e9)))
-    context = a @ v
-    h = now @ m["now"] + before @ m["before"] + context @ m["context"] + m["bias"]
-    z = np.maximum(h, 0)[there]
-    t = rows[:, block:][there].astype(np.int64)
-    order = np.argsort(t // CLASSES, kind="stable")
-    z, t = z[order], t[order]
-    of, inside, row = t // CLASSES, t % CLASSES, np.arange(len(t))
-    ends = np.searchsorted(of, np.arange(CLASSES + 1))
-    by_class = softmax(z @ m["class"] + m["class_bias"])
-    by_token = np.empty((len(t), CLASSES), np.float32)
-    for c in range(CLASSES):
-        i, j = ends[c], ends[c + 1]
-        by_token[i:j] = z[i:j] @ m["token"][c] + m["token_bias"][c]
-    by_token = softmax(by_token)
-    total = float(np.log(by_class[row, of]).sum() + np.log(by_token[row, inside]).sum())
-
-    g = {name: np.zeros_like(x) for name, x in m.items()}
-    by_class[row, of] -= 1
-    by_token[row, inside] -= 1
-    by_class /= len(t)
-    by_token /= len(t)
-    g["class"], g["class_bias"] = z.T @ by_class, by_class.sum(axis=0)
-    dz = by_class @ m["class"].T
-    for c in range(CLASSES):
-        i, j = ends[c], ends[c + 1]
-        g["token"][c], g["token_bias"][c] = z[i:j].T @ by_token[i:j], by_token[i:j].sum(axis=0)
-        dz[i:j] += by_token[i:j] @ m["token"][c].T
-    back = np.empty_like(dz)
-    back[order] = dz * (z > 0)
-    dh = np.zeros_like(h)
-    dh[there] = back
-    g["now"], g["before"], g["context"], g["bias"] = flat(now).T @ flat(dh), flat(before).T @ flat(dh), flat(context).T @ flat(dh), flat(dh).sum(axis=0)
-    dcontext = dh @ m["context"].T
-    dv = a.transpose(0, 2, 1) @ dcontext
-    da = dcontext @ v.transpose(0, 2, 1)
-    da = a * (da - (da * a).sum(axis=-1, keepdims=True))
-    g["distance"] = np.bincount(np.maximum(distance, 0).ravel(), weights=np.where(distance >= 0, da.sum(axis=0), 0).ravel(), minlength=2 * block).astype(np.float32)
-    da *= scale
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    g["query"], g["key"], g["value"] = flat(now).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ m["key"].T + dv @ m["value"].T
-    de[:, block - 1 :] += dh @ m["now"].T + dq @ m["query"].T
-    de[:, block - 2 : -1] += dh @ m["before"].T
-    by = np.argsort(s.ravel(), kind="stable")
-    ids, starts = np.unique(s.ravel()[by], return_index=True)
-    g["embedding"][ids] = np.add.reduceat(flat(de)[by], starts, axis=0)
-    return total, g
+    step = Step(m)
+    total = step.slope(rows, end, loss=True)
+    return total, step.named(step.g)
 
 
 def trained(m: dict[str, np.ndarray], rows: np.ndarray, end: int, p: LmParams, part: tuple[int, int]) -> dict[str, np.ndarray]:
     """The model after a pass over windows in their order (Adam; the rate falls over all rounds, ``part`` is (round, rounds))."""
-    m = {k: v.copy() for k, v in m.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    step = Step(m)
+    w, g = step.w, step.g
+    first, second, move = (np.zeros_like(w) for _ in range(3))
     starts = range(0, len(rows), p.batch)
     for n, at in enumerate(starts, 1):
         left = 1 - (part[0] + n / (len(starts) + 1)) / part[1]
         rate = p.rate * min(1, n / 50) * (0.02 + 0.98 * left)
-        for name, g in gradients(m, rows[at : at + p.batch], end)[1].items():
-            a, b = first[name], second[name]
-            a *= 0.9
-            a += 0.1 * g
-            b *= 0.99
-            b += 0.01 * g * g
-            m[name] -= np.float32(rate / (1 - 0.9**n)) * a / (np.sqrt(b / (1 - 0.99**n)) + np.float32(1e-8))
-    return m
+        step.slope(rows[at : at + p.batch], end)
+        # ``first`` and ``second`` are sums: the means are a tenth and a hundredth of them.
+        root = math.sqrt(0.01 / (1 - 0.99**n))
+        least, by = np.float32(1e-8 / root), np.float32(0.1 * rate / (1 - 0.9**n) / root)
+        first *= np.float32(0.9)
+        first += g
+        second *= np.float32(0.99)
+        g *= g
+        second += g
+        np.sqrt(second, out=move)
+        move += least
+        np.divide(first, move, out=move)
+        move *= by
+        w -= move
+    return step.named(step.w)
 
 
 def packed(m: dict[str, np.ndarray]) -> bytes:
@@ -378,18 +455,35 @@ def averaged(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"model": [mean.astype(np.float32).tobytes()], "seen": [int(seen.sum())]})
 
 
+def runs(batches: Iterable[pd.DataFrame], block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shard and windows of each run of rows of one shard."""
+    shard, held = None, []
+    for batch in batches:
+        for this, windows_here in zip(batch["shard"], batch["windows"], strict=True):
+            if this != shard and held:
+                yield int(shard), np.frombuffer(b"".join(held), np.uint16).reshape(-1, 2 * block)
+                held = []
+            shard = this
+            held.append(windows_here)
+    if held:
+        yield int(shard), np.frombuffer(b"".join(held), np.uint16).reshape(-1, 2 * block)
+
+
 def learner(now, new: np.ndarray, end: int, p: LmParams, turn: int, passes: int, folds: int):
-    """A round over its part of ``passes`` passes over the windows of a shard, from the model ``now``."""
-
-    def learn(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["h", "windows"])
-        rows = np.concatenate([np.frombuffer(w, np.uint16) for w in shard["windows"]]).reshape(-1, 2 * p.block)
-        rng = np.random.default_rng(p.seed + int(key[0]))
-        order = np.concatenate([rng.permutation(len(rows)) for _ in range(passes)])
-        rows = rows[np.array_split(order, p.rounds)[turn]]
-        rows = np.where(rows == PAD, PAD, new[np.minimum(rows, OTHER)])
-        after = trained(now.value, rows, end, p, (turn, p.rounds)) if len(rows) else now.value
-        return pd.DataFrame({"fold": [int(key[0]) % folds], "model": [packed(after)], "seen": [max(len(rows), 1)]})
+    """A round over its part of ``passes`` passes over the windows of each shard, from the model ``now``; the mean of a task's models."""
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, seen = 0, 0
+        for shard, rows in runs(batches, p.block):
+            rng = np.random.default_rng(p.seed + shard)
+            order = np.concatenate([rng.permutation(len(rows)) for _ in range(passes)])
+            rows = rows[np.array_split(order, p.rounds)[turn]]
+            if len(rows):
+                rows = np.where(rows == PAD, np.uint16(PAD), new[np.minimum(rows, OTHER)])
+                total = total + np.frombuffer(packed(trained(now.value, rows, end, p, (turn, p.rounds))), np.float32) * float(len(rows))
+                seen += len(rows)
+        if seen:
+            yield pd.DataFrame({"fold": [TaskContext.get().partitionId() % folds], "model": [(total / seen).astype(np.float32).tobytes()], "seen": [seen]})
 
     return learn
 
@@ -397,31 +491,33 @@ def learner(now, new: np.ndarray, end: int, p: LmParams, turn: int, passes: int,
 def fit(docs: DataFrame, counts: np.ndarray, ranks, p: LmParams = LmParams()) -> dict:
     """The model after training on ``docs`` (or a share of them, if the parameters ask for less); ``counts`` of subwords are those of all training words.
 
-    Parts of texts are dealt to shards by hash; each task trains on its shard from the same start and the models
-    are averaged after each round, so the work grows with the corpus and no task holds more than a shard. Reruns agree
-    but for the order of rows that hash alike. Without training text the model keeps its start.
+    Parts of texts are dealt to shards by hash and stored in the order of shards; each task trains on its shards, one at a time and
+    each from the same start, and the models are averaged after each round, so the work grows with the corpus and no task holds
+    more than a shard. The windows are shuffled once for all rounds. Reruns over the same files agree but for the order of
+    equal rows. Without training text the model keeps its start.
     """
     spark = docs.sparkSession
     to, extra = own_ids(counts)
     tokens = int(counts.sum())
     share = min(1.0, max(p.share, p.least_tokens / max(tokens, 1)))
-    sample = stored(drawn(docs, ranks, to, share, p.block), "windows")
+    shards = max(1, math.ceil(tokens * share / p.shard_tokens))
+    dealt = drawn(docs, ranks, to, share, p.block).withColumn("shard", F.pmod(F.xxhash64("h", "place"), F.lit(shards)))
+    # Shuffled once, here: the shards lie one after another in what is stored, so that rounds read and train without a shuffle.
+    sample = stored(dealt.repartition("shard").sortWithinPartitions("shard", "h", "windows"), "windows")
     follows = pairs(sample, p.block)
     new = classes(follows, p.seed)
     frequency = np.zeros(TOKENS)
     frequency[new] = follows.sum(axis=0)
     m, end = started(frequency, p), int(new[0])
     held = sample.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(held / p.shard_tokens))
     folds = math.ceil(math.sqrt(shards))
     passes = min(p.most_passes, max(1, round(p.least_tokens / max(held, 1))))
-    dealt = sample.select(F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"), "h", "windows")
     for turn in range(p.rounds if held else 0):
         now = spark.sparkContext.broadcast(m)
-
-        learned = dealt.groupBy("shard").applyInPandas(learner(now, new, end, p, turn, passes, folds), "fold int, model binary, seen long")
+        learned = sample.select("shard", "windows").mapInPandas(learner(now, new, end, p, turn, passes, folds), "fold int, model binary, seen long")
         means = learned.groupBy("fold").applyInPandas(averaged, "model binary, seen long").toPandas()
-        m = unpacked(averaged(means)["model"].iloc[0], m)
+        if len(means):
+            m = unpacked(averaged(means)["model"].iloc[0], m)
         now.unpersist()
     return {"parameters": m, "end": end, "to": new[to], "extra": extra, "block": p.block}
 
